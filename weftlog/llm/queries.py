@@ -5,6 +5,7 @@ from __future__ import annotations
 from weftlog.functions.columns import table
 from weftlog.llm.runs import collapse_runs
 from weftlog.llm.subsequences import frequent_subsequences
+from weftlog.llm.tokens import encode_corpus
 from weftlog.llm.topitems import field_values, heavy_items, top_items
 from weftlog.operators.features import case_sequences
 
@@ -25,4 +26,8 @@ def p6_top(spark, sf_dir):
     return top_items(field_values(table(spark, sf_dir, "trace_steps"), table(spark, sf_dir, "languages")), 100)
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_top": p6_top}
+def p7_ids(spark, sf_dir):
+    return encode_corpus(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_top": p6_top, "p7_ids": p7_ids}
