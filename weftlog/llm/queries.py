@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from weftlog.functions.columns import table
+from weftlog.llm.leaks import leaked_items
 from weftlog.llm.runs import collapse_runs
 from weftlog.llm.subsequences import frequent_subsequences
 from weftlog.llm.tokens import encode_corpus
@@ -30,4 +31,8 @@ def p7_ids(spark, sf_dir):
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_top": p6_top, "p7_ids": p7_ids}
+def p8_found(spark, sf_dir):
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_top": p6_top, "p7_ids": p7_ids, "p8_found": p8_found}
