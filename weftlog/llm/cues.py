@@ -17,15 +17,18 @@ HEADER = re.compile(r"^﻿?WEBVTT[^\n]*")
 MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,60}>|\{\\[^{}\n]{0,60}\}")
 SOUND = re.compile(r"\[[^\[\]]{0,80}\]|\([^()]{0,80}\)|\*[^*\n]{1,40}(?:\r?\n[^*\n]{1,40})?\*")
 SPEAKER = re.compile(r"(?:^|(?<=\n))([ \t\-–♪]*)[A-ZÀ-ÞА-Я][A-ZÀ-ÞА-Я]+:(?=\s)")
-MISREAD = re.compile("[ÂÃÄÅÐÑÎÏâãðñ├┬╨╤ΓГВРСÔ┼─╬][^\x00-\x7f]")
+MISREAD = re.compile("[ÂÃÄÅÐÑÎÏâãðñ├┬╨╤ΓÔ┼─╬][^\x00-\x7f]|[ГВРС][^\x00-\x7fА-яЁё]")
 FOREIGN = re.compile(r"[^\x00-\x7f]+")
 WORDS_8BIT = re.compile(r"[À-ÿ¨¸]{3,}")
 LETTERS_8BIT = re.compile(r"[À-ÿ¨¸]+")
-LOST = re.compile("�|\\w\\?\\w|\\?{3}")
+LOST = re.compile("�|\\?(?<=\\w\\?)\\w|\\?{3}")
 
 
 def _bytes(run: str, encoding: str) -> bytes:
-    out = bytearray()
+    try:
+        return run.encode(encoding)
+    except UnicodeEncodeError:
+        out = bytearray()
     for c in run:
         try:
             out += c.encode(encoding)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from weftlog.functions.columns import table
 from weftlog.llm.leaks import leaked_items
 from weftlog.llm.runs import collapse_runs
+from weftlog.llm.spam import spam_pages
 from weftlog.llm.subsequences import frequent_subsequences
 from weftlog.llm.tokens import encode_corpus
 from weftlog.llm.topitems import field_values, heavy_items, top_items
@@ -35,4 +36,8 @@ def p8_found(spark, sf_dir):
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_top": p6_top, "p7_ids": p7_ids, "p8_found": p8_found}
+def p9_found(spark, sf_dir):
+    return spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_top": p6_top, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
