@@ -52,7 +52,7 @@ def first_of_repeats(df: DataFrame, ordinal: str = ORD) -> DataFrame:
     return df.groupBy(*[col(c) for c in others]).agg(F.min(col(ordinal)).alias(ordinal))
 
 
-def sliced_lag(events: DataFrame, values: list[str], order: tuple[str, str] = ("ts_us", "ord"), entity: str = "case_id", width_us: int = 30 * DAY_US) -> DataFrame:
+def sliced_lag(events: DataFrame, values: list[str], order: tuple[str, str] = ("ts_us", "ord"), entity: str | list[str] = "case_id", width_us: int = 30 * DAY_US) -> DataFrame:
     """Position and previous values of every event in its entity's order, without one task ever holding a whole entity.
 
     An entity is cut into time slices of ``width_us``. Windows run inside a
@@ -61,21 +61,22 @@ def sliced_lag(events: DataFrame, values: list[str], order: tuple[str, str] = ("
     row per entity and slice. Adds ``slice``, ``pos`` (from 0) and
     ``prev_<value>`` (null for the entity's first event).
 
-    ``order[0]`` is in microseconds and not null; ties are ordered by
+    Entities are not null. ``order[0]`` is in microseconds and not null; ties are ordered by
     ``order[1]``, which is unique. An empty input gives an empty result.
     """
+    keys = [entity] if isinstance(entity, str) else entity
     cut = events.withColumn("slice", F.floor(F.col(order[0]) / F.lit(width_us)).cast("long"))
-    inside = Window.partitionBy(entity, "slice").orderBy(*order)
+    inside = Window.partitionBy(*keys, "slice").orderBy(*order)
     rows = cut.withColumn("_n", F.row_number().over(inside)).withColumns({f"_lag_{v}": F.lag(v).over(inside) for v in values})
-    tails = cut.groupBy(entity, "slice").agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_tail"), F.count(F.lit(1)).alias("_rows"))
-    over_slices = Window.partitionBy(entity).orderBy("slice")
+    tails = cut.groupBy(*keys, "slice").agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_tail"), F.count(F.lit(1)).alias("_rows"))
+    over_slices = Window.partitionBy(*keys).orderBy("slice")
     heads = tails.select(
-        entity,
+        *keys,
         "slice",
         F.lag("_tail").over(over_slices).alias("_before"),
         F.coalesce(F.sum("_rows").over(over_slices.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
     )
-    joined = rows.join(heads, [entity, "slice"])
+    joined = rows.join(heads, [*keys, "slice"])
     return joined.select(
         *[F.col(c) for c in events.columns],
         "slice",
@@ -84,6 +85,21 @@ def sliced_lag(events: DataFrame, values: list[str], order: tuple[str, str] = ("
     )
 
 
+def unused_name(df: DataFrame, base: str) -> str:
+    """``base``, lengthened until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def require(df: DataFrame, *names: str) -> None:
+    """Raise ValueError unless all named columns are there."""
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,11 +1,331 @@
-"""Queries of the core operators."""
-from weftlog.functions.columns import table
-from weftlog.operators.intervals import busy_spans
+"""Queries of the core operators. Each takes (spark, folder) and reads whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftlog.functions.columns import ACTIVITY, CASE, INSTANCE, LIFECYCLE, ORD, START, TIME, col, micros, table
+from weftlog.operators import binning, compare, distance, extract, prepare, resample
 from weftlog.operators.features import entity_features, filled_cells
+from weftlog.operators.intervals import busy_spans
+from weftlog.operators.language import paired_population, stochastic_language, variants
 from weftlog.operators.timestamps import estimate_zones, normalise_timestamps, read_values
-FLAGSHIP=None
-QUERIES={"p1_found":lambda s,d: normalise_timestamps(table(s,d,"raw_log"),table(s,d,"sites")),
-"p1_zones":lambda s,d: estimate_zones(read_values(table(s,d,"raw_log"),table(s,d,"sites")),table(s,d,"sites")),
-"p2_found":lambda s,d: busy_spans(table(s,d,"interval_log")),
-"p4_found":lambda s,d: filled_cells(*entity_features(table(s,d,"event_log"))),
-"p4_wide":lambda s,d: entity_features(table(s,d,"event_log"))[0]}
+
+SEED = 42
+REPLICATES = 100
+
+
+# -- inputs ------------------------------------------------------------------
+
+
+def small_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces of the many small logs of ``trace_steps``: ``log_number, case_id, trace``.
+
+    Rows with nulls are left out, repeated rows count once.
+    """
+    steps = table(spark, sf_dir, "trace_steps").select("log_id", col(CASE).alias("case_id"), "step_no", col(ACTIVITY).alias("activity")).dropna().distinct()
+    traces = steps.groupBy("log_id", "case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step_no", "activity"))), lambda e: e["activity"]).alias("trace"))
+    return traces.select(F.regexp_extract("log_id", "([0-9]+)$", 1).try_cast("long").alias("log_number"), "case_id", "trace")
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as cases of an interval log, customers as logs: lines by flag and status, from order to shipment."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate", "l_quantity")
+    return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(
+        F.col("o_custkey").alias("log_number"),
+        F.col("l_orderkey").alias(CASE),
+        F.concat("l_returnflag", "l_linestatus").alias(ACTIVITY),
+        F.col("o_orderdate").alias(START),
+        F.col("l_shipdate").alias(TIME),
+        F.col("l_quantity").alias("quantity"),
+        F.col("l_linenumber").alias(ORD),
+    )
+
+
+def _with_log(traces: DataFrame, log: DataFrame) -> DataFrame:
+    return traces.join(log.select(col(CASE).alias("case_id"), "log_number").distinct(), "case_id")
+
+
+def delivery_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = deliveries(spark, sf_dir)
+    return _with_log(extract.extract_traces(log), log)
+
+
+def binned_delivery_traces(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
+    """Delivery traces with days to shipment or quantities in quartile bins of their activity."""
+    log = deliveries(spark, sf_dir)
+    log = log.withColumn("_number", prepare.seconds_between(log, START, TIME) if value == "duration" else col(value).cast("double"))
+    model = binning.fit_iqr(log.select(col(ACTIVITY).alias("label"), F.col("_number").alias("value")))
+    return _with_log(extract.extract_binned_traces(log, "_number", model), log)
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "event_log").drop(START)
+
+
+def _us(df: DataFrame, *names: str) -> dict:
+    return {f"{n.split(':')[0]}_us": micros(df, n) for n in names}
+
+
+# -- sources, preparation ----------------------------------------------------
+
+
+def q_log_len(spark, d):
+    return prepare.log_len(table(spark, d, "event_log"))
+
+
+def _pairs(log: DataFrame) -> DataFrame:
+    return log.select(col(ORD).alias("event_ord"), micros(log, START).alias("start_us"))
+
+
+def q_lifecycle_fifo(spark, d):
+    return _pairs(prepare.lifecycle_to_interval(event_log(spark, d), instance=None))
+
+
+def q_lifecycle_instance(spark, d):
+    return _pairs(prepare.lifecycle_to_interval(event_log(spark, d), on_ambiguous="first"))
+
+
+def q_infer_instances(spark, d):
+    return prepare.infer_instances(event_log(spark, d)).select("event_ord", col(INSTANCE).alias("instance"))
+
+
+def q_fold_instances(spark, d):
+    return _pairs(prepare.fold_instances(event_log(spark, d), on_ambiguous="first"))
+
+
+def q_strict_interval(spark, d):
+    return _pairs(prepare.ensure_start(event_log(spark, d).drop(INSTANCE), strict=True))
+
+
+def q_atomic_to_lifecycle(spark, d):
+    return prepare.atomic_to_lifecycle(table(spark, d, "atomic_log")).select("event_ord", col(LIFECYCLE).alias("lifecycle"), col(INSTANCE).alias("instance"))
+
+
+def q_atomic_to_interval(spark, d):
+    return _pairs(prepare.atomic_to_interval(table(spark, d, "atomic_log")))
+
+
+def q_duration(spark, d):
+    return prepare.add_duration(table(spark, d, "interval_log")).select("event_ord", col(prepare.DURATION).alias("duration_s"))
+
+
+def q_waiting_time(spark, d):
+    return prepare.add_waiting_time(table(spark, d, "interval_log")).select("event_ord", col(prepare.WAITING).alias("waiting_s"))
+
+
+def _split(method):
+    def query(spark, d):
+        first, second = prepare.split_cases(table(spark, d, "event_log"), 0.5, SEED, method)
+        parts = first.select(col(CASE).alias("case_id"), F.lit(1).alias("part")).unionByName(second.select(col(CASE).alias("case_id"), F.lit(2).alias("part")))
+        return parts.groupBy("case_id", "part").agg(F.count(F.lit(1)).alias("n_rows"))
+
+    return query
+
+
+def q_sample_cases(spark, d):
+    log = table(spark, d, "event_log")
+    return prepare.sample_cases(log, 100, SEED).groupBy(col(CASE).alias("case_id")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# -- extraction, binning, languages ------------------------------------------
+
+
+def q_extract_traces(spark, d):
+    return extract.extract_traces(table(spark, d, "event_log")).select("case_id", F.array_join("trace", ">", "?").alias("trace_text"))
+
+
+def q_service_times(spark, d):
+    log = table(spark, d, "interval_log")
+    traces = extract.extract_service_times(log.where(col(START).isNotNull()))
+    text = F.transform("trace", lambda e: F.concat_ws("=", F.coalesce(e["activity"], F.lit("?")), F.round(e["value"] * 1_000_000).cast("long").cast("string")))
+    return traces.select("case_id", F.array_join(text, ">").alias("trace_text"))
+
+
+def _bins(fit):
+    def query(spark, d):
+        events = table(spark, d, "events").select("event_id", F.col("event_type").alias("label"), "value")
+        model = fit(events)
+        return events.join(model, "label", "left").select("event_id", binning.bin_column(F.col("value")).alias("bin"))
+
+    return query
+
+
+def q_binned_traces(spark, d):
+    traces = binned_delivery_traces(spark, d, "duration")
+    text = F.transform("trace", lambda e: F.concat(e["activity"], e["bin"].cast("string")))
+    return traces.select("case_id", F.array_join(text, ">").alias("trace_text"))
+
+
+def q_language(spark, d):
+    logs = small_logs(spark, d).where("log_number is not null")
+    return stochastic_language(logs, ["log_number"]).select("log_number", F.array_join("trace", ">").alias("trace_text"), "n", F.round("frequency", 9).alias("frequency"))
+
+
+def q_language_deliveries(spark, d):
+    return stochastic_language(delivery_traces(spark, d)).select(F.array_join("trace", ">").alias("trace_text"), "n", F.round("frequency", 9).alias("frequency"))
+
+
+# -- distances ---------------------------------------------------------------
+
+
+def _delivery_variants(spark, d) -> DataFrame:
+    return variants(paired_population(delivery_traces(spark, d)))
+
+
+def _matrix(cost):
+    def query(spark, d):
+        return distance.cost_matrix(distance.encoded(_delivery_variants(spark, d)), cost).withColumn("cost", F.round("cost", 9))
+
+    return query
+
+
+def _weighted_matrix(bins):
+    def query(spark, d):
+        vs = variants(paired_population(binned_delivery_traces(spark, d, "duration")))
+        return distance.cost_matrix(vs, distance.postnormalised_weighted(bins)).withColumn("cost", F.round("cost", 9))
+
+    return query
+
+
+def _logs_emd(source, cost):
+    def query(spark, d):
+        vs = variants(paired_population(source(spark, d)))
+        return compare.distances(resample.observed(vs), vs, cost).select("pair_id", F.round("emd", 9).alias("logs_emd"))
+
+    return query
+
+
+# -- tests -------------------------------------------------------------------
+
+
+def _rounded(result: DataFrame) -> DataFrame:
+    return result.select("pair_id", F.round("logs_emd", 9).alias("logs_emd"), F.round("pvalue", 9).alias("pvalue"), "n_replicates")
+
+
+def _test(source, test, cost, n=REPLICATES):
+    def query(spark, d):
+        return _rounded(compare.run_test(paired_population(source(spark, d)), test, cost, n, SEED)[1])
+
+    return query
+
+
+def _null(source, test, cost, n=REPLICATES):
+    def query(spark, d):
+        return compare.run_test(paired_population(source(spark, d)), test, cost, n, SEED)[0].select("pair_id", "rep", F.round("emd", 9).alias("emd"))
+
+    return query
+
+
+def _binned_test(value, bins, n=20):
+    def query(spark, d):
+        pop = paired_population(binned_delivery_traces(spark, d, value))
+        return _rounded(compare.run_test(pop, "permutation", distance.postnormalised_weighted(bins), n, SEED)[1])
+
+    return query
+
+
+def _double(style, cost):
+    def query(spark, d):
+        return _rounded(compare.run_double_test(paired_population(small_logs(spark, d)), style, cost, REPLICATES, SEED))
+
+    return query
+
+
+def _ks(style, cost):
+    def query(spark, d):
+        found = compare.run_ks_test(paired_population(small_logs(spark, d)), style, cost, REPLICATES, SEED)
+        return found.select("pair_id", F.round("statistic", 9).alias("statistic"), F.round("pvalue", 9).alias("pvalue"))
+
+    return query
+
+
+def q_null_histogram(spark, d):
+    null, _ = compare.run_test(paired_population(small_logs(spark, d)), "permutation", "line", REPLICATES, SEED)
+    return compare.null_histogram(null, 10)
+
+
+# -- general operators for training data -------------------------------------
+
+
+def p1_found(spark, d):
+    return normalise_timestamps(table(spark, d, "raw_log"), table(spark, d, "sites"))
+
+
+def p1_zones(spark, d):
+    sites = table(spark, d, "sites")
+    return estimate_zones(read_values(table(spark, d, "raw_log"), sites), sites)
+
+
+def p2_found(spark, d):
+    return busy_spans(table(spark, d, "interval_log"))
+
+
+def p4_found(spark, d):
+    return filled_cells(*entity_features(table(spark, d, "event_log")))
+
+
+def p4_wide(spark, d):
+    return entity_features(table(spark, d, "event_log"))[0]
+
+
+FLAGSHIP = _test(small_logs, "permutation", "levenshtein")
+
+QUERIES = {
+    "log_len": q_log_len,
+    "lifecycle_fifo": q_lifecycle_fifo,
+    "lifecycle_instance": q_lifecycle_instance,
+    "infer_instances": q_infer_instances,
+    "fold_instances": q_fold_instances,
+    "strict_interval": q_strict_interval,
+    "atomic_to_lifecycle": q_atomic_to_lifecycle,
+    "atomic_to_interval": q_atomic_to_interval,
+    "duration": q_duration,
+    "waiting_time": q_waiting_time,
+    "split_cases_event_biased": _split("event_biased"),
+    "split_cases_uniform": _split("uniform"),
+    "sample_cases": q_sample_cases,
+    "extract_traces": q_extract_traces,
+    "service_time_traces": q_service_times,
+    "iqr_bins": _bins(binning.fit_iqr),
+    "outer_percentile_bins": _bins(binning.fit_outer_percentiles),
+    "kmeanspp_bins": _bins(lambda e: binning.fit_kmeans_seeds(e, 3, SEED, order="event_id")),
+    "binned_traces": q_binned_traces,
+    "stochastic_language": q_language,
+    "stochastic_language_deliveries": q_language_deliveries,
+    "levenshtein_matrix": _matrix(distance.levenshtein),
+    "postnorm_levenshtein_matrix": _matrix(distance.postnormalised),
+    "weighted_levenshtein_matrix": _weighted_matrix(None),
+    "weighted_time_levenshtein_matrix": _weighted_matrix(3),
+    "logs_emd_discrete": _logs_emd(delivery_traces, "discrete"),
+    "logs_emd_line": _logs_emd(delivery_traces, "line"),
+    "logs_emd_levenshtein": _logs_emd(delivery_traces, "levenshtein"),
+    "logs_emd_small_logs": _logs_emd(small_logs, "levenshtein"),
+    "permutation_null_discrete": _null(small_logs, "permutation", "discrete"),
+    "permutation_test_discrete": _test(small_logs, "permutation", "discrete"),
+    "permutation_test_line": _test(small_logs, "permutation", "line"),
+    "permutation_test_control_flow": FLAGSHIP,
+    "permutation_test_timed": _binned_test("duration", 3),
+    "permutation_test_numeric": _binned_test("quantity", None),
+    "bootstrap_replacement_discrete": _test(small_logs, "replacement", "discrete"),
+    "bootstrap_split_discrete": _test(small_logs, "split", "discrete"),
+    "bootstrap_resample_discrete": _test(small_logs, "resample", "discrete"),
+    "classic_bootstrap_discrete": _test(small_logs, "classic", "discrete"),
+    "bootstrap_replacement_control_flow": _test(small_logs, "replacement", "levenshtein"),
+    "bootstrap_split_control_flow": _test(small_logs, "split", "levenshtein"),
+    "bootstrap_resample_control_flow": _test(small_logs, "resample", "levenshtein"),
+    "classic_bootstrap_control_flow": _test(small_logs, "classic", "levenshtein"),
+    "double_bootstrap_discrete": _double("smaller", "discrete"),
+    "double_bootstrap_control_flow": _double("smaller", "levenshtein"),
+    "double_bootstrap_split_variants": _double("split_variants", "levenshtein"),
+    "ks_test_discrete": _ks("replacement", "discrete"),
+    "ks_test_split_control_flow": _ks("split", "levenshtein"),
+    "null_histogram": q_null_histogram,
+    "p1_found": p1_found,
+    "p1_zones": p1_zones,
+    "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_wide": p4_wide,
+}

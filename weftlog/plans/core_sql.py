@@ -2,11 +2,231 @@
 
 from __future__ import annotations
 
-P2_FOUND = """
+SEED = 42
+REPLICATES = 100
+
+CASE, ACTIVITY, TIME, LIFECYCLE, INSTANCE = '"case:concept:name"', '"concept:name"', '"time:timestamp"', '"lifecycle:transition"', '"concept:instance"'
+ENDS, STARTS = f"{LIFECYCLE} IN ('complete', 'ate_abort')", f"{LIFECYCLE} = 'start'"
+
+
+def ranked_start(keys: str) -> str:
+    """END rows with the start of equal rank inside ``keys``."""
+    same = " AND ".join(f"e.{k} = s.{k}" for k in keys.split(", "))
+    return f"""
+WITH e AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {TIME}, event_ord) AS k FROM event_log WHERE {ENDS} AND {CASE} IS NOT NULL AND {TIME} IS NOT NULL),
+s AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {TIME}, event_ord) AS k FROM event_log WHERE {STARTS} AND {CASE} IS NOT NULL AND {TIME} IS NOT NULL)
+SELECT e.event_ord, epoch_us(coalesce(s.{TIME}, e.{TIME})) AS start_us FROM e LEFT JOIN s ON {same} AND e.k = s.k
+"""
+
+
+KIND = f"CASE WHEN {ENDS} THEN 'end' WHEN {STARTS} THEN 'start' END"
+INFERRED = f"""
+usable AS (
+  SELECT *, CASE WHEN {CASE} IS NOT NULL AND {ACTIVITY} IS NOT NULL AND {TIME} IS NOT NULL THEN {KIND} END AS kind FROM event_log
+), inferred AS (
+  SELECT *, CASE WHEN kind IS NULL THEN 'None' ELSE CAST(row_number() OVER (PARTITION BY {CASE}, {ACTIVITY}, kind ORDER BY {TIME}, event_ord) - 1 AS VARCHAR) END AS instance FROM usable
+)"""
+
+
+def folded(source: str, instance: str) -> str:
+    return f"""
+groups AS (
+  SELECT {CASE} AS c, {ACTIVITY} AS a, {instance} AS i, min({TIME}) FILTER ({STARTS}) AS started
+  FROM {source} WHERE {CASE} IS NOT NULL AND {ACTIVITY} IS NOT NULL AND {instance} IS NOT NULL GROUP BY ALL
+)
+SELECT event_ord, epoch_us(CASE WHEN {ENDS} THEN coalesce(started, {TIME}) ELSE {TIME} END) AS start_us
+FROM {source} LEFT JOIN groups ON {CASE} = c AND {ACTIVITY} = a AND {instance} = i
+WHERE {LIFECYCLE} IS NULL OR NOT {STARTS}
+"""
+
+
+def split(method: str) -> str:
+    keys = (
+        f"SELECT {CASE} AS case_id, min(md5('{SEED}:' || event_ord)) AS key FROM event_log WHERE {CASE} IS NOT NULL GROUP BY 1"
+        if method == "event_biased"
+        else f"SELECT DISTINCT {CASE} AS case_id, md5('{SEED}:' || {CASE}) AS key FROM event_log WHERE {CASE} IS NOT NULL"
+    )
+    return f"""
+WITH keys AS ({keys}), ranked AS (SELECT case_id, row_number() OVER (ORDER BY key, case_id) AS r, count(*) OVER () AS n FROM keys)
+SELECT case_id, CASE WHEN r <= floor(n * 0.5) THEN 1 ELSE 2 END AS part, (SELECT count(*) FROM event_log WHERE {CASE} = case_id) AS n_rows FROM ranked
+"""
+
+
+def bins(low: float, high: float) -> str:
+    return f"""
+WITH q AS (SELECT event_type, quantile_cont(value, {low}) AS a, quantile_cont(value, {high}) AS b FROM events GROUP BY event_type)
+SELECT event_id, CASE WHEN value IS NULL OR event_type IS NULL THEN 0 WHEN value < a THEN 0 WHEN value < b THEN 1 ELSE 2 END AS bin FROM events LEFT JOIN q USING (event_type)
+"""
+
+
+# Populations of pairs of logs, as text traces.
+STEPS = f"""
+steps AS (
+  SELECT DISTINCT log_id, {CASE} AS case_id, step_no, {ACTIVITY} AS activity FROM trace_steps
+  WHERE log_id IS NOT NULL AND {CASE} IS NOT NULL AND step_no IS NOT NULL AND {ACTIVITY} IS NOT NULL
+), traces AS (
+  SELECT TRY_CAST(regexp_extract(log_id, '([0-9]+)$', 1) AS BIGINT) AS log_number, case_id, string_agg(activity, '>' ORDER BY step_no, activity) AS trace, count(*) AS size
+  FROM steps GROUP BY log_id, case_id
+)"""
+LINES = """
+lines AS (
+  SELECT o_custkey AS log_number, CAST(l_orderkey AS VARCHAR) AS case_id, l_returnflag || l_linestatus AS activity, l_shipdate AS ts, o_orderdate AS start, l_linenumber AS ord, l_quantity AS quantity
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+)"""
+DELIVERIES = f"""{LINES}, traces AS (
+  SELECT log_number, case_id, string_agg(activity, '>' ORDER BY ts, activity, ord) AS trace, count(*) AS size FROM lines GROUP BY log_number, case_id
+)"""
+PAIRS = """
+sided AS (SELECT log_number // 2 AS pair_id, CAST(log_number % 2 + 1 AS INTEGER) AS side, case_id, trace, size FROM traces WHERE log_number IS NOT NULL),
+pop AS (SELECT * FROM sided WHERE pair_id IN (SELECT pair_id FROM sided GROUP BY pair_id HAVING count(DISTINCT side) = 2)),
+counted AS (
+  SELECT pair_id, trace, any_value(size) AS size, count(*) FILTER (side = 1) AS c1, count(*) FILTER (side = 2) AS c2, min(CAST(side AS VARCHAR) || case_id) AS first FROM pop GROUP BY pair_id, trace
+), vs AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY first) - 1 AS variant_id,
+    CAST(sum(c1) OVER (PARTITION BY pair_id) AS BIGINT) AS n1, CAST(sum(c2) OVER (PARTITION BY pair_id) AS BIGINT) AS n2 FROM counted
+)"""
+PAIRED_STEPS, PAIRED_DELIVERIES = f"{STEPS}, {PAIRS}", f"{DELIVERIES}, {PAIRS}"
+
+
+def shuffled(first: str, only: str = "true") -> str:
+    """Replicates of cases in random order, cut after ``first``."""
+    return f"""
+draws AS (
+  SELECT pair_id, rep, CASE WHEN r <= {first} THEN 1 ELSE 2 END AS side, variant_id, count(*) AS cnt FROM (
+    SELECT p.pair_id, rep, variant_id, n1, n2, row_number() OVER (PARTITION BY p.pair_id, rep ORDER BY md5(concat_ws(':', {SEED}, rep, p.pair_id, side, case_id)), side, case_id) AS r
+    FROM pop p JOIN vs ON p.pair_id = vs.pair_id AND p.trace = vs.trace, range({REPLICATES}) t(rep) WHERE {only}
+  ) GROUP BY ALL
+)"""
+
+
+def drawn(name: str, weight: str, size: str, side: int, tag: str) -> str:
+    """Draws with replacement by the counts in ``weight``."""
+    return f"""
+{name}_bounds AS (
+  SELECT *, sum({weight}) OVER (PARTITION BY pair_id ORDER BY variant_id) AS upper, sum({weight}) OVER (PARTITION BY pair_id) AS whole FROM vs
+), {name} AS (
+  SELECT d.pair_id, rep, {side} AS side, variant_id, count(*) AS cnt FROM (
+    SELECT pair_id, rep, k, ('0x' || substr(md5(concat_ws(':', {SEED}, rep, pair_id, '{tag}', k)), 1, 13))::BIGINT % whole AS u
+    FROM (SELECT pair_id, CAST(any_value({size}) AS BIGINT) AS size, CAST(any_value(whole) AS BIGINT) AS whole FROM {name}_bounds GROUP BY pair_id), range({REPLICATES}) t(rep), LATERAL (SELECT unnest(range(size)) AS k)
+  ) d JOIN {name}_bounds b ON d.pair_id = b.pair_id AND u < upper AND u >= upper - {weight} GROUP BY ALL
+)"""
+
+
+def whole(name: str, weight: str, side: int, n: int = REPLICATES) -> str:
+    return f"{name} AS (SELECT pair_id, rep, {side} AS side, variant_id, {weight} AS cnt FROM vs, range({n}) t(rep) WHERE {weight} > 0)"
+
+
+def discrete(draws: str, name: str) -> str:
+    return f"""
+{name}_cells AS (SELECT pair_id, rep, variant_id, coalesce(sum(cnt) FILTER (side = 1), 0) AS c1, coalesce(sum(cnt) FILTER (side = 2), 0) AS c2 FROM {draws} GROUP BY ALL),
+{name}_sums AS (SELECT *, sum(c1) OVER (PARTITION BY pair_id, rep) AS m1, sum(c2) OVER (PARTITION BY pair_id, rep) AS m2 FROM {name}_cells),
+{name} AS (SELECT pair_id, rep, CAST(sum(abs(c1 * m2 - c2 * m1)) AS DOUBLE) / CAST(2 * any_value(m1) * any_value(m2) AS DOUBLE) AS emd FROM {name}_sums GROUP BY pair_id, rep)"""
+
+
+def line(draws: str, name: str) -> str:
+    return f"""
+{name}_cells AS (SELECT d.pair_id, rep, size, coalesce(sum(cnt) FILTER (side = 1), 0) AS c1, coalesce(sum(cnt) FILTER (side = 2), 0) AS c2 FROM {draws} d JOIN vs ON d.pair_id = vs.pair_id AND d.variant_id = vs.variant_id GROUP BY ALL),
+{name}_sums AS (SELECT *, sum(c1) OVER (PARTITION BY pair_id, rep) AS m1, sum(c2) OVER (PARTITION BY pair_id, rep) AS m2 FROM {name}_cells),
+{name}_area AS (
+  SELECT *, abs(sum(c1 * m2 - c2 * m1) OVER (PARTITION BY pair_id, rep ORDER BY size)) * (lead(size) OVER (PARTITION BY pair_id, rep ORDER BY size) - size) AS area FROM {name}_sums
+), {name} AS (SELECT pair_id, rep, CAST(coalesce(sum(area), 0) AS DOUBLE) / CAST(any_value(m1) * any_value(m2) AS DOUBLE) AS emd FROM {name}_area GROUP BY pair_id, rep)"""
+
+
+OBSERVED = f"{whole('seen_1', 'c1', 1, 1)}, {whole('seen_2', 'c2', 2, 1)}, seen AS (SELECT * FROM seen_1 UNION ALL SELECT * FROM seen_2)"
+
+
+def tested(population: str, draws: str, solve, strict: bool) -> str:
+    beyond = ">" if strict else ">="
+    return f"""
+WITH {population}, {draws}, {OBSERVED}, {solve('draws', 'nulls')}, {solve('seen', 'actual')}
+SELECT pair_id, round(any_value(a.emd), 9) AS logs_emd, round(avg(CASE WHEN n.emd {beyond} a.emd THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS pvalue, count(*) AS n_replicates
+FROM nulls n JOIN actual a USING (pair_id) GROUP BY pair_id
+"""
+
+
+def both(first: str, second: str) -> str:
+    return f"{first}, {second}, draws AS (SELECT * FROM draws_1 UNION ALL SELECT * FROM draws_2)"
+
+
+PERMUTED = shuffled("n1")
+REPLACED = both(drawn("draws_1", "c1", "n1", 1, "1"), whole("draws_2", "c1", 2))
+HALVED = shuffled("n1 // 2", "side = 1")
+RESAMPLED = both(drawn("draws_1", "c1", "n1 // 2", 1, "1"), drawn("draws_2", "c1", "n1 // 2", 2, "2"))
+POOLED = both(drawn("draws_1", "(c1 + c2)", "n1", 1, "1"), drawn("draws_2", "(c1 + c2)", "n2", 2, "2"))
+
+# The larger log of a pair becomes side 1.
+TURNED = PAIRED_STEPS.replace("pop AS (SELECT * FROM sided", "sizes AS (SELECT pair_id, count(*) FILTER (side = 1) < count(*) FILTER (side = 2) AS swap FROM sided GROUP BY pair_id),\npop AS (SELECT sided.* REPLACE (CASE WHEN swap THEN 3 - side ELSE side END AS side) FROM sided JOIN sizes USING (pair_id)").replace("HAVING count", "HAVING count").replace("WHERE pair_id IN", "WHERE sided.pair_id IN")
+DOUBLE = f"""
+WITH {TURNED}, {drawn('own_1', 'c1', 'n2', 1, '1')}, {drawn('own_2', 'c1', 'n2', 2, '2')}, own AS (SELECT * FROM own_1 UNION ALL SELECT * FROM own_2),
+{whole('other_2', 'c2', 2)}, other AS (SELECT * FROM own_1 UNION ALL SELECT * FROM other_2), {discrete('own', 'nulls')}, {discrete('other', 'logs')},
+mean AS (SELECT pair_id, avg(emd) AS emd FROM logs GROUP BY pair_id)
+SELECT pair_id, round(any_value(a.emd), 9) AS logs_emd, round(avg(CASE WHEN n.emd >= a.emd THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS pvalue, count(*) AS n_replicates
+FROM nulls n JOIN mean a USING (pair_id) GROUP BY pair_id
+"""
+KS = f"""
+WITH {PAIRED_STEPS}, {RESAMPLED}, {drawn('between_1', 'c1', 'n1 // 2', 1, '1')}, {drawn('between_2', 'c2', 'n2 // 2', 2, '2')},
+between_draws AS (SELECT * FROM between_1 UNION ALL SELECT * FROM between_2), {discrete('draws', 'reference')}, {discrete('between_draws', 'logs')},
+points AS (SELECT pair_id, emd, sum(r) AS r, sum(l) AS l FROM (SELECT pair_id, emd, 1 AS r, 0 AS l FROM reference UNION ALL SELECT pair_id, emd, 0, 1 FROM logs) GROUP BY pair_id, emd),
+ahead AS (SELECT pair_id, r, sum(r - l) OVER (PARTITION BY pair_id ORDER BY emd) AS d FROM points),
+found AS (SELECT pair_id, CAST(greatest(max(d), 0) AS BIGINT) AS h, CAST(sum(r) AS BIGINT) AS n FROM ahead GROUP BY pair_id)
+SELECT pair_id, round(h / n, 9) AS statistic, round(CASE WHEN h = 0 THEN 1.0::DOUBLE ELSE (SELECT exp(sum(ln((n - j)::DOUBLE) - ln((n + j + 1)::DOUBLE))) FROM (SELECT unnest(range(h)) AS j)) END, 9) AS pvalue FROM found
+"""
+
+SQL = {
+    "log_len": f"SELECT count(DISTINCT {CASE}) AS n_cases FROM event_log",
+    "lifecycle_fifo": ranked_start(f"{CASE}, {ACTIVITY}"),
+    "lifecycle_instance": ranked_start(f"{CASE}, {ACTIVITY}, {INSTANCE}"),
+    "infer_instances": f"WITH {INFERRED} SELECT event_ord, instance FROM inferred",
+    "fold_instances": f"WITH {folded('event_log', INSTANCE)}",
+    "strict_interval": f"WITH {INFERRED}, {folded('inferred', 'instance')}",
+    "atomic_to_lifecycle": f"SELECT event_ord, 'complete' AS lifecycle, {CASE} || ':' || row_number() OVER (PARTITION BY {CASE} ORDER BY event_ord) AS instance FROM atomic_log",
+    "atomic_to_interval": f"SELECT event_ord, epoch_us({TIME}) AS start_us FROM atomic_log",
+    "duration": f"SELECT event_ord, (epoch_us({TIME}) - epoch_us(start_timestamp)) / 1e6::DOUBLE AS duration_s FROM interval_log",
+    "waiting_time": f"""
+SELECT event_ord, CASE WHEN before IS NULL THEN 0.0::DOUBLE ELSE (epoch_us(start_timestamp) - before) / 1e6::DOUBLE END AS waiting_s FROM (
+  SELECT *, lag(epoch_us({TIME})) OVER (PARTITION BY {CASE} ORDER BY {TIME}, {ACTIVITY} NULLS FIRST, event_ord) AS before FROM interval_log WHERE {CASE} IS NOT NULL AND {TIME} IS NOT NULL
+)""",
+    "split_cases_event_biased": split("event_biased"),
+    "split_cases_uniform": split("uniform"),
+    "sample_cases": f"""
+WITH keys AS (SELECT {CASE} AS case_id, min(md5('{SEED}:' || event_ord)) AS key FROM event_log WHERE {CASE} IS NOT NULL GROUP BY 1 ORDER BY key, case_id LIMIT 100)
+SELECT case_id, count(*) AS n_rows FROM keys JOIN event_log ON {CASE} = case_id GROUP BY case_id""",
+    "extract_traces": f"""
+SELECT {CASE} AS case_id, string_agg(coalesce({ACTIVITY}, '?'), '>' ORDER BY {TIME}, {ACTIVITY} NULLS FIRST, event_ord) AS trace_text
+FROM event_log WHERE {LIFECYCLE} = 'complete' AND {CASE} IS NOT NULL AND {TIME} IS NOT NULL GROUP BY {CASE}""",
+    "service_time_traces": f"""
+SELECT {CASE} AS case_id, string_agg(coalesce({ACTIVITY}, '?') || '=' || (epoch_us({TIME}) - epoch_us(start_timestamp)), '>' ORDER BY {TIME}, {ACTIVITY} NULLS FIRST, event_ord) AS trace_text
+FROM interval_log WHERE start_timestamp IS NOT NULL AND {CASE} IS NOT NULL AND {TIME} IS NOT NULL GROUP BY {CASE}""",
+    "iqr_bins": bins(0.25, 0.75),
+    "outer_percentile_bins": bins(0.1, 0.9),
+    "binned_traces": f"""
+WITH {LINES}, q AS (SELECT activity, quantile_cont((epoch_us(ts) - epoch_us(start)) / 1e6::DOUBLE, [0.25, 0.75]) AS e FROM lines GROUP BY activity),
+binned AS (SELECT *, CASE WHEN (epoch_us(ts) - epoch_us(start)) / 1e6::DOUBLE < e[1] THEN 0 WHEN (epoch_us(ts) - epoch_us(start)) / 1e6::DOUBLE < e[2] THEN 1 ELSE 2 END AS bin FROM lines JOIN q USING (activity))
+SELECT CAST(case_id AS BIGINT) AS case_id, string_agg(activity || bin, '>' ORDER BY ts, activity, ord, bin) AS trace_text FROM binned GROUP BY case_id""",
+    "stochastic_language": f"WITH {STEPS} SELECT log_number, trace AS trace_text, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY log_number), 9) AS frequency FROM traces WHERE log_number IS NOT NULL GROUP BY log_number, trace",
+    "stochastic_language_deliveries": f"WITH {DELIVERIES} SELECT trace AS trace_text, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS frequency FROM traces GROUP BY trace",
+    "levenshtein_matrix": f"""
+WITH {PAIRED_DELIVERIES}, words AS (SELECT *, regexp_replace(replace(replace(replace(replace(replace(replace(trace, 'AF', 'a'), 'AO', 'b'), 'NF', 'c'), 'NO', 'd'), 'RF', 'e'), 'RO', 'f'), '>', '', 'g') AS word FROM vs)
+SELECT a.pair_id, CAST(a.variant_id AS INTEGER) AS i, CAST(b.variant_id AS INTEGER) AS j, CAST(levenshtein(a.word, b.word) AS DOUBLE) AS cost FROM words a JOIN words b ON a.pair_id = b.pair_id AND a.variant_id <= b.variant_id""",
+    "logs_emd_discrete": f"WITH {PAIRED_DELIVERIES}, {OBSERVED}, {discrete('seen', 'actual')} SELECT pair_id, round(emd, 9) AS logs_emd FROM actual",
+    "logs_emd_line": f"WITH {PAIRED_DELIVERIES}, {OBSERVED}, {line('seen', 'actual')} SELECT pair_id, round(emd, 9) AS logs_emd FROM actual",
+    "permutation_null_discrete": f"WITH {PAIRED_STEPS}, {PERMUTED}, {discrete('draws', 'nulls')} SELECT pair_id, CAST(rep AS INTEGER) AS rep, round(emd, 9) AS emd FROM nulls",
+    "permutation_test_discrete": tested(PAIRED_STEPS, PERMUTED, discrete, True),
+    "permutation_test_line": tested(PAIRED_STEPS, PERMUTED, line, True),
+    "bootstrap_replacement_discrete": tested(PAIRED_STEPS, REPLACED, discrete, False),
+    "bootstrap_split_discrete": tested(PAIRED_STEPS, HALVED, discrete, False),
+    "bootstrap_resample_discrete": tested(PAIRED_STEPS, RESAMPLED, discrete, False),
+    "classic_bootstrap_discrete": tested(PAIRED_STEPS, POOLED, discrete, False),
+    "double_bootstrap_discrete": DOUBLE,
+    "ks_test_discrete": KS,
+    "null_histogram": f"""
+WITH {PAIRED_STEPS}, {PERMUTED}, {line('draws', 'nulls')}, spans AS (SELECT *, min(emd) OVER (PARTITION BY pair_id) AS lo, max(emd) OVER (PARTITION BY pair_id) AS hi FROM nulls)
+SELECT pair_id, CAST(CASE WHEN hi > lo THEN least(floor((emd - lo) * 10 / (hi - lo)), 9) ELSE 0 END AS INTEGER) AS bin, count(*) AS n FROM spans GROUP BY ALL""",
+    "p2_found": f"""
 WITH rows AS (
-  SELECT "case:concept:name" AS case_id, epoch_us(start_timestamp) AS a, epoch_us("time:timestamp") AS b
+  SELECT {CASE} AS case_id, epoch_us(start_timestamp) AS a, epoch_us({TIME}) AS b
   FROM interval_log
-  WHERE "case:concept:name" IS NOT NULL AND start_timestamp IS NOT NULL AND "time:timestamp" IS NOT NULL AND start_timestamp <= "time:timestamp"
+  WHERE {CASE} IS NOT NULL AND start_timestamp IS NOT NULL AND {TIME} IS NOT NULL AND start_timestamp <= {TIME}
 ), marked AS (
   SELECT *, max(b) OVER (PARTITION BY case_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS idle_from FROM rows
 ), numbered AS (
@@ -16,23 +236,15 @@ WITH rows AS (
 )
 SELECT case_id, 'period' AS span_kind, a AS from_us, b AS to_us FROM periods
 UNION ALL
-SELECT case_id, 'gap', b, next_a FROM (SELECT case_id, b, lead(a) OVER (PARTITION BY case_id ORDER BY k) AS next_a FROM periods) WHERE next_a IS NOT NULL
-"""
-
-SEQUENCES = """
-seq AS (
-  SELECT "case:concept:name" AS case_id, "concept:name" AS activity, epoch_us("time:timestamp") AS ts_us, min(event_ord) AS ord
-  FROM event_log
-  WHERE "lifecycle:transition" = 'complete' AND "case:concept:name" IS NOT NULL AND "concept:name" IS NOT NULL AND "time:timestamp" IS NOT NULL
-  GROUP BY "case:concept:name", "concept:name", "lifecycle:transition", "time:timestamp", "concept:instance", start_timestamp
-)"""
-
-P4_FOUND = f"""
-WITH {SEQUENCES}, waits AS (
+SELECT case_id, 'gap', b, next_a FROM (SELECT case_id, b, lead(a) OVER (PARTITION BY case_id ORDER BY k) AS next_a FROM periods) WHERE next_a IS NOT NULL""",
+    "p4_found": f"""
+WITH seq AS (
+  SELECT {CASE} AS case_id, {ACTIVITY} AS activity, epoch_us({TIME}) AS ts_us, min(event_ord) AS ord FROM event_log
+  WHERE {LIFECYCLE} = 'complete' AND {CASE} IS NOT NULL AND {ACTIVITY} IS NOT NULL AND {TIME} IS NOT NULL
+  GROUP BY {CASE}, {ACTIVITY}, {LIFECYCLE}, {TIME}, {INSTANCE}, start_timestamp
+), waits AS (
   SELECT *, coalesce(ts_us - lag(ts_us) OVER (PARTITION BY case_id ORDER BY ts_us, ord), 0) AS wait_us, max(ts_us) OVER (PARTITION BY case_id) AS ends FROM seq
 )
 SELECT case_id, activity AS act_name, count(*) AS n_events, max(ends) - max(ts_us) AS recency_us, CAST(sum(wait_us) AS BIGINT) AS total_us
-FROM waits GROUP BY case_id, activity
-"""
-
-SQL = {"p2_found": P2_FOUND, "p4_found": P4_FOUND}
+FROM waits GROUP BY case_id, activity""",
+}
