@@ -85,6 +85,16 @@ def sliced_lag(events: DataFrame, values: list[str], order: tuple[str, str] = ("
     )
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all shuffle partitions by ``keys``, for steps whose work is out of proportion to their bytes.
+
+    A partition number that is asked for is not coalesced away at run time.
+    """
+    session = df.sparkSession
+    n = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def unused_name(df: DataFrame, base: str) -> str:
     """``base``, lengthened until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

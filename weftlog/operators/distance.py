@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlog.functions.columns import spread
+
 MOST_VARIANTS = 4000  # of one comparison: its dense matrix has 128 MB
 BLOCK = 256
 
@@ -110,5 +112,5 @@ def cost_matrix(vs: DataFrame, cost: Callable[[Column, Column], Column]) -> Data
     packed = sized.select("pair_id", F.struct(*vs.columns).alias("v"), F.floor(F.col("variant_id") / BLOCK).alias("block"), F.floor(F.col("_top") / BLOCK).alias("last_block"))
     left = packed.select("pair_id", F.col("v").alias("a"), F.explode(F.sequence("block", "last_block")).alias("block"))
     right = packed.select("pair_id", F.col("v").alias("b"), "block")
-    joined = left.join(right, ["pair_id", "block"]).where(F.col("a.variant_id") <= F.col("b.variant_id"))
+    joined = spread(left, "pair_id", "block").join(spread(right, "pair_id", "block"), ["pair_id", "block"]).where(F.col("a.variant_id") <= F.col("b.variant_id"))
     return joined.select("pair_id", F.col("a.variant_id").alias("i"), F.col("b.variant_id").alias("j"), cost(F.col("a"), F.col("b")).alias("cost"))

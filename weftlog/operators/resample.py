@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlog.functions.columns import spread
 from weftlog.operators.prepare import hash_key
 
 TESTS = ("permutation", "replacement", "split", "resample", "classic", "between", "smaller", "split_variants")
@@ -34,11 +35,16 @@ def _drawn(vs: DataFrame, n: int, seed: int, weight: str, size: Column, side: in
     upper = vs.withColumn("upper", F.sum(weight).over(along))
     table = upper.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("variant_id", "upper"))).alias("t"), F.max("upper").alias("whole"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
     table = table.select("pair_id", F.col("t.upper").alias("uppers"), "whole", size.cast("int").alias("size")).where("size > 0 and whole > 0")
-    draws = table.select("pair_id", "uppers", "whole", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep"), "size").repartition("pair_id", "rep").select("pair_id", "uppers", "whole", "rep", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("k"))
-    key = hash_key(seed, F.col("rep"), F.col("pair_id"), F.lit(tag), F.col("k"))
-    number = F.conv(F.substring(key, 1, 13), 16, 10).cast("long") % F.col("whole")
+    reps = spread(table.select("pair_id", "uppers", "whole", "size", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep")), "pair_id", "rep")
+
+    def number(k: Column) -> Column:
+        key = hash_key(seed, F.col("rep"), F.col("pair_id"), F.lit(tag), k)
+        return F.conv(F.substring(key, 1, 13), 16, 10).cast("long") % F.col("whole")
+
+    # Drawn case numbers come out of a generator, so that the search below reads them instead of computing them again.
+    draws = reps.select("pair_id", "uppers", "rep", F.explode(F.transform(F.sequence(F.lit(0), F.col("size") - 1), number)).alias("u"))
     # The variant is the number of upper bounds at or below the drawn case number.
-    found = draws.withColumn("u", number).withColumn("variant_id", F.size(F.filter("uppers", lambda b: b <= F.col("u"))))
+    found = draws.withColumn("variant_id", F.size(F.filter("uppers", lambda b: b <= F.col("u"))))
     return found.groupBy("pair_id", "rep", "variant_id").agg(F.count(F.lit(1)).alias("cnt")).select("pair_id", "rep", F.lit(side).alias("side"), "variant_id", "cnt")
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlog.functions.columns import spread
+
 EPSILON = 1e-11
 
 
@@ -16,11 +18,13 @@ def transport(cost: np.ndarray, supply: np.ndarray, demand: np.ndarray) -> np.nd
     """Least total cost of moving ``supply`` to ``demand``, for many problems in step.
 
     ``cost`` is (R, n, m) or (n, m), ``supply`` (R, n) and ``demand`` (R, m)
-    integer masses of equal sums. Successive shortest paths: every round finds,
-    for all open problems at once, the cheapest path from any row with supply
-    left to any column with demand left in the residual graph, and sends what
-    fits. Masses are whole numbers, so rounds end exactly; common mass is not
-    cancelled first, as costs need not be a metric.
+    integer masses of equal sums. What fits is first sent along pairs that are
+    tight under row and column minima. Then, round by round and for all open
+    problems at once, shortest paths from all rows with supply left are found
+    in the residual graph, and mass is sent along the paths of their tree.
+    Every pair in use stays tight under the distances as potentials, so the
+    end is optimal. Masses are whole numbers, so rounds end exactly; common
+    mass is not cancelled first, as costs need not be a metric.
     """
     r, n = supply.shape
     m = demand.shape[1]
@@ -29,56 +33,90 @@ def transport(cost: np.ndarray, supply: np.ndarray, demand: np.ndarray) -> np.nd
     live = np.flatnonzero(supply.sum(axis=1) > 0)
     c, ex, de = cost[live], supply[live].astype(np.int64), demand[live].astype(np.int64)
     flow = np.zeros((len(live), n, m), dtype=np.int64)
+    _send_tight(c, ex, de, flow)
     while len(live):
-        k = len(live)
-        at = np.arange(k)
-        du = np.where(ex > 0, 0.0, np.inf)
-        dv, pu, pv = np.full((k, m), np.inf), np.full((k, n), -1), np.full((k, m), -1)
-        back = np.where(flow > 0, -c, np.inf)
-        while True:
-            via = du[:, :, None] + c
-            row = via.argmin(axis=1)
-            new = np.take_along_axis(via, row[:, None, :], axis=1)[:, 0, :]
-            better = new < dv - EPSILON
-            if not better.any():
-                break
-            dv, pv = np.where(better, new, dv), np.where(better, row, pv)
-            via = dv[:, None, :] + back
-            column = via.argmin(axis=2)
-            new = np.take_along_axis(via, column[:, :, None], axis=2)[:, :, 0]
-            better = new < du - EPSILON
-            if not better.any():
-                break
-            du, pu = np.where(better, new, du), np.where(better, column, pu)
-        target = np.where(de > 0, dv, np.inf).argmin(axis=1)
-        amount = de[at, target].copy()
-        path, j, open_ = [], target.copy(), np.ones(k, dtype=bool)
-        while open_.any():
-            i = pv[at, j]
-            before = pu[at, i]
-            ends = open_ & (before < 0)
-            path.append((open_.copy(), i, j.copy(), before))
-            amount = np.where(ends, np.minimum(amount, ex[at, i]), amount)
-            goes_on = open_ & (before >= 0)
-            amount = np.where(goes_on, np.minimum(amount, flow[at, i, np.maximum(before, 0)]), amount)
-            j = np.where(goes_on, before, j)
-            open_ = goes_on
-        de[at, target] -= amount
-        for used, i, j, before in path:
-            some = np.flatnonzero(used)
-            flow[some, i[some], j[some]] += amount[some]
-            further = some[before[some] >= 0]
-            flow[further, i[further], before[further]] -= amount[further]
-            start = some[before[some] < 0]
-            ex[start, i[start]] -= amount[start]
         done = ex.sum(axis=1) == 0
         if done.any():
             total[live[done]] = (flow[done] * c[done]).sum(axis=(1, 2))
             keep = ~done
             live, c, ex, de, flow = live[keep], c[keep], ex[keep], de[keep], flow[keep]
+            continue
+        _send_shortest(c, ex, de, flow, *_shortest_paths(c, ex, flow))
     return total
 
 
+def _send_tight(c: np.ndarray, ex: np.ndarray, de: np.ndarray, flow: np.ndarray) -> None:
+    if not len(c):
+        return
+    used = np.where((ex > 0)[:, :, None] & (de > 0)[:, None, :], c, np.inf)
+    low = used.min(axis=2, keepdims=True)
+    slack = used - np.where(np.isfinite(low), low, 0)
+    low = slack.min(axis=1, keepdims=True)
+    tight = slack - np.where(np.isfinite(low), low, 0) <= EPSILON
+    at = np.arange(len(c))
+    for _ in range(2):
+        for i in range(c.shape[1]):
+            open_ = tight[:, i, :] & (de > 0)
+            j = open_.argmax(axis=1)
+            amount = np.where(open_[at, j], np.minimum(ex[:, i], de[at, j]), 0)
+            ex[:, i] -= amount
+            de[at, j] -= amount
+            flow[at, i, j] += amount
+
+
+def _shortest_paths(c: np.ndarray, ex: np.ndarray, flow: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distances to columns from rows with supply left, and each column's and row's predecessor."""
+    k, n, m = c.shape
+    du = np.where(ex > 0, 0.0, np.inf)
+    dv, pu, pv = np.full((k, m), np.inf), np.full((k, n), -1), np.full((k, m), -1)
+    back = np.where(flow > 0, -c, np.inf)
+    while True:
+        via = du[:, :, None] + c
+        row = via.argmin(axis=1)
+        new = np.take_along_axis(via, row[:, None, :], axis=1)[:, 0, :]
+        better = new < dv - EPSILON
+        if not better.any():
+            return dv, pu, pv
+        dv, pv = np.where(better, new, dv), np.where(better, row, pv)
+        via = dv[:, None, :] + back
+        column = via.argmin(axis=2)
+        new = np.take_along_axis(via, column[:, :, None], axis=2)[:, :, 0]
+        better = new < du - EPSILON
+        if not better.any():
+            return dv, pu, pv
+        du, pu = np.where(better, new, du), np.where(better, column, pu)
+
+
+def _send_shortest(c: np.ndarray, ex: np.ndarray, de: np.ndarray, flow: np.ndarray, dv: np.ndarray, pu: np.ndarray, pv: np.ndarray) -> None:
+    at = np.arange(len(c))
+    order = np.where(de > 0, dv, np.inf).argsort(axis=1)
+    for place in range(int((de > 0).sum(axis=1).max())):
+        target = order[:, place]
+        amount = np.where(np.isfinite(dv[at, target]), de[at, target], 0)
+        path, j, open_ = [], target, amount > 0
+        while open_.any():
+            i = pv[at, j]
+            before = pu[at, i]
+            ends = before < 0
+            left = np.where(ends, ex[at, i], flow[at, i, before])
+            amount = np.where(open_, np.minimum(amount, left), amount)
+            path.append((open_, i, j, ends, before))
+            open_ = open_ & ~ends & (amount > 0)
+            j = np.where(open_, before, j)
+        some = np.flatnonzero(amount > 0)
+        if not len(some):
+            continue
+        sent = amount[some]
+        de[some, target[some]] -= sent
+        for used, i, j, ends, before in path:
+            on = used[some]
+            s, x = some[on], sent[on]
+            flow[s, i[s], j[s]] += x
+            inner = ~ends[s]
+            flow[s[inner], i[s[inner]], before[s[inner]]] -= x[inner]
+            ex[s[~inner], i[s[~inner]]] -= x[~inner]
+
+
 def emd(first: np.ndarray, second: np.ndarray, cost: np.ndarray) -> float:
     """Distance of two histograms of counts (or of frequencies, taken to 12 digits)."""
     a, b = (np.asarray(x) for x in (first, second))
@@ -92,7 +130,7 @@ def emd(first: np.ndarray, second: np.ndarray, cost: np.ndarray) -> float:
     return float(transport(np.asarray(cost, dtype=float), a[None, :], b[None, :])[0] / scale)
 
 
-def emd_many(problems: list[tuple[np.ndarray, np.ndarray, np.ndarray]], most_cells: int = 4_000_000) -> np.ndarray:
+def emd_many(problems: list[tuple[np.ndarray, np.ndarray, np.ndarray]], most_cells: int = 200_000) -> np.ndarray:
     """Distances of many (counts, counts, cost matrix) problems; those of like size are solved together.
 
     Rows and columns without mass are dropped first.
@@ -152,7 +190,8 @@ def solve_exact(draws: DataFrame, matrix: DataFrame, block: int = 64) -> DataFra
     one = draws.groupBy("pair_id", "rep").agg(F.collect_list(F.struct("side", "variant_id", "cnt")).alias("cells"))
     one = one.select("pair_id", F.floor(F.col("rep") / block).alias("b"), F.struct("rep", of(1, "variant_id").alias("v1"), of(1, "cnt").alias("c1"), of(2, "variant_id").alias("v2"), of(2, "cnt").alias("c2")).alias("one"))
     blocks = one.groupBy("pair_id", "b").agg(F.collect_list("one").alias("replicates"))
-    return blocks.join(dense, "pair_id").select("pair_id", "size", "matrix", "replicates").mapInPandas(_solver, "pair_id long, rep long, emd double")
+    whole = spread(blocks.join(dense, "pair_id"), "pair_id", "b")
+    return whole.select("pair_id", "size", "matrix", "replicates").mapInPandas(_solver, "pair_id long, rep long, emd double")
 
 
 def _masses(draws: DataFrame, place: str) -> DataFrame:
