@@ -95,14 +95,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def unused_name(df: DataFrame, base: str) -> str:
-    """``base``, lengthened until no column of ``df`` has that name."""
-    taken = {c.lower() for c in df.columns}
-    while base.lower() in taken:
-        base += "_"
-    return base
-
-
 def require(df: DataFrame, *names: str) -> None:
     """Raise ValueError unless all named columns are there."""
     missing = [n for n in names if n not in df.columns]

@@ -51,6 +51,7 @@ def extract_binned_traces(log: DataFrame, value: str | Column, model: DataFrame,
     from weftlog.operators.binning import bin_column
 
     number = (value if isinstance(value, Column) else col(value)).cast("double")
-    rows = log.withColumn("_value", number).join(model.withColumnRenamed("label", "_label"), col(activity) == F.col("_label"), "left")
+    needed = dict.fromkeys([case, activity, time, ordinal] + ([tiebreak] if tiebreak else []))
+    rows = log.select(*[col(c) for c in needed], number.alias("_value")).join(model.select(F.col("label").alias("_label"), "kind", "edges"), col(activity) == F.col("_label"), "left")
     binned = rows.withColumn("_bin", bin_column(F.col("_value")))
     return _traces(binned, F.struct(col(activity).alias("activity"), F.col("_bin").alias("bin")), tiebreak, time, case, ordinal)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.functions.columns import ACTIVITY, CASE, DAY_US, END_TRANSITIONS, INSTANCE, LIFECYCLE, ORD, START, START_TRANSITIONS, TIME, col, micros, require, sliced_lag, unused_name
+from weftlog.functions.columns import ACTIVITY, CASE, DAY_US, END_TRANSITIONS, INSTANCE, LIFECYCLE, ORD, START, START_TRANSITIONS, TIME, col, micros, require, sliced_lag
 
 DURATION = "@weft:duration"
 WAITING = "@weft:waiting_time"
@@ -78,12 +78,19 @@ def _is(values: tuple[str, ...], lifecycle: str = LIFECYCLE) -> Column:
     return F.coalesce(col(lifecycle).isin(*values), F.lit(False))
 
 
-def _ranked(rows: DataFrame, keys: list[str], rank: str, ordinal: str, width_us: int) -> DataFrame:
-    """Rows numbered from 0 by time and ordinal inside ``keys``; hot keys are numbered slice by slice."""
-    at, order = unused_name(rows, "ts_us"), unused_name(rows, "ord_")
-    base = rows.withColumns({at: micros(rows, TIME), order: col(ordinal)})
-    numbered = sliced_lag(base, [order], (at, order), keys, width_us)
-    return numbered.withColumn(rank, F.col("pos")).drop("slice", "pos", f"prev_{order}", at, order)
+def _packed(log: DataFrame, **keys: Column) -> DataFrame:
+    """Rows as one struct ``row`` beside internal columns, so that no name of the log can clash with ours."""
+    return log.select(F.struct(*[col(c).alias(c) for c in log.columns]).alias("row"), *[k.alias(name) for name, k in keys.items()])
+
+
+def _unpacked(rows: DataFrame, columns: list[str], **added: Column) -> DataFrame:
+    """The log's columns again, with added ones."""
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in columns], *[v.alias(name) for name, v in added.items()])
+
+
+def _ranked(rows: DataFrame, keys: list[str], width_us: int) -> DataFrame:
+    """Packed rows with ``pos``, numbered from 0 by ``ts_us`` and ``ord`` inside ``keys``; hot keys are numbered slice by slice."""
+    return sliced_lag(rows, ["ord"], ("ts_us", "ord"), keys, width_us)
 
 
 def lifecycle_to_interval(log: DataFrame, instance: str | None = INSTANCE, on_ambiguous: str = "error", ordinal: str = ORD, width_us: int = 30 * DAY_US) -> DataFrame:
@@ -102,26 +109,25 @@ def lifecycle_to_interval(log: DataFrame, instance: str | None = INSTANCE, on_am
     other columns stay as they are.
     """
     require(log, CASE, ACTIVITY, TIME, LIFECYCLE, ordinal)
-    keys = [CASE, ACTIVITY] + ([instance] if instance is not None and instance in log.columns else [])
-    rows = log.drop(START).where(col(CASE).isNotNull() & col(TIME).isNotNull())
-    names = {k: f"_k{i}" for i, k in enumerate(keys)}
-    plain = rows.select([F.col(f"`{c}`") for c in rows.columns] + [col(k).alias(n) for k, n in names.items()])
-    key_names = list(names.values())
+    kept = log.drop(START).where(col(CASE).isNotNull() & col(TIME).isNotNull())
+    by_instance = instance is not None and instance in log.columns
+    keys = {"k0": col(CASE), "k1": col(ACTIVITY)} | ({"k2": col(instance)} if by_instance else {})
+    names = list(keys)
+    packed = _packed(kept, ts_us=micros(kept, TIME), ord=col(ordinal), at=col(TIME), ends=_is(END_TRANSITIONS), starts=_is(START_TRANSITIONS), **keys)
     keyed = F.lit(True)
-    for n in key_names:
+    for n in names:
         keyed = keyed & F.col(n).isNotNull()
-    loose = plain.where(_is(END_TRANSITIONS) & ~keyed).select(*[col(c) for c in rows.columns], col(TIME).alias(START))
-    plain = plain.where(keyed)
-    ends = _ranked(plain.where(_is(END_TRANSITIONS)), key_names, "_rank", ordinal, width_us)
-    starts = _ranked(plain.where(_is(START_TRANSITIONS)), key_names, "_rank", ordinal, width_us).select(*key_names, "_rank", col(TIME).alias("_start"))
-    joined = ends.join(starts, [*key_names, "_rank"], "left")
-    start = F.coalesce(F.col("_start"), col(TIME))
-    if len(keys) == 3 and on_ambiguous == "error":
-        several = starts.groupBy(*key_names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        joined = joined.join(several, key_names, "left")
-        message = F.concat(F.lit("Multiple starting events found for single complete event of instance id "), F.col(names[instance]))
-        start = F.when(F.col("_n") > 1, F.raise_error(message).cast(log.schema[TIME].dataType)).otherwise(start)
-    return joined.select(*[col(c) for c in rows.columns], start.alias(START)).unionByName(loose)
+    ends = _ranked(packed.where(F.col("ends") & keyed), names, width_us)
+    starts = _ranked(packed.where(F.col("starts") & keyed), names, width_us).select(*names, "pos", F.col("at").alias("began"))
+    joined = ends.join(starts, [*names, "pos"], "left")
+    start = F.coalesce("began", "at")
+    if by_instance and on_ambiguous == "error":
+        several = starts.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        joined = joined.join(several, names, "left")
+        message = F.concat(F.lit("Multiple starting events found for single complete event of instance id "), F.col("k2").cast("string"))
+        start = F.when(F.col("n") > 1, F.raise_error(message).cast(log.schema[TIME].dataType)).otherwise(start)
+    loose = packed.where(F.col("ends") & ~keyed)
+    return _unpacked(joined, kept.columns, **{START: start}).unionByName(_unpacked(loose, kept.columns, **{START: F.col("at")}))
 
 
 def atomic_to_lifecycle(log: DataFrame, ordinal: str = ORD) -> DataFrame:
@@ -139,13 +145,11 @@ def add_instance_ids(log: DataFrame, ordinal: str = ORD, width: int = 1 << 20) -
     """Instance ids ``<case>:<k>``, k from 1 in order of the ordinal; rows without a case get null."""
     require(log, CASE, ordinal)
     base = log.drop(INSTANCE)
-    at, case = unused_name(base, "ord_"), unused_name(base, "case_")
-    rows = base.withColumns({at: col(ordinal).cast("long"), case: col(CASE)})
-    placed = sliced_lag(rows.where(F.col(case).isNotNull()), [at], (at, at), case, width)
-    numbered = placed.withColumn(INSTANCE, F.concat(F.col(case).cast("string"), F.lit(":"), (F.col("pos") + 1).cast("string")))
-    rest = rows.where(F.col(case).isNull()).withColumn(INSTANCE, F.lit(None).cast("string"))
-    columns = [*[col(c) for c in base.columns], col(INSTANCE)]
-    return numbered.select(*columns).unionByName(rest.select(*columns))
+    packed = _packed(base, case_id=col(CASE), ord=col(ordinal).cast("long"))
+    placed = sliced_lag(packed.where("case_id is not null"), ["ord"], ("ord", "ord"), "case_id", width)
+    numbered = F.concat(F.col("case_id").cast("string"), F.lit(":"), (F.col("pos") + 1).cast("string"))
+    rest = _unpacked(packed.where("case_id is null"), base.columns, **{INSTANCE: F.lit(None).cast("string")})
+    return _unpacked(placed, base.columns, **{INSTANCE: numbered}).unionByName(rest)
 
 
 def seconds_between(log: DataFrame, start: str, end: str) -> Column:
@@ -166,12 +170,10 @@ def add_waiting_time(log: DataFrame, start: str = START, end: str = TIME, name:
     """
     require(log, CASE, ACTIVITY, start, end, ordinal)
     base = log.drop(name)
-    names = {n: unused_name(base, n) for n in ("end_us", "order_", "case_")}
-    rows = base.withColumns({names["end_us"]: micros(base, end), names["order_"]: F.struct(col(ACTIVITY).alias("a"), col(ordinal).alias("o")), names["case_"]: col(CASE)}).where(col(CASE).isNotNull() & col(end).isNotNull())
-    lagged = sliced_lag(rows, [names["end_us"]], (names["end_us"], names["order_"]), names["case_"], width_us)
-    before = F.col(f"prev_{names['end_us']}")
-    waited = F.when(before.isNull(), F.lit(0.0)).otherwise((micros(lagged, start) - before) / F.lit(1e6))
-    return lagged.select(*[col(c) for c in base.columns], waited.alias(name))
+    packed = _packed(base, case_id=col(CASE), start_us=micros(base, start), end_us=micros(base, end), tie=F.struct(col(ACTIVITY).alias("a"), col(ordinal).alias("o")))
+    lagged = sliced_lag(packed.where("case_id is not null and end_us is not null"), ["end_us"], ("end_us", "tie"), "case_id", width_us)
+    waited = F.when(F.col("prev_end_us").isNull(), F.lit(0.0)).otherwise((F.col("start_us") - F.col("prev_end_us")) / F.lit(1e6))
+    return _unpacked(lagged, base.columns, **{name: waited})
 
 
 def infer_instances(log: DataFrame, ordinal: str = ORD, width_us: int = 30 * DAY_US) -> DataFrame:
@@ -184,11 +186,10 @@ def infer_instances(log: DataFrame, ordinal: str = ORD, width_us: int = 30 * DAY
     base = log.drop(INSTANCE)
     kind = F.when(_is(END_TRANSITIONS), F.lit("end")).when(_is(START_TRANSITIONS), F.lit("start"))
     usable = col(CASE).isNotNull() & col(ACTIVITY).isNotNull() & col(TIME).isNotNull()
-    marked = base.withColumns({"_k0": col(CASE), "_k1": col(ACTIVITY), "_k2": F.when(usable, kind)})
-    numbered = _ranked(marked.where("_k2 is not null"), ["_k0", "_k1", "_k2"], "_rank", ordinal, width_us).withColumn(INSTANCE, F.col("_rank").cast("string"))
-    rest = marked.where("_k2 is null").withColumn(INSTANCE, F.lit("None"))
-    columns = [*[col(c) for c in base.columns], col(INSTANCE)]
-    return numbered.select(*columns).unionByName(rest.select(*columns))
+    packed = _packed(base, k0=col(CASE), k1=col(ACTIVITY), k2=F.when(usable, kind), ts_us=micros(base, TIME), ord=col(ordinal))
+    numbered = _ranked(packed.where("k2 is not null"), ["k0", "k1", "k2"], width_us)
+    rest = _unpacked(packed.where("k2 is null"), base.columns, **{INSTANCE: F.lit("None")})
+    return _unpacked(numbered, base.columns, **{INSTANCE: F.col("pos").cast("string")}).unionByName(rest)
 
 
 def fold_instances(log: DataFrame, on_ambiguous: str = "error") -> DataFrame:
@@ -203,23 +204,19 @@ def fold_instances(log: DataFrame, on_ambiguous: str = "error") -> DataFrame:
     if INSTANCE not in log.columns:
         raise ValueError(f'Instance id column "{INSTANCE}" not found in log')
     require(log, CASE, ACTIVITY, TIME, LIFECYCLE)
-    start_row, end_row = _is(START_TRANSITIONS), _is(END_TRANSITIONS)
-    groups = (
-        log.where(col(CASE).isNotNull() & col(ACTIVITY).isNotNull() & col(INSTANCE).isNotNull())
-        .groupBy(col(CASE).alias("_c"), col(ACTIVITY).alias("_a"), col(INSTANCE).alias("_i"))
-        .agg(F.count_if(start_row).alias("_starts"), F.count_if(end_row).alias("_ends"), F.min(F.when(start_row, col(TIME))).alias("_start"))
-    )
-    joined = log.where(~start_row).join(groups, (col(CASE) == F.col("_c")) & (col(ACTIVITY) == F.col("_a")) & (col(INSTANCE) == F.col("_i")), "left")
     own = F.coalesce(col(START), col(TIME)) if START in log.columns else col(TIME)
-    start = F.when(end_row & F.col("_start").isNotNull(), F.col("_start")).otherwise(own)
+    packed = _packed(log, c=col(CASE), a=col(ACTIVITY), i=col(INSTANCE), at=col(TIME), own=own, starts=_is(START_TRANSITIONS), ends=_is(END_TRANSITIONS))
+    groups = packed.where("c is not null and a is not null and i is not null").groupBy("c", "a", "i").agg(F.count_if("starts").alias("n_starts"), F.count_if("ends").alias("n_ends"), F.min(F.when(F.col("starts"), F.col("at"))).alias("began"))
+    joined = packed.where(~F.col("starts")).join(groups, ["c", "a", "i"], "left")
+    start = F.when(F.col("ends") & F.col("began").isNotNull(), F.col("began")).otherwise(F.col("own"))
     if on_ambiguous == "error":
         kind = log.schema[TIME].dataType
         start = (
-            F.when(F.col("_starts") > 1, F.raise_error(F.concat(F.lit("Multiple starting events found for single complete event of instance id "), F.col("_i"))).cast(kind))
-            .when(F.col("_ends") > 1, F.raise_error(F.concat(F.lit("Multiple complete events found for same activity in case "), F.col("_c"))).cast(kind))
+            F.when(F.col("n_starts") > 1, F.raise_error(F.concat(F.lit("Multiple starting events found for single complete event of instance id "), F.col("i").cast("string"))).cast(kind))
+            .when(F.col("n_ends") > 1, F.raise_error(F.concat(F.lit("Multiple complete events found for same activity in case "), F.col("c").cast("string"))).cast(kind))
             .otherwise(start)
         )
-    return joined.select(*[col(c) for c in log.columns if c != START], start.alias(START))
+    return _unpacked(joined, [c for c in log.columns if c != START], **{START: start})
 
 
 def ensure_start(log: DataFrame, strict: bool = False, on_ambiguous: str = "error", ordinal: str = ORD) -> DataFrame:
