@@ -179,14 +179,15 @@ def add_waiting_time(log: DataFrame, start: str = START, end: str = TIME, name:
 def infer_instances(log: DataFrame, ordinal: str = ORD, width_us: int = 30 * DAY_US) -> DataFrame:
     """Instance ids from order: the k-th START and the k-th END of an activity in a case get ``"k"`` (from 0).
 
-    Rows of other transitions, and END and START rows without case, activity
-    or time, get ``"None"``.
+    Rows without a time come last. Rows of other transitions, and END and START
+    rows without case or activity, get ``"None"``.
     """
     require(log, CASE, ACTIVITY, TIME, LIFECYCLE)
     base = log.drop(INSTANCE)
     kind = F.when(_is(END_TRANSITIONS), F.lit("end")).when(_is(START_TRANSITIONS), F.lit("start"))
-    usable = col(CASE).isNotNull() & col(ACTIVITY).isNotNull() & col(TIME).isNotNull()
-    packed = _packed(base, k0=col(CASE), k1=col(ACTIVITY), k2=F.when(usable, kind), ts_us=micros(base, TIME), ord=col(ordinal))
+    usable = col(CASE).isNotNull() & col(ACTIVITY).isNotNull()
+    last = F.lit(1 << 62)
+    packed = _packed(base, k0=col(CASE), k1=col(ACTIVITY), k2=F.when(usable, kind), ts_us=F.coalesce(micros(base, TIME), last), ord=col(ordinal))
     numbered = _ranked(packed.where("k2 is not null"), ["k0", "k1", "k2"], width_us)
     rest = _unpacked(packed.where("k2 is null"), base.columns, **{INSTANCE: F.lit("None")})
     return _unpacked(numbered, base.columns, **{INSTANCE: F.col("pos").cast("string")}).unionByName(rest)

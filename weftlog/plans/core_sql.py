@@ -22,9 +22,9 @@ SELECT e.event_ord, epoch_us(coalesce(s.{TIME}, e.{TIME})) AS start_us FROM e LE
 KIND = f"CASE WHEN {ENDS} THEN 'end' WHEN {STARTS} THEN 'start' END"
 INFERRED = f"""
 usable AS (
-  SELECT *, CASE WHEN {CASE} IS NOT NULL AND {ACTIVITY} IS NOT NULL AND {TIME} IS NOT NULL THEN {KIND} END AS kind FROM event_log
+  SELECT *, CASE WHEN {CASE} IS NOT NULL AND {ACTIVITY} IS NOT NULL THEN {KIND} END AS kind FROM event_log
 ), inferred AS (
-  SELECT *, CASE WHEN kind IS NULL THEN 'None' ELSE CAST(row_number() OVER (PARTITION BY {CASE}, {ACTIVITY}, kind ORDER BY {TIME}, event_ord) - 1 AS VARCHAR) END AS instance FROM usable
+  SELECT *, CASE WHEN kind IS NULL THEN 'None' ELSE CAST(row_number() OVER (PARTITION BY {CASE}, {ACTIVITY}, kind ORDER BY {TIME} NULLS LAST, event_ord) - 1 AS VARCHAR) END AS instance FROM usable
 )"""
 
 
