@@ -149,7 +149,7 @@ def _merge(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _decoder(n_types: int):
-    def decode(key, group: pd.DataFrame) -> pd.DataFrame:
+    def decode(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         n = np.zeros((BLOCK, n_types), dtype=np.int64)
         total, latest = np.zeros_like(n), np.full_like(n, NEVER)
         for t, counts, totals, last in group[["type_id", "counts", "totals", "latest"]].itertuples(index=False):
@@ -182,7 +182,7 @@ def entity_features(log: DataFrame, width_us: int = 30 * DAY_US) -> tuple[DataFr
     repeated rows count once; ties in time are ordered by the ordinal; an empty
     log gives no rows; extra columns only tell repeated rows apart.
     """
-    events = case_sequences(log)
+    events = materialise(case_sequences(log))
     # Ordinals number the cases inside each block-aligned partition, so that none is shared; kept, as they must not change.
     cases = events.select("case_id").distinct()
     numbered = materialise(cases.select("case_id", F.monotonically_increasing_id().alias("ordinal")))
