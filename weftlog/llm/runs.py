@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlog.functions.checkpoints import materialise
 from weftlog.functions.columns import ACTIVITY, CASE, DAY_US, ORD, TIME, col, first_of_repeats, micros, sliced_lag
 
 # Cyrillic and Greek letters that look like Latin ones, and the Latin letters.
@@ -109,7 +110,7 @@ def collapse_runs(log: DataFrame, activities: DataFrame, shortest: int = 2, chun
     once = first_of_repeats(kept)
     raw = once.select(col(CASE).alias("case_id"), col(ACTIVITY).alias("name"), micros(once, TIME).alias("ts_us"), col(ORD).cast("long").alias("ord"))
     names = resolve_names(kept.select(col(ACTIVITY).alias("name")).distinct(), activities)
-    events = raw.join(names, "name").select("case_id", "act_name", "ts_us", "ord")
+    events = materialise(raw.join(names, "name").select("case_id", "act_name", "ts_us", "ord"))
     ordered = sliced_lag(events, ["act_name"], width_us=width_us).select("case_id", "act_name", "ts_us", "ord", F.col("pos").cast("long").alias("pos"), (F.col("pos") == 0) | (F.col("prev_act_name") != F.col("act_name")), F.floor(F.col("pos") / chunk).cast("long").alias("chunk"))
     ordered = ordered.toDF("case_id", "act_name", "ts_us", "ord", "pos", "starts_run", "chunk")
     cells = ordered.groupBy("case_id", "chunk").agg(

@@ -123,8 +123,8 @@ def frequent_subsequences(events: DataFrame, min_share: float = 0.03, min_cases:
     ``ord``; a pattern may repeat an activity; extra columns are not read.
     """
     spark = events.sparkSession
-    named = events.select("case_id", "activity", "ts_us", "ord")
-    n_cases = named.agg(F.approx_count_distinct("case_id")).first()[0] and named.select("case_id").distinct().count()
+    named = materialise(events.select("case_id", "activity", "ts_us", "ord"))
+    n_cases = named.select("case_id").distinct().count()
     least = max(min_cases, math.ceil(n_cases * min_share - 1e-9))
     # Items of patterns must be frequent themselves: at most (distinct activities per case) / min_share of them.
     frequent_items = [r["activity"] for r in named.select("case_id", "activity").distinct().groupBy("activity").count().where(F.col("count") >= least).orderBy("activity").collect()]
