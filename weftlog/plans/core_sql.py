@@ -172,6 +172,19 @@ found AS (SELECT pair_id, CAST(greatest(max(d), 0) AS BIGINT) AS h, CAST(sum(r)
 SELECT pair_id, round(h / n, 9) AS statistic, round(CASE WHEN h = 0 THEN 1.0::DOUBLE ELSE (SELECT exp(sum(ln((n - j)::DOUBLE) - ln((n + j + 1)::DOUBLE))) FROM (SELECT unnest(range(h)) AS j)) END, 9) AS pvalue FROM found
 """
 
+
+
+def matrix(cost: str) -> str:
+    """Costs between the variants of every pair, their activities written as single letters."""
+    word = "trace"
+    for letter, activity in zip("abcdef", ("AF", "AO", "NF", "NO", "RF", "RO")):
+        word = f"replace({word}, '{activity}', '{letter}')"
+    return f"""
+WITH {PAIRED_DELIVERIES}, words AS (SELECT *, replace({word}, '>', '') AS word FROM vs)
+SELECT a.pair_id, CAST(a.variant_id AS INTEGER) AS i, CAST(b.variant_id AS INTEGER) AS j, {cost} AS cost FROM words a JOIN words b ON a.pair_id = b.pair_id AND a.variant_id <= b.variant_id
+"""
+
+
 SQL = {
     "log_len": f"SELECT count(DISTINCT {CASE}) AS n_cases FROM event_log",
     "lifecycle_fifo": ranked_start(f"{CASE}, {ACTIVITY}"),
@@ -205,9 +218,8 @@ binned AS (SELECT *, CASE WHEN (epoch_us(ts) - epoch_us(start)) / 1e6::DOUBLE <
 SELECT CAST(case_id AS BIGINT) AS case_id, string_agg(activity || bin, '>' ORDER BY ts, activity, ord, bin) AS trace_text FROM binned GROUP BY case_id""",
     "stochastic_language": f"WITH {STEPS} SELECT log_number, trace AS trace_text, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY log_number), 9) AS frequency FROM traces WHERE log_number IS NOT NULL GROUP BY log_number, trace",
     "stochastic_language_deliveries": f"WITH {DELIVERIES} SELECT trace AS trace_text, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS frequency FROM traces GROUP BY trace",
-    "levenshtein_matrix": f"""
-WITH {PAIRED_DELIVERIES}, words AS (SELECT *, regexp_replace(replace(replace(replace(replace(replace(replace(trace, 'AF', 'a'), 'AO', 'b'), 'NF', 'c'), 'NO', 'd'), 'RF', 'e'), 'RO', 'f'), '>', '', 'g') AS word FROM vs)
-SELECT a.pair_id, CAST(a.variant_id AS INTEGER) AS i, CAST(b.variant_id AS INTEGER) AS j, CAST(levenshtein(a.word, b.word) AS DOUBLE) AS cost FROM words a JOIN words b ON a.pair_id = b.pair_id AND a.variant_id <= b.variant_id""",
+    "levenshtein_matrix": matrix("CAST(levenshtein(a.word, b.word) AS DOUBLE)"),
+    "postnorm_levenshtein_matrix": matrix("round(CAST(levenshtein(a.word, b.word) AS DOUBLE) / greatest(a.size, b.size), 9)"),
     "logs_emd_discrete": f"WITH {PAIRED_DELIVERIES}, {OBSERVED}, {discrete('seen', 'actual')} SELECT pair_id, round(emd, 9) AS logs_emd FROM actual",
     "logs_emd_line": f"WITH {PAIRED_DELIVERIES}, {OBSERVED}, {line('seen', 'actual')} SELECT pair_id, round(emd, 9) AS logs_emd FROM actual",
     "permutation_null_discrete": f"WITH {PAIRED_STEPS}, {PERMUTED}, {discrete('draws', 'nulls')} SELECT pair_id, CAST(rep AS INTEGER) AS rep, round(emd, 9) AS emd FROM nulls",
