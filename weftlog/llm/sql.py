@@ -18,4 +18,34 @@ WITH {VALUES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY field_name O
 SELECT field_name, item_key, n, n_field FROM ranked WHERE r <= 100
 """
 
-SQL = {"p6_found": P6_FOUND, "p6_top": P6_TOP}
+SEQUENCES = """
+seq AS (
+  SELECT "case:concept:name" AS case_id, "concept:name" AS activity, "time:timestamp" AS ts, min(event_ord) AS ord FROM event_log
+  WHERE "lifecycle:transition" = 'complete' AND "case:concept:name" IS NOT NULL AND "concept:name" IS NOT NULL AND "time:timestamp" IS NOT NULL
+  GROUP BY "case:concept:name", "concept:name", "lifecycle:transition", "time:timestamp", "concept:instance", start_timestamp
+), pos AS (
+  SELECT case_id, activity, row_number() OVER (PARTITION BY case_id ORDER BY ts, ord) AS p FROM seq
+), least AS (
+  SELECT greatest(5, ceil(count(DISTINCT case_id) * 0.03 - 1e-9)) AS n FROM pos
+), s1 AS (
+  SELECT case_id, activity AS pattern, min(p) AS e FROM pos GROUP BY case_id, activity
+)"""
+
+
+def grown(n: int) -> str:
+    """Leftmost ends of the frequent patterns of ``n - 1`` steps, and of those with one step more."""
+    return f"""
+f{n - 1} AS (SELECT pattern, count(*) AS n_cases FROM s{n - 1} GROUP BY pattern HAVING count(*) >= (SELECT n FROM least)),
+s{n} AS (
+  SELECT s.case_id, s.pattern || '>' || q.activity AS pattern, min(q.p) AS e FROM s{n - 1} s JOIN f{n - 1} USING (pattern) JOIN pos q ON q.case_id = s.case_id AND q.p > s.e
+  WHERE q.activity IN (SELECT pattern FROM f1) GROUP BY s.case_id, s.pattern, q.activity
+)"""
+
+
+P3_FOUND = f"""
+WITH {SEQUENCES}, {", ".join(grown(n) for n in (2, 3, 4, 5))},
+f5 AS (SELECT pattern, count(*) AS n_cases FROM s5 GROUP BY pattern HAVING count(*) >= (SELECT n FROM least))
+SELECT pattern AS pattern_text, n_cases FROM (SELECT * FROM f3 UNION ALL SELECT * FROM f4 UNION ALL SELECT * FROM f5)
+"""
+
+SQL = {"p3_found": P3_FOUND, "p6_found": P6_FOUND, "p6_top": P6_TOP}
