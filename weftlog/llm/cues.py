@@ -19,6 +19,7 @@ SOUND = re.compile(r"\[[^\[\]]{0,80}\]|\([^()]{0,80}\)|\*[^*\n]{1,40}(?:\r?\n[^*
 SPEAKER = re.compile(r"(?:^|(?<=\n))([ \t\-–♪]*)[A-ZÀ-ÞА-Я][A-ZÀ-ÞА-Я]+:(?=\s)")
 MISREAD = re.compile("[ÂÃÄÅÐÑÎÏâãðñ├┬╨╤ΓÔ┼─╬][^\x00-\x7f]|[ГВРС][^\x00-\x7fА-яЁё]")
 FOREIGN = re.compile(r"[^\x00-\x7f]+")
+FOREIGN_DOS = re.compile(r"[^\x00-\x7f\xa0]+")  # a no-break space is no part of what a DOS code page shows
 WORDS_8BIT = re.compile(r"[À-ÿ¨¸]{3,}")
 LETTERS_8BIT = re.compile(r"[À-ÿ¨¸]+")
 LOST = re.compile("�|\\?(?<=\\w\\?)\\w|\\?{3}")
@@ -46,7 +47,7 @@ def _undo(text: str, encoding: str) -> str:
         except (UnicodeEncodeError, UnicodeDecodeError):
             return m.group()
 
-    return FOREIGN.sub(fix, text)
+    return (FOREIGN_DOS if encoding in ("cp437", "cp850") else FOREIGN).sub(fix, text)
 
 
 def repair_encoding(text: str) -> str:
@@ -137,6 +138,11 @@ class Fold(dict):
 FOLDS = (Fold(), Fold(lossy=True))
 
 
+def lost_letters(text: str) -> bool:
+    """Whether the text's encoding has lost letters."""
+    return bool(LOST.search(text))
+
+
 def folded(text: str, lossy: bool = False) -> str:
     """The text in classes of confusable characters, words parted by single blanks."""
     return " ".join(text.translate(FOLDS[lossy]).replace("rn", "m").split())

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlog.functions.columns import col
-from weftlog.llm.cues import LOST, folded, spoken
+from weftlog.llm.cues import folded, lost_letters, spoken
 
 GRAM = 12  # characters of a fingerprint
 WINDOW = 12  # grams of which the least is kept: spans of GRAM + WINDOW - 1 sound characters are always found
@@ -18,6 +18,7 @@ BREAK = "\x01"  # between texts; in no gram of an item
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 REACH = 64
+ANY, SOUND, LOSSY = range(3)  # the documents that a form of an item is for
 
 
 def _mixed(points: np.ndarray) -> np.ndarray:
@@ -68,9 +69,12 @@ class Fingerprints:
     """
 
     def __init__(self, items: list[tuple[int, str]], words: int):
-        texts = [(item, folded(text, lossy).split(" ")) for lossy in (False, True) for item, text in items if text]
-        self.lossy_from = sum(1 for _, text in items if text)
-        texts = [(item, w if len(w) >= words else []) for item, w in texts]
+        full = [(item, text) for item, text in items if text]
+        both = [(item, folded(text), folded(text, lossy=True)) for item, text in full]
+        # An item is kept a second time, as texts that lost letters have it, where that differs.
+        kept = [(item, sound, ANY if sound == lossy else SOUND) for item, sound, lossy in both] + [(item, lossy, LOSSY) for item, sound, lossy in both if sound != lossy]
+        texts = [(item, w if len(w) >= words else []) for item, w in ((item, text.split(" ")) for item, text, _ in kept)]
+        self.loss = np.array([how for _, _, how in kept], dtype=np.int8)
         self.items = np.array([item for item, _ in texts], dtype=np.int64)
         self.words = [w for _, w in texts]
         self.word_ends = [np.cumsum([len(x) for x in w]) for w in self.words]
@@ -89,7 +93,7 @@ class Fingerprints:
                 inside[b : b + n - GRAM + 1] = True
                 owner[b : b + n - GRAM + 1] = i
         at = np.flatnonzero(inside)
-        pairs = np.unique(np.stack([keys[at], (owner[at] % max(1, self.lossy_from)).astype(np.uint64)]), axis=1) if len(at) else np.empty((2, 0), np.uint64)
+        pairs = np.unique(np.stack([keys[at], self.items[owner[at]].astype(np.uint64)]), axis=1) if len(at) else np.empty((2, 0), np.uint64)
         self.known, shared = np.unique(pairs[0], return_counts=True)
         self.order = np.minimum(shared, 0xFFFE).astype(np.uint64) << np.uint64(48) | self.known >> np.uint64(16)
         self.sieve = np.zeros(1 << 22, dtype=bool)
@@ -177,11 +181,8 @@ def _leaks_of(texts: list[str], prints: Fingerprints, least_words: int) -> list[
     """Pairs (index of text, item) of a batch."""
     if not len(prints.pick_keys):
         return []
-    cleaned, lossy = [], []
-    for t in texts:
-        lost = bool(LOST.search(t))
-        cleaned.append(folded(spoken(t), lost))
-        lossy.append(lost)
+    lost = [lost_letters(t) for t in texts]
+    cleaned = [folded(spoken(t), lossy) for t, lossy in zip(texts, lost)]
     spaced = np.frombuffer((BREAK.join(cleaned) + BREAK).encode("utf-32-le"), dtype=np.uint32)
     solid = spaced != 32
     bound_spaced = np.ones(len(spaced) + 1, dtype=bool)
@@ -204,10 +205,12 @@ def _leaks_of(texts: list[str], prints: Fingerprints, least_words: int) -> list[
     pick = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     text = np.searchsorted(ends, place)
     owner, item_at = prints.pick_owner[pick], prints.pick_at[pick]
-    fits = np.asarray(lossy)[text] == (owner >= prints.lossy_from)
+    how = prints.loss[owner]
+    fits = (how == ANY) | (how == np.where(np.asarray(lost)[text], LOSSY, SOUND))
     place, owner, item_at, text = place[fits], owner[fits], item_at[fits], text[fits]
     # One hit for each text, item and diagonal.
-    _, first = np.unique(np.stack([text, owner, place - item_at]), axis=1, return_index=True)
+    diagonal = place - item_at + len(prints.points)
+    _, first = np.unique((text * len(prints.items) + owner) * (len(points) + len(prints.points) + 1) + diagonal, return_index=True)
     place, owner, item_at, text = place[first], owner[first], item_at[first], text[first]
     span = _runs(points, place, prints.points, item_at, 1) + _runs(points, place - 1, prints.points, item_at - 1, -1)
     near = span * 2 >= prints.least[owner]
