@@ -86,8 +86,9 @@ def test_weighted_distance_matches_brute_force(spark):
     words = [[("abc"[rng.integers(3)], int(rng.integers(3))) for _ in range(rng.integers(1, 6))] for _ in range(12)]
     vs = spark.createDataFrame([(0, i, w) for i, w in enumerate(words)], "pair_id long, variant_id int, trace array<struct<activity:string,bin:int>>")
     for bins in (None, 3):
-        for r in distance.cost_matrix(vs, distance.postnormalised_weighted(bins)).collect():
-            assert r["cost"] == pytest.approx(python_weighted(words[r["i"]], words[r["j"]], bins))
+        for matrix in (distance.cost_matrix(vs, distance.postnormalised_weighted(bins)), distance.weighted_matrix(vs, bins)):
+            for r in matrix.collect():
+                assert r["cost"] == pytest.approx(python_weighted(words[r["i"]], words[r["j"]], bins))
 
 
 def test_matrix_spreads_blocks(spark, monkeypatch):

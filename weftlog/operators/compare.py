@@ -19,13 +19,21 @@ EXACT_KS = 10_000  # values per side up to which the exact distribution is used
 
 
 def distances(draws: DataFrame, vs: DataFrame, cost: str | Callable) -> DataFrame:
-    """Distances of replicates under ``discrete``, ``line``, ``levenshtein`` (post-normalised) or a cost function of two struct columns."""
+    """Distances of replicates under a cost.
+
+    ``discrete``, ``line``, ``levenshtein`` (post-normalised), ``weighted``
+    (binned traces), ``weighted:N`` (the same scaled to N bins), or a function of
+    two struct columns.
+    """
     if cost == "discrete":
         return transport.solve_discrete(draws)
     if cost == "line":
         return transport.solve_line(draws, vs.select("pair_id", "variant_id", F.size("trace").alias("position")))
     if cost == "levenshtein":
         return transport.solve_exact(draws, distance.cost_matrix(distance.encoded(vs), distance.postnormalised))
+    if isinstance(cost, str) and cost.startswith("weighted"):
+        bins = cost.partition(":")[2]
+        return transport.solve_exact(draws, distance.weighted_matrix(vs, int(bins) if bins else None))
     if callable(cost):
         return transport.solve_exact(draws, distance.cost_matrix(vs, cost))
     raise ValueError(f"unknown cost: {cost}")
@@ -168,7 +176,7 @@ class LogComparator:
         model = materialise(fit(pooled))
         pop = population(*[extract.extract_binned_traces(v, "_number", model) for v in values])
         bins = binning.num_bins(model) if self.weighted_time_cost else None
-        return pop, self.cost or distance.postnormalised_weighted(bins)
+        return pop, self.cost or (f"weighted:{bins}" if bins is not None else "weighted")
 
     def compare(self) -> Comparison:
         """Run the test. Empty logs raise ValueError."""

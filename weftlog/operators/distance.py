@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,20 +100,78 @@ def postnormalised_weighted(bins: int | Column | None = None) -> Callable[[Colum
     return cost
 
 
-def cost_matrix(vs: DataFrame, cost: Callable[[Column, Column], Column]) -> DataFrame:
-    """Distances between the variants of every pair: ``pair_id, i, j, cost`` for i <= j.
-
-    ``cost`` takes two struct columns with the columns of ``vs`` and is
-    symmetric. The matrix is the reference's own result; it is formed over
-    distinct variants only, at most ``MOST_VARIANTS`` of a comparison (more
-    raise an error when computed), and the rows of a large comparison are
-    spread over blocks of columns.
-    """
+def _pairs(vs: DataFrame) -> DataFrame:
+    """Pairs of variants a and b of every comparison with a.variant_id <= b.variant_id, spread over blocks of columns."""
     width = F.max("variant_id").over(Window.partitionBy("pair_id"))
     checked = F.when(F.col("_top") >= MOST_VARIANTS, F.raise_error(F.lit(f"more than {MOST_VARIANTS} variants in one comparison")).cast("int")).otherwise(F.col("variant_id"))
     sized = vs.withColumn("_top", width).withColumn("variant_id", checked)
     packed = sized.select("pair_id", F.struct(*vs.columns).alias("v"), F.floor(F.col("variant_id") / BLOCK).alias("block"), F.floor(F.col("_top") / BLOCK).alias("last_block"))
     left = packed.select("pair_id", F.col("v").alias("a"), F.explode(F.sequence("block", "last_block")).alias("block"))
     right = packed.select("pair_id", F.col("v").alias("b"), "block")
-    joined = spread(left, "pair_id", "block").join(spread(right, "pair_id", "block"), ["pair_id", "block"]).where(F.col("a.variant_id") <= F.col("b.variant_id"))
-    return joined.select("pair_id", F.col("a.variant_id").alias("i"), F.col("b.variant_id").alias("j"), cost(F.col("a"), F.col("b")).alias("cost"))
+    joined = spread(left, "pair_id", "block").join(spread(right, "pair_id", "block"), ["pair_id", "block"])
+    return joined.where(F.col("a.variant_id") <= F.col("b.variant_id"))
+
+
+def cost_matrix(vs: DataFrame, cost: Callable[[Column, Column], Column]) -> DataFrame:
+    """Distances between the variants of every pair: ``pair_id, i, j, cost`` for i <= j.
+
+    ``cost`` takes two struct columns with the columns of ``vs`` and is
+    symmetric. The matrix is formed over distinct variants only, at most
+    ``MOST_VARIANTS`` of a comparison (more raise an error when computed), and
+    the rows of a large comparison are spread over blocks of columns.
+    """
+    return _pairs(vs).select("pair_id", F.col("a.variant_id").alias("i"), F.col("b.variant_id").alias("j"), cost(F.col("a"), F.col("b")).alias("cost"))
+
+
+def edit_tables(codes_a: np.ndarray, bins_a: np.ndarray, size_a: np.ndarray, codes_b: np.ndarray, bins_b: np.ndarray, size_b: np.ndarray, scale: float) -> np.ndarray:
+    """Weighted edit distances of many pairs of padded sequences, cell by cell of the edit table for all pairs at once."""
+    rows = np.arange(len(size_a))
+    alone_a, alone_b = 1 + bins_a / scale, 1 + bins_b / scale
+    above = np.concatenate([np.zeros((len(rows), 1)), np.cumsum(alone_b, axis=1)], axis=1)
+    out = above[rows, size_b]
+    for i in range(codes_a.shape[1]):
+        row = np.empty_like(above)
+        row[:, 0] = above[:, 0] + alone_a[:, i]
+        swap = (codes_b != codes_a[:, i : i + 1]) + np.abs(bins_b - bins_a[:, i : i + 1]) / scale
+        kept = np.minimum(above[:, 1:] + alone_a[:, i : i + 1], above[:, :-1] + swap)
+        for j in range(codes_b.shape[1]):
+            np.minimum(kept[:, j], row[:, j] + alone_b[:, j], out=row[:, j + 1])
+        above = row
+        out = np.where(size_a == i + 1, above[rows, size_b], out)
+    return out
+
+
+def _padded(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sizes), max(1, int(sizes.max(initial=0)))), dtype=values.dtype)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = values
+    return out
+
+
+def _weighted_batches(bins: int | None):
+    scale, half = (float(max(bins - 1, 1)), 2.0) if bins is not None else (1.0, 1.0)
+
+    def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = [batch.column(k) for k in (3, 4, 5, 6)]
+            sizes = [pc.list_value_length(lists[k]).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2)]
+            names = pa.chunked_array([lists[0].flatten(), lists[2].flatten()]).combine_chunks()
+            codes = pc.fill_null(names.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            numbers = [lists[k].flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 3)]
+            cut = len(numbers[0])
+            whole = edit_tables(_padded(codes[:cut], sizes[0]), _padded(numbers[0], sizes[0]), sizes[0], _padded(codes[cut:], sizes[1]), _padded(numbers[1], sizes[1]), sizes[1], scale)
+            cost = whole / np.maximum(np.maximum(*sizes), 1) / half
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cost)], names=["pair_id", "i", "j", "cost"])
+
+    return costs
+
+
+def weighted_matrix(vs: DataFrame, bins: int | None = None) -> DataFrame:
+    """The matrix of :func:`postnormalised_weighted`, computed for whole Arrow batches of pairs.
+
+    Same result as :func:`cost_matrix` with that column, several times faster.
+    """
+    fields = [F.col(f"{side}.trace.{name}").alias(f"{side}_{name}") for side in ("a", "b") for name in ("activity", "bin")]
+    flat = _pairs(vs).select("pair_id", F.col("a.variant_id").alias("i"), F.col("b.variant_id").alias("j"), *fields)
+    return flat.mapInArrow(_weighted_batches(bins), "pair_id long, i int, j int, cost double")

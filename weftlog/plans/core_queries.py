@@ -185,7 +185,7 @@ def _matrix(cost):
 def _weighted_matrix(bins):
     def query(spark, d):
         vs = variants(paired_population(binned_delivery_traces(spark, d, "duration")))
-        return distance.cost_matrix(vs, distance.postnormalised_weighted(bins)).withColumn("cost", F.round("cost", 9))
+        return distance.weighted_matrix(vs, bins).withColumn("cost", F.round("cost", 9))
 
     return query
 
@@ -222,7 +222,7 @@ def _null(source, test, cost, n=REPLICATES):
 def _binned_test(value, bins, n=20):
     def query(spark, d):
         pop = paired_population(binned_delivery_traces(spark, d, value))
-        return _rounded(compare.run_test(pop, "permutation", distance.postnormalised_weighted(bins), n, SEED)[1])
+        return _rounded(compare.run_test(pop, "permutation", f"weighted:{bins}" if bins else "weighted", n, SEED)[1])
 
     return query
 
