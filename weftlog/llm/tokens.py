@@ -33,6 +33,8 @@ class MergeAutomaton:
     from the transition table.
     """
 
+    MOST_ARCS = 1_000_000  # of the transition table that are remembered
+
     def __init__(self, data: bytes):
         model = json.loads(data)["model"]
         to_byte = _byte_letters()
@@ -73,6 +75,8 @@ class MergeAutomaton:
     def encode(self, word: bytes) -> list[int]:
         """The ids of one pre-split word; every prefix has one accepted path, whose last arc is kept."""
         ids, table = self.ids, self.table
+        if len(table) > self.MOST_ARCS:
+            table.clear()
         if ids.get(word) in self.opening:
             return [ids[word]]
         arrived: list[int] = [-1]
