@@ -44,13 +44,12 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _with_log(traces: DataFrame, log: DataFrame) -> DataFrame:
-    return traces.join(log.select(col(CASE).alias("case_id"), "log_number").distinct(), "case_id")
+def _with_log(traces: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("log_number")), "case_id")
 
 
 def delivery_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = deliveries(spark, sf_dir)
-    return _with_log(extract.extract_traces(log), log)
+    return _with_log(extract.extract_traces(deliveries(spark, sf_dir)), spark, sf_dir)
 
 
 def binned_delivery_traces(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
@@ -58,17 +57,13 @@ def binned_delivery_traces(spark: SparkSession, sf_dir: str, value: str) -> Data
     log = deliveries(spark, sf_dir)
     log = log.withColumn("_number", prepare.seconds_between(log, START, TIME) if value == "duration" else col(value).cast("double"))
     model = binning.fit_iqr(log.select(col(ACTIVITY).alias("label"), F.col("_number").alias("value")))
-    return _with_log(extract.extract_binned_traces(log, "_number", model), log)
+    return _with_log(extract.extract_binned_traces(log, "_number", model), spark, sf_dir)
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "event_log").drop(START)
 
 
-def _us(df: DataFrame, *names: str) -> dict:
-    return {f"{n.split(':')[0]}_us": micros(df, n) for n in names}
-
-
 # -- sources, preparation ----------------------------------------------------
 
 
