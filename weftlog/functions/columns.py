@@ -86,12 +86,15 @@ def sliced_lag(events: DataFrame, values: list[str], order: tuple[str, str] = ("
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows over all shuffle partitions by ``keys``, for steps whose work is out of proportion to their bytes.
+    """Rows over all cores by ``keys``, for steps whose work is out of proportion to their bytes.
 
-    A partition number that is asked for is not coalesced away at run time.
+    A partition number that is asked for is not coalesced away at run time. It
+    is the session's number of shuffle partitions, but between one and four
+    times the number of cores.
     """
     session = df.sparkSession
-    n = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    cores = session.sparkContext.defaultParallelism
+    n = max(cores, min(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * cores))
     return df.repartition(n, *keys)
 
 
