@@ -134,35 +134,39 @@ def _runs(points: np.ndarray, at: np.ndarray, others: np.ndarray, at_other: np.n
     return reach
 
 
-def _follow(doc: np.ndarray, d: int, bounds: np.ndarray, words: list[str], w: int, step: int) -> int:
+def _follow(doc: np.ndarray, solid: str, d: int, bounds: np.ndarray, words: list[str], w: int, step: int, seen: set[tuple[int, int]]) -> int:
     """How many successive item words, from word ``w`` on in direction ``step``, the document has from ``d`` on.
 
     A word may differ by one character in five (none in short words), as
     damaged words do; the last one counted must end where a document word ends.
+    ``solid`` has the characters of ``doc``. The places where words of the item
+    begin in the document are added to ``seen``.
     """
     n, matched = 0, 0
     while 0 <= w < len(words):
         word = words[w]
         size = len(word)
-        allowed = 0 if size < 5 else 1 if size < 10 else 2
-        target = np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32)
-        best = None
-        for shift in (0, 1, -1) if allowed else (0,):
-            a, b = (d, d + size + shift) if step > 0 else (d - size - shift, d)
-            if a < 0 or b > len(doc) or b - a < 1:
-                continue
-            found = doc[a:b]
-            if shift == 0:
-                cost = int((found != target).sum())
-            else:
-                cost = _one_off(found, target) if shift else 9
-            if cost <= allowed and (best is None or cost < best[0]):
-                best = (cost, b if step > 0 else a)
-            if cost == 0:
+        a, b = (d, d + size) if step > 0 else (d - size, d)
+        if a >= 0 and solid[a:b] == word:
+            d = b if step > 0 else a
+        else:
+            allowed = 0 if size < 5 else 1 if size < 10 else 2
+            if not allowed:
                 break
-        if best is None:
-            break
-        d, w, n = best[1], w + step, n + 1
+            target = np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32)
+            best = None
+            for shift in (0, 1, -1):
+                a, b = (d, d + size + shift) if step > 0 else (d - size - shift, d)
+                if a < 0 or b > len(doc) or b - a < 1:
+                    continue
+                cost = _one_off(doc[a:b], target) if shift else int((doc[a:b] != target).sum())
+                if cost <= allowed and (best is None or cost < best[0]):
+                    best = (cost, b if step > 0 else a)
+            if best is None:
+                break
+            d = best[1]
+        w, n = w + step, n + 1
+        seen.add((w, d) if step > 0 else (w + 1, d))
         if bounds[d]:
             matched = n
     return matched
@@ -208,25 +212,31 @@ def _leaks_of(texts: list[str], prints: Fingerprints, least_words: int) -> list[
     how = prints.loss[owner]
     fits = (how == ANY) | (how == np.where(np.asarray(lost)[text], LOSSY, SOUND))
     place, owner, item_at, text = place[fits], owner[fits], item_at[fits], text[fits]
-    # One hit for each text, item and diagonal.
-    diagonal = place - item_at + len(prints.points)
-    _, first = np.unique((text * len(prints.items) + owner) * (len(points) + len(prints.points) + 1) + diagonal, return_index=True)
-    place, owner, item_at, text = place[first], owner[first], item_at[first], text[first]
+    turn = np.lexsort((place, owner, text))
+    place, owner, item_at, text = place[turn], owner[turn], item_at[turn], text[turn]
     span = _runs(points, place, prints.points, item_at, 1) + _runs(points, place - 1, prints.points, item_at - 1, -1)
     near = span * 2 >= prints.least[owner]
-    found: dict[tuple[int, int], bool] = {}
+    solid_text = points.tobytes().decode("utf-32-le")
+    found: set[tuple[int, int]] = set()
+    last, seen = None, set()
     for p, o, i, t in zip(place[near].tolist(), owner[near].tolist(), item_at[near].tolist(), text[near].tolist()):
         pair = (t, int(prints.items[o]))
-        if found.get(pair):
+        if pair in found:
             continue
+        if last != (t, o):
+            last, seen = (t, o), set()
         inside = i - int(prints.begin[o])
         word_ends = prints.word_ends[o]
         # The first word that begins at the hit or after it, and where it lies in the document.
         w = int(np.searchsorted(word_ends, inside, side="left")) + 1 if inside else 0
         d = p + (int(word_ends[w - 1]) - inside if w else 0)
-        total = _follow(points, d, bounds, prints.words[o], w, 1) + _follow(points, d, bounds, prints.words[o], w - 1, -1)
+        # A hit inside words that were counted around another one adds nothing.
+        if (w, d) in seen:
+            continue
+        seen.add((w, d))
+        total = _follow(points, solid_text, d, bounds, prints.words[o], w, 1, seen) + _follow(points, solid_text, d, bounds, prints.words[o], w - 1, -1, seen)
         if total >= least_words:
-            found[pair] = True
+            found.add(pair)
     return list(found)
 
 
@@ -260,9 +270,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, words: int = 10, block:
     ``WINDOW`` neighbouring grams of ``GRAM`` characters the least is a
     fingerprint, so every sound shared span of ``GRAM + WINDOW - 1``
     characters has one in common. Documents are scanned once, where they lie,
-    against the fingerprints of the items, hits are extended both ways, and
-    the successive words of the item around them are counted, a damaged word
-    counting as what it was. Items come to the tasks in blocks of at most
+    against the fingerprints of the items, every hit that is not inside words
+    already counted is extended both ways, and the successive words of the
+    item around it are counted, a damaged word counting as what it was. Items come to the tasks in blocks of at most
     ``block``, a stated query set against all documents.
 
     Defined cases: null or empty texts and items with fewer words leak
