@@ -15,3 +15,10 @@ def test_intact_words_after_a_damaged_one_on_the_same_diagonal():
     assert leaks(SPEECH + damaged + " " + SPEECH, " ".join(WORDS))
     assert leaks(SPEECH + " ".join(damaged.split()[:16]) + " " + SPEECH, " ".join(WORDS))
     assert not leaks(SPEECH + " ".join(damaged.split()[:15]) + " " + SPEECH, " ".join(WORDS))
+
+
+def test_letters_dropped_in_every_third_word_of_a_long_worded_item():
+    words = "verantwortung jahrhunderte gesellschaft freundschaft wirtschaften nachbarschaft landwirtschaft wissenschaft mannschaften botschafter".split()
+    worn = [w[:4] + w[5:] if i % 3 == 2 else w for i, w in enumerate(words)]
+    assert leaks(SPEECH + " ".join(worn) + " " + SPEECH, " ".join(words))
+    assert not leaks(SPEECH + " ".join(worn[:9]) + " " + SPEECH, " ".join(words))

@@ -77,14 +77,13 @@ class Fingerprints:
         self.loss = np.array([how for _, _, how in kept], dtype=np.int8)
         self.items = np.array([item for item, _ in texts], dtype=np.int64)
         self.words = [w for _, w in texts]
-        self.word_ends = [np.cumsum([len(x) for x in w]) for w in self.words]
         joined = BREAK.join("".join(w) for w in self.words) + BREAK
         self.points = np.r_[np.zeros(REACH, np.uint32), np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32), np.zeros(2 * REACH, np.uint32)]
         lengths = np.array([sum(map(len, w)) for w in self.words], dtype=np.int64)
         self.begin = REACH + np.r_[0, np.cumsum(lengths + 1)[:-1]] if len(texts) else np.empty(0, np.int64)
-        # Fewest characters that ten successive words of an item have.
-        spans = [min((int(e[i + words - 1] - (e[i - 1] if i else 0)) for i in range(len(e) - words + 1)), default=0) for e in self.word_ends]
-        self.least = np.array(spans, dtype=np.int64)
+        # Where all words begin, and where the last of each item ends.
+        self.starts = np.concatenate([b + np.cumsum([0, *map(len, w)]) for b, w in zip(self.begin, self.words)]) if len(texts) else np.empty(0, np.int64)
+        self.first = np.r_[0, np.cumsum([len(w) + 1 for w in self.words])[:-1]] if len(texts) else np.empty(0, np.int64)
         keys = gram_keys(self.points)
         inside = np.zeros(len(keys), dtype=bool)
         owner = np.zeros(len(keys), dtype=np.int64)
@@ -119,21 +118,6 @@ class Fingerprints:
         return out
 
 
-def _runs(points: np.ndarray, at: np.ndarray, others: np.ndarray, at_other: np.ndarray, step: int, slack: int = 2) -> np.ndarray:
-    """How far texts agree from given places on, in one direction, but for ``slack`` characters."""
-    reach, errors, open_ = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.arange(len(at))
-    for k in range(REACH):
-        a, b = points[at[open_] + step * k], others[at_other[open_] + step * k]
-        differs = a != b
-        errors[open_] += differs
-        same = ~differs
-        reach[open_[same]] = k + 1
-        open_ = open_[(errors[open_] <= slack) & (b > 1)]
-        if not len(open_):
-            break
-    return reach
-
-
 def _follow(doc: np.ndarray, solid: str, d: int, bounds: np.ndarray, words: list[str], w: int, step: int, seen: set[tuple[int, int]]) -> int:
     """How many successive item words, from word ``w`` on in direction ``step``, the document has from ``d`` on.
 
@@ -212,24 +196,21 @@ def _leaks_of(texts: list[str], prints: Fingerprints, least_words: int) -> list[
     how = prints.loss[owner]
     fits = (how == ANY) | (how == np.where(np.asarray(lost)[text], LOSSY, SOUND))
     place, owner, item_at, text = place[fits], owner[fits], item_at[fits], text[fits]
-    turn = np.lexsort((place, owner, text))
-    place, owner, item_at, text = place[turn], owner[turn], item_at[turn], text[turn]
-    span = _runs(points, place, prints.points, item_at, 1) + _runs(points, place - 1, prints.points, item_at - 1, -1)
-    near = span * 2 >= prints.least[owner]
+    # The first word that begins at the hit or after it, and where it lies in the document.
+    start = np.searchsorted(prints.starts, item_at)
+    begins = place + prints.starts[start] - item_at
+    _, once = np.unique(start * len(points) + begins, return_index=True)
+    once = once[np.lexsort((begins[once], owner[once], text[once]))]
+    word = start - prints.first[owner]
     solid_text = points.tobytes().decode("utf-32-le")
     found: set[tuple[int, int]] = set()
     last, seen = None, set()
-    for p, o, i, t in zip(place[near].tolist(), owner[near].tolist(), item_at[near].tolist(), text[near].tolist()):
+    for d, w, o, t in zip(begins[once].tolist(), word[once].tolist(), owner[once].tolist(), text[once].tolist()):
         pair = (t, int(prints.items[o]))
         if pair in found:
             continue
         if last != (t, o):
             last, seen = (t, o), set()
-        inside = i - int(prints.begin[o])
-        word_ends = prints.word_ends[o]
-        # The first word that begins at the hit or after it, and where it lies in the document.
-        w = int(np.searchsorted(word_ends, inside, side="left")) + 1 if inside else 0
-        d = p + (int(word_ends[w - 1]) - inside if w else 0)
         # A hit inside words that were counted around another one adds nothing.
         if (w, d) in seen:
             continue
