@@ -22,3 +22,13 @@ def test_letters_dropped_in_every_third_word_of_a_long_worded_item():
     worn = [w[:4] + w[5:] if i % 3 == 2 else w for i, w in enumerate(words)]
     assert leaks(SPEECH + " ".join(worn) + " " + SPEECH, " ".join(words))
     assert not leaks(SPEECH + " ".join(worn[:9]) + " " + SPEECH, " ".join(words))
+
+
+def test_russian_in_a_document_that_lost_letters_elsewhere():
+    russian = "Почему капитан оставил шесть тысяч монет когда никто искал лестницу за мельницей"
+    for mark in ("What???", "M?nzen", "caf�"):
+        assert leaks(f"{SPEECH}{mark}\n{russian}\n{SPEECH}", russian)
+        assert leaks(f"{SPEECH}{mark}\n{russian.encode('cp1251').decode('latin-1')}\n", russian)
+    german = "Käufer größerer Häuser müssen während schöner Wintertage über gefährliche Brücken hinüber"
+    assert leaks(SPEECH + german.encode("ascii", "replace").decode(), german)
+    assert not leaks(f"{SPEECH} What???\n{' '.join(russian.split()[:9])}\n{SPEECH}", russian)

@@ -169,8 +169,10 @@ def _leaks_of(texts: list[str], prints: Fingerprints, least_words: int) -> list[
     """Pairs (index of text, item) of a batch."""
     if not len(prints.pick_keys):
         return []
-    lost = [lost_letters(t) for t in texts]
-    cleaned = [folded(spoken(t), lossy) for t, lossy in zip(texts, lost)]
+    speech = [spoken(t) for t in texts]
+    lost = [i for i, t in enumerate(texts) if lost_letters(t)]
+    # Texts that lost letters somewhere stand there a second time, without all that may be lost.
+    cleaned = [folded(t) for t in speech] + [folded(speech[i], lossy=True) for i in lost]
     spaced = np.frombuffer((BREAK.join(cleaned) + BREAK).encode("utf-32-le"), dtype=np.uint32)
     solid = spaced != 32
     bound_spaced = np.ones(len(spaced) + 1, dtype=bool)
@@ -191,10 +193,11 @@ def _leaks_of(texts: list[str], prints: Fingerprints, least_words: int) -> list[
         return []
     place = np.repeat(at, n)
     pick = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    text = np.searchsorted(ends, place)
+    form = np.searchsorted(ends, place)
+    text = np.r_[np.arange(len(texts)), np.array(lost, dtype=np.int64)][form]
     owner, item_at = prints.pick_owner[pick], prints.pick_at[pick]
     how = prints.loss[owner]
-    fits = (how == ANY) | (how == np.where(np.asarray(lost)[text], LOSSY, SOUND))
+    fits = (how == ANY) | (how == np.where(form < len(texts), SOUND, LOSSY))
     place, owner, item_at, text = place[fits], owner[fits], item_at[fits], text[fits]
     # The first word that begins at the hit or after it, and where it lies in the document.
     start = np.searchsorted(prints.starts, item_at)
@@ -247,7 +250,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, words: int = 10, block:
 
     Winnowing: texts are folded (wrong encodings undone; case, accents,
     punctuation, cue marks, markup and sound descriptions dropped; characters
-    that recognition confuses made equal; blanks dropped). Of every
+    that recognition confuses made equal; blanks dropped). Texts whose
+    encoding lost letters somewhere are matched as they are and also without
+    all letters that may be lost. Of every
     ``WINDOW`` neighbouring grams of ``GRAM`` characters the least is a
     fingerprint, so every sound shared span of ``GRAM + WINDOW - 1``
     characters has one in common. Documents are scanned once, where they lie,
