@@ -11,9 +11,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlog.functions.checkpoints import materialise
+
 MODEL = "label string, kind string, edges array<double>, num_bins int"
 
 
@@ -61,23 +63,62 @@ def greedy_centres(values: np.ndarray, k: int, seed: int | None, trials: int = 1
     return np.sort(np.asarray(centres, dtype=float))
 
 
-def fit_kmeans_seeds(values: DataFrame, k: int = 3, seed: int | None = None, label: str = "label", value: str = "value", order: str | None = None, most_values: int = 100_000) -> DataFrame:
+def _reached(rows: DataFrame, mass: Column, goals: DataFrame) -> DataFrame:
+    """Per label the values at which the running sum of ``mass``, in the order of ``o`` and value, reaches the label's goals.
+
+    ``goals`` is ``label, goals, relative``: relative goals are shares of the
+    label's sum. Running sums are taken inside parts of the order and carried
+    over by sums of parts. Returns ``label, drawn`` in the order of the goals.
+    """
+    rows = rows.withColumn("m", mass)
+    along = Window.partitionBy("label").orderBy("part")
+    parts = rows.groupBy("label", "part").agg(F.sum("m").alias("m")).withColumn("upto", F.sum("m").over(along))
+    parts = parts.withColumns({"before": F.lag("upto").over(along), "total": F.max("upto").over(Window.partitionBy("label"))})
+    asked = parts.join(goals, "label").select("label", "part", "upto", "before", "total", "relative", F.posexplode("goals").alias("trial", "goal"))
+    asked = asked.withColumn("goal", F.when(F.col("relative"), F.col("goal") * F.col("total")).otherwise(F.col("goal")))
+    asked = asked.where("goal <= upto and (before is null or goal > before)").select("label", "part", "trial", "goal", F.coalesce("before", F.lit(0.0)).alias("before"))
+    order = F.struct("o", "value")
+    inside = Window.partitionBy("label", "part").orderBy("o", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = rows.join(asked.select("label", "part").distinct(), ["label", "part"], "left_semi").withColumn("sum", F.sum("m").over(inside))
+    # Where rounding leaves a part's running sum below the goal, its last value of any mass is taken.
+    first = F.min_by("value", F.when(F.col("before") + F.col("sum") >= F.col("goal"), order))
+    found = near.join(asked, ["label", "part"]).groupBy("label", "trial").agg(F.coalesce(first, F.max_by("value", F.when(F.col("m") > 0, order))).alias("value"))
+    return found.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("trial", "value")))["value"].alias("drawn"))
+
+
+def fit_kmeans_seeds(values: DataFrame, k: int = 3, seed: int | None = None, label: str = "label", value: str = "value", order: str | None = None, trials: int = 10) -> DataFrame:
     """Centres per label by k-means++ seeding (no further iterations), drawn from the label's values.
 
-    A label's values are seen in the order of ``order``. A label may hold a
-    third of all rows: seeding is fitted on at most about ``most_values`` of
-    its values, chosen by a hash of the row (a documented bound for fitting;
-    every value is binned).
+    The same as ``greedy_centres`` of the label's values in the order of
+    ``order`` (then of value), from all of them: equal rows become one with a
+    weight, and each of the ``k - 1`` rounds draws and judges its trials by sums
+    over all rows, so no task holds a label's values.
     """
     rows = values.where(F.col(label).isNotNull() & F.col(value).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(value).cast("double").alias("value"), (F.col(order) if order else F.lit(0)).cast("long").alias("o"))
-    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    picked = rows.join(counts, "label").where((F.col("n") <= most_values) | (F.pmod(F.xxhash64("value", "o"), F.lit(1_000_000)) < F.lit(1e6) * most_values / F.col("n")))
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        centres = greedy_centres(group.sort_values(["o", "value"])["value"].to_numpy(), k, seed)
-        return pd.DataFrame([(group["label"].iloc[0], "centres", centres, len(centres))], columns=["label", "kind", "edges", "num_bins"])
-
-    return picked.select("label", "value", "o").groupBy("label").applyInPandas(fit, MODEL)
+    weighed = rows.groupBy("label", "value", "o").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    weighed = materialise(weighed.repartitionByRange("label", "o", "value").withColumn("part", F.spark_partition_id()))
+
+    def draws(n):
+        rng = np.random.RandomState(seed)
+        return [float(rng.choice(int(n)) + 1), *rng.uniform(size=max(0, min(k, int(n)) - 1) * trials).tolist()]
+
+    state = materialise(weighed.groupBy("label").agg(F.sum("w").alias("n")).withColumn("draws", F.udf(draws, "array<double>")("n")))
+    goals = state.select("label", F.slice("draws", 1, 1).alias("goals"), F.lit(False).alias("relative"))
+    state = materialise(state.join(_reached(weighed, F.col("w"), goals), "label").withColumnRenamed("drawn", "centres"))
+
+    def away(centres: Column) -> Column:
+        return F.array_min(F.transform(centres, lambda c: (F.col("value") - c) * (F.col("value") - c)))
+
+    for done in range(1, k):
+        open_ = state.where(F.col("n") > done)
+        left = weighed.join(open_.select("label", "centres"), "label").withColumn("nearest", away(F.col("centres"))).drop("centres")
+        goals = open_.select("label", F.slice("draws", 2 + (done - 1) * trials, trials).alias("goals"), F.lit(True).alias("relative"))
+        drawn = materialise(_reached(left, F.col("w") * F.col("nearest"), goals))
+        rest = [F.sum(F.col("w") * F.least("nearest", away(F.array(F.col("drawn")[t])))) for t in range(trials)]
+        judged = left.join(drawn, "label").groupBy("label", "drawn").agg(F.array(*rest).alias("rest"))
+        best = judged.select("label", F.element_at("drawn", F.array_position("rest", F.array_min("rest")).cast("int")).alias("best"))
+        state = materialise(state.join(best, "label", "left").select("label", "n", "draws", F.when(F.col("best").isNull(), F.col("centres")).otherwise(F.array_append("centres", F.col("best"))).alias("centres")))
+    return state.select("label", F.lit("centres").alias("kind"), F.array_sort("centres").alias("edges"), F.size("centres").alias("num_bins"))
 
 
 def fit_custom(values: DataFrame, factory: Callable[[list[float]], list[float]], label: str = "label", value: str = "value") -> DataFrame:
