@@ -77,8 +77,14 @@ def _around(values: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> np.ndarr
     return total[np.minimum(at + NEAR + 1, ends[owner])] - total[np.maximum(at - NEAR, begin[owner])]
 
 
+def _cleaned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts as their tokens without cue times and markup, single blanks between them."""
+    for batch in _parts(batches):
+        yield batch.assign(text=[" ".join(speech_lines(t).split()) for t in batch["text"]])
+
+
 def _words(texts: list[str]) -> list[list[str]]:
-    return [speech_lines(t or "").split() for t in texts]
+    return [t.split(" ") if t else [] for t in texts]
 
 
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,17 +115,17 @@ def _lexicon_counter(lexicon: dict[str, float]):
     return count
 
 
-def spam_lexicon(sample: DataFrame, rounds: int = 3, one_in: int = 20_000) -> dict[str, float]:
+def spam_lexicon(cleaned: DataFrame, rounds: int = 3, one_in: int = 20_000) -> dict[str, float]:
     """Log-odds of words to stand among links, tags and listings rather than in speech.
 
-    Grown from the marks alone (no word list): each round counts words by what
-    surrounds them under the last round's weights. Words below one in
+    Grown from the marks alone (no word list): each round counts the words of
+    all texts by what surrounds them under the last round's weights. Words below one in
     ``one_in`` of the tokens of either kind are left out, so at most
     ``2 * one_in`` words come to the driver and go to the tasks.
     """
     lexicon: dict[str, float] = {}
     for _ in range(rounds):
-        counts = sample.mapInPandas(_lexicon_counter(lexicon), "key string, n_spam long, n_speech long").where("key != ''").groupBy("key").agg(F.sum("n_spam").alias("s"), F.sum("n_speech").alias("h"))
+        counts = cleaned.mapInPandas(_lexicon_counter(lexicon), "key string, n_spam long, n_speech long").where("key != ''").groupBy("key").agg(F.sum("n_spam").alias("s"), F.sum("n_speech").alias("h"))
         counts = materialise(counts)
         total = counts.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum("h"), F.lit(0))).first()
         if not total[0] or not total[1]:
@@ -166,12 +172,13 @@ def _featurer(lexicon: dict[str, float]):
 def spam_pages(documents: DataFrame, sample_rows: int = 20_000, trees: int = 20, host_weight: float = 0.25) -> DataFrame:
     """Documents more than half of whose text is keywords, links, tags or listings: ``doc_id`` with ``score``.
 
-    1. On a sample of about ``sample_rows`` documents (chosen by a hash of the
-       id; all where there are fewer) a lexicon is grown from links, tags and
-       listing marks, and weak labels are set: spam where such surroundings
-       hold 55 % of the text or more, speech where they hold 45 % or less.
-    2. Bagged decision trees are fitted to content and link features of the
-       weakly labelled sample.
+    1. Texts are cleaned once, and a lexicon is grown from links, tags and
+       listing marks over all documents.
+    2. On a sample of about ``sample_rows`` documents (chosen by a hash of the
+       id; all where there are fewer) weak labels are set: spam where such
+       surroundings hold 55 % of the text or more, speech where they hold 45 %
+       or less. Bagged decision trees are fitted to content and link features
+       of the weakly labelled sample.
     3. Every document is scored, whole text, in one pass without a shuffle.
     4. The spam rate of every host (``source``) over all its documents shifts
        the log-odds of its pages by ``host_weight`` of its distance from the
@@ -183,11 +190,10 @@ def spam_pages(documents: DataFrame, sample_rows: int = 20_000, trees: int = 20,
     columns are not read.
     """
     rows = documents.select(col("doc_id").cast("long").alias("doc_id"), F.coalesce(col("source").cast("string"), F.lit("")).alias("host"), col("text").cast("string").alias("text")).where("text is not null and text != ''")
-    n_rows = rows.count()
-    share = min(1.0, sample_rows / max(1, n_rows))
-    sample = materialise(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text"))
-    lexicon = spam_lexicon(sample)
-    scored = materialise(rows.mapInPandas(_featurer(lexicon), "doc_id long, host string, features array<double>"))
+    cleaned = materialise(rows.mapInPandas(_cleaned, "doc_id long, host string, text string"))
+    share = min(1.0, sample_rows / max(1, cleaned.count()))
+    lexicon = spam_lexicon(cleaned.select("text"))
+    scored = materialise(cleaned.mapInPandas(_featurer(lexicon), "doc_id long, host string, features array<double>"))
     labelled = scored.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).withColumn("label", F.when(F.col("features")[0] >= 0.55, 1.0).when(F.col("features")[0] <= 0.45, 0.0)).where("label is not null")
     training = labelled.select(array_to_vector("features").alias("vector"), "label")
     if training.select("label").distinct().count() < 2:
