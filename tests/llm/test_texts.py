@@ -137,3 +137,17 @@ def test_spam(spark):
     assert {r["doc_id"] for r in spam_pages(rows).collect()} == spam
     assert spam_pages(rows.limit(0)).count() == 0
     assert spam_pages(rows.where("doc_id < 20")).count() == 0
+
+
+@needs_vocabulary
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_words_with_equal_keys_keep_their_own_ids(reference, size):
+    with open(VOCABULARY, "rb") as f:
+        table = word_table(f.read())
+    # A sequence and its complement whose keys modulo a power of two agree whatever the seed.
+    first = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+    second = "".join("ba"[bin(i).count("1") % 2] for i in range(size))
+    for texts in ([first, second], [second, first, second], [f"{first} {second} x {first}"]):
+        ids, counts = table.encode(texts)
+        assert ids.tolist() == [i for t in texts for i in reference.encode_ordinary(t)]
+        assert counts.tolist() == [len(reference.encode_ordinary(t)) for t in texts]

@@ -108,17 +108,26 @@ class MergeAutomaton:
         return b"".join(self.text[int(i)] for i in ids).decode("utf-8", errors="replace")
 
 
+# The bytes that stand for themselves in public byte-level vocabularies, first and last of each range.
+SHOWN_BYTES = ((33, 126), (161, 172), (174, 255))
+
+
 def _byte_letters() -> dict[str, int]:
     """The public letter for each byte: printable ones stand for themselves, the rest for letters from U+0100 on."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    shown = [b for first, last in SHOWN_BYTES for b in range(first, last + 1)]
     hidden = [b for b in range(256) if b not in set(shown)]
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
 class WordTable:
-    """Ids of the words met so far, found by 64-bit keys for whole arrays of words at once."""
+    """Ids of the words met so far, found by 64-bit keys for whole arrays of words at once.
+
+    A key only proposes a word: its letters are kept and compared with those
+    of the text, and a word that shares another's key is looked up by itself.
+    """
 
     SLOTS = 1 << 21
+    MOST_LETTERS = 1 << 24  # kept of all words together
 
     def __init__(self, automaton: MergeAutomaton):
         self.automaton = automaton
@@ -141,7 +150,11 @@ class WordTable:
         self.at = np.zeros(1 << 12, dtype=np.int64)
         self.size = np.zeros(1 << 12, dtype=np.int64)
         self.pool = np.zeros(1 << 14, dtype=np.int32)
-        self.n = self.used = 0
+        self.letters = np.zeros(1 << 16, dtype=np.uint32)
+        self.spelt_at = np.zeros(1 << 12, dtype=np.int64)
+        self.length = np.zeros(1 << 12, dtype=np.int64)
+        self.twins: dict[str, int] = {}  # words whose key another word has
+        self.n = self.used = self.spelt = 0
 
     def _powers(self, n: int) -> None:
         if len(self.up) < n:
@@ -204,15 +217,20 @@ class WordTable:
         if len(missing):
             fresh, first = np.unique(keys[missing], return_index=True)
             for key, i in zip(fresh, missing[first]):
-                self._insert(key, self.automaton.encode(joined[begin[i] : stop[i]].encode()))
+                self._insert(key, joined[begin[i] : stop[i]])
             entry[missing] = self._find(keys[missing])
+        for i in np.flatnonzero(self._differs(entry, points, begin, stop)):
+            word = joined[begin[i] : stop[i]]
+            if word not in self.twins:
+                self.twins[word] = self._store(word)
+            entry[i] = self.twins[word]
         size = self.size[entry]
         before = np.cumsum(size) - size
         ids = self.pool[np.repeat(self.at[entry] - before, size) + np.arange(int(size.sum()))]
         words_before = np.searchsorted(begin, np.r_[0, ends])
         totals = np.r_[before, size.sum()]
         counts = np.diff(totals[words_before])
-        if self.n > self.SLOTS // 3:
+        if self.n > self.SLOTS // 3 or self.spelt > self.MOST_LETTERS:
             self.clear()  # bounded memory: start again rather than grow
         return ids, counts
 
@@ -226,17 +244,35 @@ class WordTable:
             wrong = wrong[(found[wrong] >= 0) & (self.keys[found[wrong]] != keys[wrong])]
         return found
 
-    def _insert(self, key: np.uint64, ids: list[int]) -> None:
-        if self.n == len(self.keys):
-            self.keys, self.at, self.size = (np.resize(x, 2 * len(x)) for x in (self.keys, self.at, self.size))
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
+    def _differs(self, entry: np.ndarray, points: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Which words of a text, one after the other, are not the words of their entries."""
+        size = stop - begin
+        other = self.length[entry] != size
+        shift = np.where(other, 0, self.spelt_at[entry]) - begin
+        at = np.repeat(shift, size) + np.arange(len(points))
+        return np.add.reduceat(self.letters[at % len(self.letters)] != points, begin) + other > 0
+
+    def _insert(self, key: np.uint64, word: str) -> None:
         slot = int(key) >> 40 & (self.SLOTS - 1)
         while self.slots[slot] >= 0:
             slot = (slot + 1) & (self.SLOTS - 1)
-        self.slots[slot], self.keys[self.n], self.at[self.n], self.size[self.n] = self.n, key, self.used, len(ids)
+        entry = self._store(word)
+        self.slots[slot], self.keys[entry] = entry, key
+
+    def _store(self, word: str) -> int:
+        """Keep a word's letters and ids; returns its entry."""
+        ids, letters = self.automaton.encode(word.encode()), np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32)
+        if self.n == len(self.keys):
+            self.keys, self.at, self.size, self.spelt_at, self.length = (np.resize(x, 2 * len(x)) for x in (self.keys, self.at, self.size, self.spelt_at, self.length))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        while self.spelt + len(letters) > len(self.letters):
+            self.letters = np.resize(self.letters, 2 * len(self.letters))
+        self.at[self.n], self.size[self.n], self.spelt_at[self.n], self.length[self.n] = self.used, len(ids), self.spelt, len(letters)
         self.pool[self.used : self.used + len(ids)] = ids
-        self.n, self.used = self.n + 1, self.used + len(ids)
+        self.letters[self.spelt : self.spelt + len(letters)] = letters
+        self.n, self.used, self.spelt = self.n + 1, self.used + len(ids), self.spelt + len(letters)
+        return self.n - 1
 
 
 _TABLES: dict[str, WordTable] = {}
@@ -277,7 +313,7 @@ def encode_corpus(documents: DataFrame, vocabulary_path: str = VOCABULARY, id_co
     the driver (its size is checked) and sent to the tasks, where its merges
     are compiled into a :class:`MergeAutomaton` once per worker. Texts are
     pre-split for whole Arrow batches by character classes, words are looked
-    up by key, and only words new to the worker run through the automaton.
+    up by key and compared letter by letter, and only words new to the worker run through the automaton.
     There is no shuffle.
 
     Defined cases: null and empty texts give an empty list; special-token
