@@ -1,5 +1,9 @@
 """Leaks that lie beside damage, in documents that lost letters, and in words with letters dropped or added."""
 
+import random
+
+import pytest
+
 from weftlog.llm.leaks import Fingerprints, _leaks_of
 
 WORDS = "yelmo followed captain harbour winter nook mountain shandero letters carried window bottle garden silver market folded ticket kitchen pillow hundred".split()
@@ -32,3 +36,25 @@ def test_russian_in_a_document_that_lost_letters_elsewhere():
     german = "Käufer größerer Häuser müssen während schöner Wintertage über gefährliche Brücken hinüber"
     assert leaks(SPEECH + german.encode("ascii", "replace").decode(), german)
     assert not leaks(f"{SPEECH} What???\n{' '.join(russian.split()[:9])}\n{SPEECH}", russian)
+
+
+def coined(rng, size):
+    return "".join(rng.choice("abdfghkmnprtuvw") for _ in range(size))
+
+
+@pytest.mark.parametrize("size", [6, 12, 13, 14, 15, 16, 17, 30, 200, 2000])
+def test_words_of_any_length(size):
+    rng = random.Random(size)
+    for _ in range(10):
+        words = [coined(rng, size) for _ in range(12)]
+        assert leaks(SPEECH + " ".join(words) + " " + SPEECH, " ".join(words))
+        assert not leaks(SPEECH + " ".join(words[:9]) + " " + SPEECH, " ".join(words))
+
+
+@pytest.mark.parametrize("kept", [12, 24])
+def test_a_stretch_after_other_words_of_the_same_length(kept):
+    rng = random.Random(kept)
+    for head in [4, 5, 6, 7, 8] * 4:
+        words = [coined(rng, 6) for _ in range(40)]
+        text = words[:head] + [coined(rng, 6), coined(rng, 6)] + words[head + 2 : head + 2 + kept]
+        assert leaks(SPEECH + " ".join(text) + " " + SPEECH, " ".join(words))

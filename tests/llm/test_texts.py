@@ -86,7 +86,7 @@ def test_leaks(spark):
     rows = spark.createDataFrame([(i, t, 5) for i, t in docs.items()] + [(1, docs[1], 5)], "doc_id long, text string, item_id int")
     got = sorted(tuple(r) for r in leaked_items(rows, items).collect())
     assert got == [(1, 100), (2, 100), (4, 100), (6, 100), (9, 101), (10, 101), (11, 100)]
-    assert sorted(tuple(r) for r in leaked_items(rows, items, block=1).collect()) == got
+    assert sorted(tuple(r) for r in leaked_items(rows, items, block=100).collect()) == got
     assert leaked_items(rows.limit(0), items).count() == 0 and leaked_items(rows, items.limit(0)).count() == 0
 
 
@@ -98,6 +98,20 @@ def test_cleaning():
     assert folded("Rome  l1ved, Élan 50 burn") == folded("Rorne iived elan So bum".replace("Rorne", "Rorne"))
 
 
+def test_cleaning_has_no_least_or_greatest_length():
+    line = "Привет, как дел"
+    assert repair_encoding(line.encode("cp1251").decode("latin-1")) == line
+    assert repair_encoding("ПОЧЕМУ ТЫ ЗДЕСЬ".encode("koi8-r").decode("latin-1")) == "ПОЧЕМУ ТЫ ЗДЕСЬ"
+    speech = "Nobody sold the map to the captain. " * 20
+    assert repair_encoding(f"{speech}\n{line.encode('cp1251').decode('latin-1')}\n{speech}") == f"{speech}\n{line}\n{speech}"
+    assert repair_encoding("créée ÀÉ là-bas où ça") == "créée ÀÉ là-bas où ça"
+    for words in (5, 50, 5000):
+        much = " ".join(["door"] * words)
+        assert spoken(f"Come [{much}] on ({much}) now *{much}* then <font face='{much}'>here</font>").split() == ["Come", "on", "now", "then", "here"]
+    assert spoken("Wait [what\n\nCome on] now").split() == ["Wait", "[what", "Come", "on]", "now"]
+    assert spoken("* bread\n* milk").split() == ["*", "bread", "*", "milk"]
+
+
 def spam_corpus():
     rng = random.Random(6)
     subjects, verbs, things = ["the captain", "my sister", "nobody", "our neighbour", "the doctor"], ["found", "sold", "never lost", "wanted", "buried"], ["the map", "a torn flag", "two tickets", "the last letter", "some bread"]

@@ -14,8 +14,13 @@ FREQUENT_CYRILLIC = "оеаинтсрвл"
 
 TIMING = re.compile(r"(?:^|(?<=\n))[ \t﻿]*(?:\d+[ \t]*\r?\n[ \t]*)?(?:\d+:)?\d{1,2}:\d\d[.,:]\d{1,3}[ \t]*--?>[^\n]*")
 HEADER = re.compile(r"^﻿?WEBVTT[^\n]*")
-MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,60}>|\{\\[^{}\n]{0,60}\}")
-SOUND = re.compile(r"\[[^\[\]]{0,80}\]|\([^()]{0,80}\)|\*[^*\n]{1,40}(?:\r?\n[^*\n]{1,40})?\*")
+MARKUP = re.compile(r"</?[A-Za-z][^<>\n]*>|\{\\[^{}\n]*\}")
+# Descriptions of any length, over several lines but not over a blank one, where the next cue begins.
+SOUND = re.compile(
+    r"\[[^\[\]\n]*(?:\n(?![ \t]*\n)[^\[\]\n]*)*\]"
+    r"|\([^()\n]*(?:\n(?![ \t]*\n)[^()\n]*)*\)"
+    r"|\*(?=\S)[^*\n]+(?:\n[^*\n]+)?(?<=\S)\*"
+)
 SPEAKER = re.compile(r"(?:^|(?<=\n))([ \t\-–♪]*)[A-ZÀ-ÞА-Я][A-ZÀ-ÞА-Я]+:(?=\s)")
 MISREAD = re.compile("[ÂÃÄÅÐÑÎÏâãðñ├┬╨╤ΓÔ┼─╬][^\x00-\x7f]|[ГВРС][^\x00-\x7fА-яЁё]")
 FOREIGN = re.compile(r"[^\x00-\x7f]+")
@@ -65,11 +70,31 @@ def repair_encoding(text: str) -> str:
         if len(best) == len(text):
             break
         text = best
+    return _read_cyrillic(text) if WORDS_8BIT.search(text) else text
+
+
+def _looks_cyrillic(text: str) -> bool:
+    """Whether a quarter of the letters stand in rows of Western letters that no Western language has."""
     western = sum(map(len, WORDS_8BIT.findall(text)))
-    if western > 30 and western * 4 > sum(map(str.isalpha, text)):
-        raw = {c: _try(lambda c=c: LETTERS_8BIT.sub(lambda m: _bytes(m.group(), "latin-1").decode(c, "replace"), text)) for c in CYRILLIC_8BIT}
-        text = max(raw.values(), key=lambda t: sum(t.count(c) for c in FREQUENT_CYRILLIC))
-    return text
+    return western > 0 and western * 4 > sum(map(str.isalpha, text))
+
+
+def _read_cyrillic(text: str) -> str:
+    """Read Western letters as a Cyrillic code page: in the whole text, or only in the lines that look so."""
+    lines = [text] if _looks_cyrillic(text) else text.split("\n")
+    broken = [i for i, line in enumerate(lines) if _looks_cyrillic(line)]
+    if not broken:
+        return text
+    readings = []
+    for page in CYRILLIC_8BIT:
+        fixed = [_try(lambda line=lines[i]: LETTERS_8BIT.sub(lambda m: _bytes(m.group(), "latin-1").decode(page, "replace"), line)) for i in broken]
+        small = "".join(fixed)
+        found = small.lower()
+        readings.append((sum(found.count(c) for c in FREQUENT_CYRILLIC), sum(small.count(c) for c in FREQUENT_CYRILLIC), fixed))
+    best = max(readings, key=lambda r: r[:2])
+    for i, line in zip(broken, best[2]):
+        lines[i] = line or lines[i]
+    return "\n".join(lines)
 
 
 def _try(make):

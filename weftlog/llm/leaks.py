@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ WINDOW = 12  # grams of which the least is kept: spans of GRAM + WINDOW - 1 soun
 BREAK = "\x01"  # between texts; in no gram of an item
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-REACH = 64
+MARGIN = 64  # empty places before and after all texts
 ANY, SOUND, LOSSY = range(3)  # the documents that a form of an item is for
 
 
@@ -78,34 +79,32 @@ class Fingerprints:
         self.items = np.array([item for item, _ in texts], dtype=np.int64)
         self.words = [w for _, w in texts]
         joined = BREAK.join("".join(w) for w in self.words) + BREAK
-        self.points = np.r_[np.zeros(REACH, np.uint32), np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32), np.zeros(2 * REACH, np.uint32)]
+        self.points = np.r_[np.zeros(MARGIN, np.uint32), np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32), np.zeros(2 * MARGIN, np.uint32)]
         lengths = np.array([sum(map(len, w)) for w in self.words], dtype=np.int64)
-        self.begin = REACH + np.r_[0, np.cumsum(lengths + 1)[:-1]] if len(texts) else np.empty(0, np.int64)
+        self.begin = MARGIN + np.r_[0, np.cumsum(lengths + 1)[:-1]] if len(texts) else np.empty(0, np.int64)
         # Where all words begin, and where the last of each item ends.
         self.starts = np.concatenate([b + np.cumsum([0, *map(len, w)]) for b, w in zip(self.begin, self.words)]) if len(texts) else np.empty(0, np.int64)
         self.first = np.r_[0, np.cumsum([len(w) + 1 for w in self.words])[:-1]] if len(texts) else np.empty(0, np.int64)
         keys = gram_keys(self.points)
-        inside = np.zeros(len(keys), dtype=bool)
-        owner = np.zeros(len(keys), dtype=np.int64)
-        for i, (b, n) in enumerate(zip(self.begin, lengths)):
-            if n >= GRAM:
-                inside[b : b + n - GRAM + 1] = True
-                owner[b : b + n - GRAM + 1] = i
-        at = np.flatnonzero(inside)
-        pairs = np.unique(np.stack([keys[at], self.items[owner[at]].astype(np.uint64)]), axis=1) if len(at) else np.empty((2, 0), np.uint64)
-        self.known, shared = np.unique(pairs[0], return_counts=True)
+        # All grams that lie inside one item, and whose they are.
+        n_grams = np.maximum(lengths - GRAM + 1, 0)
+        owner = np.repeat(np.arange(len(texts)), n_grams)
+        at = np.repeat(self.begin - np.cumsum(n_grams) + n_grams, n_grams) + np.arange(len(owner))
+        by_key = np.lexsort((self.items[owner], keys[at]))
+        key, item = keys[at][by_key], self.items[owner][by_key]
+        fresh = np.diff(key, prepend=~key[:1]) != 0
+        pair = fresh | (np.diff(item, prepend=item[:1]) != 0)
+        self.known = key[fresh]
+        shared = np.add.reduceat(pair.astype(np.int64), np.flatnonzero(fresh)) if len(key) else np.empty(0, np.int64)
         self.order = np.minimum(shared, 0xFFFE).astype(np.uint64) << np.uint64(48) | self.known >> np.uint64(16)
         self.sieve = np.zeros(1 << 22, dtype=bool)
         self.sieve[self.known >> np.uint64(42)] = True
-        ranked = self.ranked(keys)
-        picked = np.zeros(len(keys), dtype=bool)
-        for b, n in zip(self.begin, lengths):
-            if n >= GRAM:
-                part = slice(b, b + n - GRAM + 1)
-                picked[part] = _least_of_windows(ranked[part])
-        at = np.flatnonzero(picked & inside)
-        at = at[np.argsort(keys[at], kind="stable")]
-        self.pick_keys, self.pick_at, self.pick_owner = keys[at], at, owner[at]
+        ranked = self.ranked(keys)[at]
+        picked = np.concatenate([_least_of_windows(part) for part in np.split(ranked, np.cumsum(n_grams)[:-1])]) if len(texts) else np.empty(0, bool)
+        at, owner = at[picked], owner[picked]
+        by_key = np.argsort(keys[at], kind="stable")
+        self.pick_at, self.pick_owner = at[by_key], owner[by_key]
+        self.pick_keys = keys[self.pick_at]
 
     def ranked(self, keys: np.ndarray) -> np.ndarray:
         """The place of each gram in the choosing order; grams of no item come last."""
@@ -177,10 +176,10 @@ def _leaks_of(texts: list[str], prints: Fingerprints, least_words: int) -> list[
     solid = spaced != 32
     bound_spaced = np.ones(len(spaced) + 1, dtype=bool)
     bound_spaced[1:-1] = (spaced[1:] == 1) | (spaced[:-1] == 1) | ~solid[:-1]
-    points = np.r_[np.zeros(REACH, np.uint32), spaced[solid], np.zeros(2 * REACH, np.uint32)]
+    points = np.r_[np.zeros(MARGIN, np.uint32), spaced[solid], np.zeros(2 * MARGIN, np.uint32)]
     bounds = np.ones(len(points) + 1, dtype=bool)
-    bounds[REACH : REACH + int(solid.sum())] = bound_spaced[:-1][solid]
-    ends = REACH + np.flatnonzero(spaced[solid] == 1)
+    bounds[MARGIN : MARGIN + int(solid.sum())] = bound_spaced[:-1][solid]
+    ends = MARGIN + np.flatnonzero(spaced[solid] == 1)
 
     keys = gram_keys(points)
     order = prints.ranked(keys)
@@ -224,12 +223,14 @@ def _leaks_of(texts: list[str], prints: Fingerprints, least_words: int) -> list[
     return list(found)
 
 
-def _finder(block, words: int):
-    cache: list[Fingerprints] = []
+_PRINTS: dict[str, Fingerprints] = {}
 
+
+def _finder(name: str, block, words: int):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not cache:
-            cache.append(Fingerprints(block, words))
+        if name not in _PRINTS:
+            _PRINTS.clear()  # a worker keeps the fingerprints of one block
+            _PRINTS[name] = Fingerprints(block.value, words)
         for batch in batches:
             ids, texts = batch["doc_id"].to_numpy(), batch["text"].tolist()
             lo = 0
@@ -238,14 +239,14 @@ def _finder(block, words: int):
                 while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= 1 << 20):
                     size += len(texts[hi])
                     hi += 1
-                pairs = _leaks_of(texts[lo:hi], cache[0], words)
+                pairs = _leaks_of(texts[lo:hi], _PRINTS[name], words)
                 yield pd.DataFrame({"doc_id": ids[[lo + t for t, _ in pairs]] if pairs else np.empty(0, np.int64), "item_id": np.array([i for _, i in pairs], dtype=np.int64)})
                 lo = hi
 
     return find
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, words: int = 10, block: int = 5000) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, words: int = 10, block: int = 5_000_000) -> DataFrame:
     """Documents that contain at least ``words`` successive words of an item: ``doc_id, item_id``.
 
     Winnowing: texts are folded (wrong encodings undone; case, accents,
@@ -255,11 +256,14 @@ def leaked_items(documents: DataFrame, items: DataFrame, words: int = 10, block:
     all letters that may be lost. Of every
     ``WINDOW`` neighbouring grams of ``GRAM`` characters the least is a
     fingerprint, so every sound shared span of ``GRAM + WINDOW - 1``
-    characters has one in common. Documents are scanned once, where they lie,
+    characters has one in common. Documents are scanned where they lie,
     against the fingerprints of the items, every hit that is not inside words
     already counted is extended both ways, and the successive words of the
-    item around it are counted, a damaged word counting as what it was. Items come to the tasks in blocks of at most
-    ``block``, a stated query set against all documents.
+    item around it are counted, a damaged word counting as what it was.
+
+    Items go to the tasks as broadcasts of about ``block`` characters (some
+    ten thousand items), a stated query set against all documents: one scan
+    of the corpus for each block, whatever the corpus holds.
 
     Defined cases: null or empty texts and items with fewer words leak
     nothing; repeated rows give one row; texts are taken whole; empty tables
@@ -267,10 +271,13 @@ def leaked_items(documents: DataFrame, items: DataFrame, words: int = 10, block:
     """
     rows = documents.select(col("doc_id").cast("long").alias("doc_id"), col("text").cast("string").alias("text")).where("text is not null and text != ''")
     wanted = items.select(col("item_id").cast("long").alias("item_id"), col("item_text").cast("string").alias("item_text")).where("item_text is not null and item_text != ''").distinct()
-    n_blocks = max(1, -(-wanted.count() // block))
+    total = wanted.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-total // block))
+    context = documents.sparkSession.sparkContext
     out = None
     for b in range(n_blocks):
-        part = [(r["item_id"], r["item_text"]) for r in wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).orderBy("item_id").collect()]
-        hits = rows.mapInPandas(_finder(part, words), "doc_id long, item_id long")
+        part = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).orderBy("item_id", "item_text")
+        shared = context.broadcast([(r["item_id"], r["item_text"]) for r in part.collect()])
+        hits = rows.mapInPandas(_finder(uuid.uuid4().hex, shared, words), "doc_id long, item_id long")
         out = hits if out is None else out.unionByName(hits)
     return out.distinct()
