@@ -8,7 +8,7 @@ import pytest
 
 from weftlog.llm.cues import folded, repair_encoding, spoken
 from weftlog.llm.leaks import leaked_items
-from weftlog.llm.spam import spam_pages
+from weftlog.llm.spam import spam_pages, weak_label_accuracy
 from weftlog.llm.tokens import VOCABULARY, MergeAutomaton, encode_corpus, word_table
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary files")
@@ -153,6 +153,15 @@ def test_spam(spark):
     assert spam_pages(rows.where("doc_id < 20")).count() == 0
 
 
+def test_trees_tell_hidden_halves_of_held_out_pages(spark):
+    docs, _ = spam_corpus()
+    rows = spark.createDataFrame([(i, t, "h") for i, t in docs.items()], "doc_id long, text string, source string")
+    got = weak_label_accuracy(rows).first()
+    assert got["n"] > 20 and got["forest"] >= 0.9 and got["plain"] >= 0.9
+    with pytest.raises(ValueError):
+        weak_label_accuracy(rows.where("doc_id < 20"))
+
+
 @needs_vocabulary
 @pytest.mark.parametrize("size", [1024, 2048, 4096])
 def test_words_with_equal_keys_keep_their_own_ids(reference, size):
