@@ -25,7 +25,7 @@ SENTENCE_END = re.compile(r"[.?!…]\W*$")
 #: Features of a page, in the order of the vector.
 FEATURES = ("spam_share", "speech_share", "mean_score", "link_share", "tag_share", "mark_share", "code_share", "repeat_share", "top_word_share", "comma_share", "sentence_share", "token_length", "log_tokens")
 NEAR = 4  # tokens on each side that decide what a token is part of
-STRETCH = 16  # tokens in a row that stay in one half of a page
+STRETCH = 8  # tokens in a row that stay in one half of a page
 CLIP = 4.0
 MOST_TOKENS = 250_000  # distinct tokens that a worker remembers
 MOST_POINTS = 1 << 20  # characters that a worker looks at together (or one whole text)
