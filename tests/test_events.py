@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftlog.functions.columns import sliced_lag
-from weftlog.operators.features import BLOCK, SlicedCounters, entity_features, filled_cells
+from weftlog.functions.ordered import before_parts, in_order
+from weftlog.operators import features
+from weftlog.operators.features import SlicedCounters, bitmap, both, either, entity_features, feature_cells, places_of
 from weftlog.operators.intervals import busy_spans
 from weftlog.operators.timestamps import estimate_zones, instant_at, normalise_timestamps, read_values
 
@@ -127,15 +129,26 @@ def test_instant_at_is_the_inverse_of_local_time(spark):
 
 def test_sliced_counters():
     rng = np.random.default_rng(2)
-    counters, expected = SlicedCounters(), np.zeros(BLOCK, dtype=np.int64)
+    counters, expected = SlicedCounters(), np.zeros(5000, dtype=np.int64)
     for _ in range(20):
-        places = np.sort(rng.choice(BLOCK, 50, replace=False))
+        places = np.sort(rng.choice(5000, 50, replace=False))
         numbers = rng.integers(0, 1 << 40, 50)
         counters.add(places, numbers)
         expected[places] += numbers
-    assert np.array_equal(SlicedCounters.unpack(counters.pack()).decode(), expected)
+    every = np.arange(5000)
+    assert np.array_equal(SlicedCounters.unpack(counters.pack()).at(every), expected)
     counters.add_planes(SlicedCounters.unpack(counters.pack()).planes)
-    assert np.array_equal(counters.decode(), 2 * expected)
+    assert np.array_equal(counters.at(every), 2 * expected)
+    assert not SlicedCounters.unpack(SlicedCounters().pack()).at(every).any()
+
+
+def test_compressed_bitmaps():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 40, 3000):
+        a, b = (np.sort(rng.choice(4000, size, replace=False)) for _ in range(2))
+        assert np.array_equal(places_of(bitmap(a)), a) and len(bitmap(a)[0]) <= size
+        assert set(places_of(both(bitmap(a), bitmap(b)))) == set(a) & set(b)
+        assert set(places_of(either(bitmap(a), bitmap(b)))) == set(a) ^ set(b)
 
 
 EVENTS = "event_ord long, `case:concept:name` string, `concept:name` string, `lifecycle:transition` string, `time:timestamp` timestamp_ntz, case_id string, ordinal int"
@@ -159,19 +172,39 @@ def sequences_of(rows):
     return {c: sorted(v) for c, v in out.items()}
 
 
-@pytest.mark.parametrize("width", [10 * 86_400_000_000, 10_000 * 86_400_000_000])
-def test_features(spark, width):
-    rows = dirty_events()
-    log = spark.createDataFrame([(o, c, a, k, None if t is None else ORIGIN + dt.timedelta(days=t), "n", 7) for o, c, a, k, t in rows], EVENTS)
-    got = {(r[0], r[1]): tuple(r)[2:] for r in filled_cells(*entity_features(log, width)).collect()}
+def features_of(sequences):
     expected, day_us = {}, 86_400_000_000
-    for case, seq in sequences_of(rows).items():
+    for case, seq in sequences.items():
         for i, (t, _, a) in enumerate(seq):
             n, _, total = expected.get((case, a), (0, 0, 0))
             expected[(case, a)] = (n + 1, (seq[-1][0] - t) * day_us, total + (t - seq[i - 1][0]) * day_us * (i > 0))
-    assert got == expected
-    wide, types = entity_features(log.limit(0))
-    assert filled_cells(wide, types).count() == 0
+    return expected
+
+
+@pytest.mark.parametrize("slots", [1, 12, 1 << 19])
+def test_features(spark, monkeypatch, slots):
+    monkeypatch.setattr(features, "SLOTS", slots)
+    rows = dirty_events()
+    rows += [(1000 + i, f"c{i % 60}", "xyz"[i % 3], "complete", i // 7) for i in range(400)]
+    log = spark.createDataFrame([(o, c, a, k, None if t is None else ORIGIN + dt.timedelta(days=t), "n", 7) for o, c, a, k, t in rows], EVENTS)
+    expected = features_of(sequences_of(rows))
+    assert {(r[0], r[1]): tuple(r)[2:] for r in feature_cells(log).collect()} == expected
+    wide, types = entity_features(log)
+    assert types == ["x", "y", "z"]
+    assert {(r["case_id"], a): cell for r in wide.collect() for a, *cell in zip(types, r["n_events"], r["recency_us"], r["total_us"]) if cell[0]} == {k: list(v) for k, v in expected.items()}
+    assert all((n == 0) == (since is None) for r in wide.collect() for n, since in zip(r["n_events"], r["recency_us"]))
+    assert entity_features(log.limit(0))[0].count() == 0 and feature_cells(log.limit(0)).count() == 0
+
+
+def test_one_case_with_all_rows_is_cut_by_rows(spark):
+    events = spark.createDataFrame([("hot", 5, i) for i in range(4000)] + [(f"c{i}", i, i) for i in range(400)], "case_id string, ts_us long, ord long")
+    ordered = in_order(events, "case_id", "ts_us", "ord")
+    sizes = [r["count"] for r in ordered.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) <= 2 * sorted(sizes)[2]
+    rows = [(r["case_id"], r["ts_us"], r["ord"]) for r in ordered.orderBy("row_no").collect()]
+    assert rows == sorted(rows)
+    before = before_parts(ordered)
+    assert before[0] == (0, None, None) and before[3] == (401, "hot", 5)
 
 
 def test_sliced_lag_numbers_every_event_once(spark):

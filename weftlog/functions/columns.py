@@ -85,17 +85,17 @@ def sliced_lag(events: DataFrame, values: list[str], order: tuple[str, str] = ("
     )
 
 
+def shuffle_partitions(session) -> int:
+    """Partitions of a shuffle that run-time coalescing leaves alone: as many as the session says, one for each core at least."""
+    return max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows over all cores by ``keys``, for steps whose work is out of proportion to their bytes.
 
-    A partition number that is asked for is not coalesced away at run time. It
-    is the session's number of shuffle partitions, but between one and four
-    times the number of cores.
+    A partition number that is asked for is not coalesced away at run time.
     """
-    session = df.sparkSession
-    cores = session.sparkContext.defaultParallelism
-    n = max(cores, min(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * cores))
-    return df.repartition(n, *keys)
+    return df.repartition(shuffle_partitions(df.sparkSession), *keys)
 
 
 def require(df: DataFrame, *names: str) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftlog.functions.columns import ACTIVITY, CASE, INSTANCE, LIFECYCLE, ORD, START, TIME, col, micros, table
 from weftlog.operators import binning, compare, distance, extract, prepare, resample
-from weftlog.operators.features import entity_features, filled_cells
+from weftlog.operators.features import entity_features, feature_cells
 from weftlog.operators.intervals import busy_spans
 from weftlog.operators.language import paired_population, stochastic_language, variants
 from weftlog.operators.timestamps import estimate_zones, normalise_timestamps, read_values
@@ -259,7 +259,7 @@ def p2_found(spark, d):
 
 
 def p4_found(spark, d):
-    return filled_cells(*entity_features(table(spark, d, "event_log")))
+    return feature_cells(table(spark, d, "event_log"))
 
 
 def p4_wide(spark, d):
