@@ -67,12 +67,24 @@ def test_spellings(spark):
     assert {r[1] for r in resolve_names(names, activities(spark).limit(0)).collect()} == {None}
 
 
-@pytest.mark.parametrize(("chunk", "width"), [(4096, 30 * 86_400_000_000), (2, 5_000_000)])
-def test_runs(spark, chunk, width):
+@pytest.fixture(params=[10_000, 7])
+def batch_rows(request, spark):
+    """Rows of an Arrow batch: events of one task in one batch, or in many."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, request.param)
+    yield request.param
+    spark.conf.set(name, before)
+
+
+def test_runs(spark, batch_rows):
     rng = random.Random(4)
     spelled = list(SPELLINGS)[:4] + ["Close claim"]
     rows = [(i, rng.choice(["a", "hot", "hot", None]), rng.choice([*spelled, None]), rng.choice([None, *range(60)])) for i in range(200)]
     rows += [(200 + i, *r[1:]) for i, r in enumerate(rng.choices(rows, k=30))]
+    # One run over several partitions, with a break near its end, and a case of single events.
+    rows += [(1000 + i, "long", rng.choice(spelled[:1]) if i != 390 else spelled[2], 100 + i) for i in range(400)]
+    rows += [(2000 + i, f"one{i}", spelled[0], i) for i in range(20)]
     log = spark.createDataFrame([(o, c, a, None if t is None else ORIGIN + dt.timedelta(seconds=t), "k", 3) for o, c, a, t in rows], "event_ord long, `case:concept:name` string, `concept:name` string, `time:timestamp` timestamp_ntz, name string, chunk int")
     first = {}
     for o, c, a, t in rows:
@@ -87,7 +99,7 @@ def test_runs(spark, chunk, width):
             run = list(group)
             if len(run) > 1:
                 expected.add((c, run[0][1], name, len(run), (run[-1][0] - run[0][0]) * 1_000_000))
-    got = [tuple(r) for r in collapse_runs(log, activities(spark), chunk=chunk, width_us=width).collect()]
+    got = [tuple(r) for r in collapse_runs(log, activities(spark)).collect()]
     assert sorted(got) == sorted(expected) and expected
     assert collapse_runs(log.limit(0), activities(spark)).count() == 0
 
