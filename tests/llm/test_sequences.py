@@ -33,7 +33,7 @@ def test_subsequences(spark, chunk, block, share):
             hits = sum(occurs(pattern, seq) for seq in cases.values())
             if hits >= least:
                 expected[">".join(pattern)] = hits
-    got = {r[0]: r[1] for r in frequent_subsequences(df, share, 5, chunk=chunk, block=block, width_us=3).collect()}
+    got = {r[0]: r[1] for r in frequent_subsequences(df, share, 5, chunk=chunk, block=block).collect()}
     assert got == expected and expected
     if chunk == 4096:
         assert frequent_subsequences(df.limit(0)).count() == 0
