@@ -203,8 +203,8 @@ def test_one_case_with_all_rows_is_cut_by_rows(spark):
     assert len(sizes) == 4 and max(sizes) <= 2 * sorted(sizes)[2]
     rows = [(r["case_id"], r["ts_us"], r["ord"]) for r in ordered.orderBy("row_no").collect()]
     assert rows == sorted(rows)
-    before = before_parts(ordered)
-    assert before[0] == (0, None, None) and before[3] == (401, "hot", 5)
+    before, n_cases = before_parts(ordered)
+    assert n_cases == 401 and before[0] == (0, None, None) and before[3] == (401, "hot", 5)
 
 
 def test_sliced_lag_numbers_every_event_once(spark):

@@ -42,8 +42,8 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "cases": [cases], "first_case": [first], "last_case": [last], "last_us": [last_us]})
 
 
-def before_parts(ordered: DataFrame) -> dict[int, tuple[int, str | None, int | None]]:
-    """What comes before each partition of :func:`in_order`: the number of cases, the last case and its last time.
+def before_parts(ordered: DataFrame) -> tuple[dict[int, tuple[int, str | None, int | None]], int]:
+    """What comes before each partition of :func:`in_order` (the number of cases, the last case and its last time), and the number of all cases.
 
     A case that goes on in the next partition counts there as not yet new.
     One row per partition reaches the driver, however many events there are.
@@ -53,4 +53,4 @@ def before_parts(ordered: DataFrame) -> dict[int, tuple[int, str | None, int | N
     for part, own, first, last_case, us in found:
         out[part] = (cases, last, last_us)
         cases, last, last_us = cases + own - (first == last), last_case, us
-    return out
+    return out, cases

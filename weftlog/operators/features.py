@@ -243,7 +243,7 @@ def _shares(log: DataFrame) -> tuple[DataFrame, int, list[str]]:
     type_ids = log.sparkSession.createDataFrame(list(enumerate(types)), "type_id int, activity string")
     ordered = in_order(sequences.join(type_ids, "activity").select("case_id", "type_id", "ts_us", "ord"), "case_id", "ts_us", "ord")
     width = max(1, min(2048, SLOTS // max(1, len(types))))
-    return ordered.select("case_id", "type_id", "ts_us").mapInArrow(_sharer(before_parts(ordered), width), SHARE), width, types
+    return ordered.select("case_id", "type_id", "ts_us").mapInArrow(_sharer(before_parts(ordered)[0], width), SHARE), width, types
 
 
 def entity_features(log: DataFrame) -> tuple[DataFrame, list[str]]:
