@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from operator import ne
 
 import numpy as np
 import pandas as pd
@@ -117,37 +118,25 @@ class Fingerprints:
         return out
 
 
-def _follow(doc: np.ndarray, solid: str, d: int, bounds: np.ndarray, words: list[str], w: int, step: int, seen: set[tuple[int, int]]) -> int:
+def _follow(solid: str, d: int, bounds: np.ndarray, words: list[str], w: int, step: int, seen: set[tuple[int, int]]) -> int:
     """How many successive item words, from word ``w`` on in direction ``step``, the document has from ``d`` on.
 
-    A word may differ by one character in five (none in short words), as
-    damaged words do; the last one counted must end where a document word ends.
-    ``solid`` has the characters of ``doc``. The places where words of the item
-    begin in the document are added to ``seen``.
+    ``solid`` has the document's characters without blanks. A word may differ
+    by one character in five (none in short words), as damaged words do; the
+    last one counted must end where a document word ends. The places where
+    words of the item begin in the document are added to ``seen``.
     """
     n, matched = 0, 0
     while 0 <= w < len(words):
         word = words[w]
         size = len(word)
-        a, b = (d, d + size) if step > 0 else (d - size, d)
-        if a >= 0 and solid[a:b] == word:
-            d = b if step > 0 else a
+        if solid.startswith(word, d) if step > 0 else solid.endswith(word, 0, d):
+            d += size * step
         else:
-            allowed = 0 if size < 5 else 1 if size < 10 else 2
-            if not allowed:
+            taken = _damaged(solid, d, word, step)
+            if not taken:
                 break
-            target = np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32)
-            best = None
-            for shift in (0, 1, -1):
-                a, b = (d, d + size + shift) if step > 0 else (d - size - shift, d)
-                if a < 0 or b > len(doc) or b - a < 1:
-                    continue
-                cost = _one_off(doc[a:b], target) if shift else int((doc[a:b] != target).sum())
-                if cost <= allowed and (best is None or cost < best[0]):
-                    best = (cost, b if step > 0 else a)
-            if best is None:
-                break
-            d = best[1]
+            d += taken * step
         w, n = w + step, n + 1
         seen.add((w, d) if step > 0 else (w + 1, d))
         if bounds[d]:
@@ -155,13 +144,29 @@ def _follow(doc: np.ndarray, solid: str, d: int, bounds: np.ndarray, words: list
     return matched
 
 
-def _one_off(a: np.ndarray, b: np.ndarray) -> int:
-    """1 if one inserted character makes the arrays equal, else more."""
-    if len(a) > len(b):
-        a, b = b, a
-    same = a == b[:-1]
-    head = len(a) if same.all() else int(np.argmin(same))
-    return 1 if np.array_equal(a[head:], b[head + 1 :]) else 9
+def _damaged(solid: str, d: int, word: str, step: int) -> int:
+    """How many characters from ``d`` on are the damaged word, 0 if none are."""
+    size = len(word)
+    allowed = 0 if size < 5 else 1 if size < 10 else 2
+    if not allowed:
+        return 0
+    text = solid[d : d + size + 1] if step > 0 else solid[max(0, d - size - 1) : d]
+    same, longer, shorter = (text[:size], text, text[: size - 1]) if step > 0 else (text[-size:], text, text[1 - size :])
+    cost = sum(map(ne, same, word)) if len(same) == size else size
+    if 1 < cost:
+        if len(longer) > size and _one_off(word, longer):
+            return size + 1
+        if len(shorter) == size - 1 and _one_off(shorter, word):
+            return size - 1
+    return size if cost <= allowed else 0
+
+
+def _one_off(short: str, long: str) -> bool:
+    """Whether one inserted character makes the texts, whose lengths differ by one, equal."""
+    for i, (a, b) in enumerate(zip(short, long)):
+        if a != b:
+            return short[i:] == long[i + 1 :]
+    return True
 
 
 def _leaks_of(texts: list[str], prints: Fingerprints, least_words: int) -> list[tuple[int, int]]:
@@ -217,7 +222,7 @@ def _leaks_of(texts: list[str], prints: Fingerprints, least_words: int) -> list[
         if (w, d) in seen:
             continue
         seen.add((w, d))
-        total = _follow(points, solid_text, d, bounds, prints.words[o], w, 1, seen) + _follow(points, solid_text, d, bounds, prints.words[o], w - 1, -1, seen)
+        total = _follow(solid_text, d, bounds, prints.words[o], w, 1, seen) + _follow(solid_text, d, bounds, prints.words[o], w - 1, -1, seen)
         if total >= least_words:
             found.add(pair)
     return list(found)
