@@ -41,9 +41,16 @@ LIFECYCLE_SCHEMA = "event_ord long, `case:concept:name` string, `concept:name` s
 
 @pytest.fixture(scope="session")
 def lifecycle_log(spark):
-    """Two cases with overlapping activities; days as in the public fixtures."""
-    words = {"s": "start", "c": "complete"}
-    first = zip("abaccbd", ["s", "s", "c", "s", "c", "c", "c"], range(1, 8), ["i1_1", "i1_2", "i1_1", "i1_3", "i1_3", "i1_2", "i1_4"])
-    second = zip("ababaa", ["s", "s", "s", "c", "c", "c"], range(7, 13), ["i2_1", "i2_2", "i2_3", "i2_2", "i2_3", "i2_1"])
-    rows = [(case, a, words[k], day(n), i) for case, events in (("case1", first), ("case2", second)) for a, k, n, i in events]
+    """Two cases with overlapping activities."""
+    # The public fixture's activities, transitions, days and instances.
+    activities_1 = ["a", "b", "a", "c", "c", "b", "d"]
+    transitions_1 = ["start", "start", "complete", "start", "complete", "complete", "complete"]
+    days_1 = [1, 2, 3, 4, 5, 6, 7]
+    instances_1 = ["i1_1", "i1_2", "i1_1", "i1_3", "i1_3", "i1_2", "i1_4"]
+    activities_2 = ["a", "b", "a", "b", "a", "a"]
+    transitions_2 = ["start", "start", "start", "complete", "complete", "complete"]
+    days_2 = [7, 8, 9, 10, 11, 12]
+    instances_2 = ["i2_1", "i2_2", "i2_3", "i2_2", "i2_3", "i2_1"]
+    rows = [("case1", a, k, day(n), i) for a, k, n, i in zip(activities_1, transitions_1, days_1, instances_1)]
+    rows += [("case2", a, k, day(n), i) for a, k, n, i in zip(activities_2, transitions_2, days_2, instances_2)]
     return spark.createDataFrame([(o, *r) for o, r in enumerate(rows, 1)], LIFECYCLE_SCHEMA)

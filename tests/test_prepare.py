@@ -11,6 +11,7 @@ def spans(df):
     return sorted((r["c"], r["a"], (r["s"] - day(0)).days, (r["e"] - day(0)).days) for r in rows)
 
 
+# Published intervals of the first case, in days.
 FIRST = [("case1", "a", 1, 3), ("case1", "b", 2, 6), ("case1", "c", 4, 5), ("case1", "d", 7, 7)]
 
 
@@ -25,7 +26,12 @@ def test_instances(lifecycle_log):
 
 
 def test_ambiguous_instances_raise(spark):
-    rows = [(i, "case", a, k, day(7 + i), iid) for i, (a, k, iid) in enumerate(zip("ababaa", ["start"] * 3 + ["complete"] * 3, ["i1", "i2", "i1", "i2", "i1", "i1"]))]
+    # The public fixture with an instance that starts twice, and its message.
+    activities = ["a", "b", "a", "b", "a", "a"]
+    transitions = ["start", "start", "start", "complete", "complete", "complete"]
+    days = [7, 8, 9, 10, 11, 12]
+    instances = ["i1", "i2", "i1", "i2", "i1", "i1"]
+    rows = [(o, "case", a, k, day(n), i) for o, (a, k, n, i) in enumerate(zip(activities, transitions, days, instances))]
     log = spark.createDataFrame(rows, LIFECYCLE_SCHEMA)
     message = "Multiple starting events found for single complete event of instance id i1"
     with pytest.raises(Exception, match=message):
@@ -40,8 +46,10 @@ def test_strict(lifecycle_log):
     assert spans(strict) == FIRST + [("case2", "a", 7, 11), ("case2", "a", 9, 12), ("case2", "b", 8, 10)]
     ids = [r[0] for r in strict.where(col(CASE) == "case2").orderBy("event_ord").select(col(INSTANCE)).collect()]
     assert sorted(ids) == ["0", "0", "1"]
+    # Published instances of the log without lifecycle.
+    instances = ["0", "0", "1", "0", "1", "1", "0", "0", "0", "1", "1", "2", "3"]
     plain = prepare.ensure_start(lifecycle_log.drop(INSTANCE, "lifecycle:transition"), strict=True).orderBy("event_ord")
-    assert [r[INSTANCE] for r in plain.collect()] == list("0010110") + list("001123")
+    assert [r[INSTANCE] for r in plain.collect()] == instances
     assert plain.where(col(START) != col(TIME)).count() == 0
 
 

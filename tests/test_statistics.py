@@ -41,6 +41,7 @@ def test_closed_forms(pairs):
 
 
 def test_known_distances():
+    # Published histograms, costs and distances.
     assert transport.emd([0.5, 0.5], [0.5, 0.5], 1 - np.eye(2)) == 0
     assert transport.emd([0, 1], [0.5, 0.5], 1 - np.eye(2)) == pytest.approx(0.5)
     places = np.arange(3)
@@ -56,6 +57,7 @@ def traces(spark, words):
 
 
 def test_published_example(spark):
+    # Published languages and distances.
     left = ["abdf"] * 10 + ["acf"] * 8 + ["abef"] * 2
     for right, expected in ((["abdf"] * 10 + ["acf"] * 7 + ["abdef"] * 3, 0.05), (["abdf"] * 4 + ["acf"] * 14 + ["abef"] * 2, 0.15)):
         vs = language.variants(language.population(traces(spark, left), traces(spark, right)))
@@ -156,7 +158,7 @@ def test_comparator(spark, lifecycle_log):
         comparator.pvalue
     result = comparator.compare()
     assert result.logs_emd == 0 and 0 <= comparator.pvalue <= 1 and result.null_distribution.count() == 5
-    timed = compare.LogComparator(lifecycle_log, lifecycle_log, representation="timed", test="replacement", distribution_size=4, weighted_time_cost=True, fit=binning.fit_iqr).compare()
+    timed = compare.LogComparator(lifecycle_log, lifecycle_log, representation="timed", test="replacement", distribution_size=4, weighted_time_cost=True, binner="iqr").compare()
     assert timed.logs_emd == 0 and timed.pvalue == 1.0
     assert compare.LogComparator(lifecycle_log, lifecycle_log, test="ks_split", distribution_size=4).compare().pvalue <= 1.0
     assert 0 <= compare.LogComparator(lifecycle_log, lifecycle_log, test="double_smaller", distribution_size=4).compare().pvalue <= 1
@@ -181,3 +183,106 @@ def test_histogram(spark):
     null = spark.createDataFrame([(0, i, float(i)) for i in range(11)] + [(1, 0, 2.0), (1, 1, 2.0)], "pair_id long, rep int, emd double")
     got = {(r["pair_id"], r["bin"]): r["n"] for r in compare.null_histogram(null, 5).collect()}
     assert got == {(0, 0): 2, (0, 1): 2, (0, 2): 2, (0, 3): 2, (0, 4): 3, (1, 0): 2}
+
+
+def test_asymmetric_costs(spark):
+    """A cost whose two directions differ: taking letters away is free, adding one costs 1."""
+    pop = language.population(traces(spark, ["a", "ab", "abc"]), traces(spark, ["ab", "abcd", "abcd"]))
+    vs = language.variants(pop)
+
+    def added(a, b):
+        return F.greatest(F.size(b["trace"]) - F.size(a["trace"]), F.lit(0)).cast("double")
+
+    assert compare.distances(resample.observed(vs), vs, added).first()["emd"] == pytest.approx(4 / 3)
+    turned = language.variants(pop.withColumn("side", 3 - F.col("side")))
+    assert compare.distances(resample.observed(turned), turned, added).first()["emd"] == pytest.approx(0)
+    full = distance.cost_matrix(vs, added, symmetric=False).collect()
+    assert len(full) == 16 and {(r["i"], r["j"]) for r in full} == set(itertools.product(range(4), repeat=2))
+
+
+def test_more_variants_than_one_row_holds(spark, monkeypatch):
+    pop = language.population(traces(spark, ["a", "ab", "abc", "b"]), traces(spark, ["ab", "abd", "c", "c"])).unionByName(language.population(traces(spark, "aab"), traces(spark, "abb"), 1))
+    vs = language.variants(pop).persist()
+
+    def nulls():
+        return sorted(map(tuple, compare.distances(resample.replicates(pop, vs, "permutation", 20, 5), vs, "levenshtein").collect()))
+
+    expected = nulls()
+    for dense in (4, 1):
+        monkeypatch.setattr(compare, "DENSE", dense)
+        assert nulls() == expected and len(expected) == 40
+
+
+def test_symbols_of_many_activities(spark):
+    picked = [0, 89, 90, 35_327, 35_328, 45_567, 45_568, 300_000, distance.MOST_SYMBOLS - 1]
+    rows = spark.createDataFrame([(i,) for i in picked], "i int").select("i", distance._symbol(F.col("i")).alias("c")).collect()
+    assert all(len(r["c"]) == 1 for r in rows) and len({r["c"] for r in rows}) == len(picked)
+    with pytest.raises(Exception, match="more than"):
+        spark.createDataFrame([(distance.MOST_SYMBOLS,)], "i int").select(distance._symbol(F.col("i"))).collect()
+
+
+def test_ks_has_one_formula(spark):
+    n = 12_000
+    frames = [spark.range(n).select(F.lit(0).cast("long").alias("pair_id"), (F.col("id") + shift).cast("double").alias("emd")) for shift in (0, 100)]
+    got = compare.ks_greater(*frames).first()
+    expected = math.exp(sum(math.log(n - j) - math.log(n + j + 1) for j in range(100)))
+    assert got["statistic"] == pytest.approx(100 / n) and got["pvalue"] == pytest.approx(expected)
+
+
+def test_percentiles_match_numpy(spark):
+    rng = np.random.default_rng(8)
+    values = {"a": rng.normal(size=500), "b": rng.integers(0, 4, 301).astype(float), "c": np.array([2.5]), "d": np.array([1.0, 4.0])}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("e", None)], "label string, value double")
+    for low, high in ((25, 75), (10, 90), (0, 100)):
+        got = {r["label"]: r["edges"] for r in binning.fit_percentiles(rows, low, high).collect()}
+        assert got.keys() == values.keys()
+        for k, v in values.items():
+            assert got[k] == pytest.approx(np.percentile(v, [low, high]))
+    assert binning.fit_percentiles(rows.limit(0)).count() == 0
+
+
+def test_numpy_sampler(spark, lifecycle_log):
+    """Draws of whole tests repeat the public streams."""
+    pop = language.population(traces(spark, "aaabbc"), traces(spark, "abcc"))
+    vs = language.variants(pop)
+    frequencies = np.array([3, 2, 1]) / 6
+    drawn = np.random.default_rng(4).choice(3, (3, 6), p=frequencies)
+    got = resample.numpy_test(pop, vs, "replacement", 3, 4).where("side = 1").collect()
+    assert {(r["rep"], r["variant_id"]): r["cnt"] for r in got} == {(k, v): c for k in range(3) for v, c in zip(*np.unique(drawn[k], return_counts=True))}
+    for test, sizes in {"permutation": (6, 4), "replacement": (6, 6), "resample": (3, 3), "classic": (6, 4)}.items():
+        totals = resample.numpy_test(pop, vs, test, 2, 4).groupBy("rep", "side").agg(F.sum("cnt").alias("n")).collect()
+        assert sorted((r["side"], r["n"]) for r in totals) == sorted([(1, sizes[0]), (2, sizes[1])] * 2)
+    for wrong in (lambda: resample.numpy_test(pop, vs, "between", 2, 4), lambda: resample.numpy_test(pop, vs, "permutation", 10_000_000, 4)):
+        with pytest.raises(ValueError):
+            wrong()
+    result = compare.LogComparator(lifecycle_log, lifecycle_log, distribution_size=5, sampler="numpy").compare()
+    assert result.logs_emd == 0 and result.null_distribution.count() == 5
+    with pytest.raises(ValueError):
+        compare.LogComparator(lifecycle_log, lifecycle_log, distribution_size=5, sampler="dice").compare()
+
+
+def test_default_size_counts_cases_without_a_trace(spark, lifecycle_log):
+    third = lifecycle_log.where("event_ord = 1").withColumn("case:concept:name", F.lit("case3"))
+    log = lifecycle_log.unionByName(third)
+    seen = {}
+    for size, expected in ((None, 3), (0.7, 2), (5, 5)):
+        comparator = compare.LogComparator(log, lifecycle_log, test="replacement", distribution_size=2, resample_size=size)
+        original = resample.replicates
+
+        def replicates(*arguments):
+            seen[size] = arguments[-1]
+            return original(*arguments)
+
+        resample.replicates, result = replicates, None
+        try:
+            result = comparator.compare()
+        finally:
+            resample.replicates = original
+        assert seen[size] == expected and 0 <= result.pvalue <= 1
+
+
+def test_binners_of_the_timed_test(spark, lifecycle_log):
+    for binner, arguments in (("kmeans", None), ("kmeans", {"k": 2}), ("outer_percentile", {"outer_percent": 30.0}), ("iqr", None), (binning.fit_iqr, {})):
+        assert compare.LogComparator(lifecycle_log, lifecycle_log, representation="timed", distribution_size=2, binner=binner, binner_args=arguments).compare().logs_emd == 0
+    with pytest.raises(ValueError):
+        compare.LogComparator(lifecycle_log, lifecycle_log, representation="timed", binner="other").compare()

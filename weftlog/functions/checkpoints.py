@@ -11,10 +11,15 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's checkpoint folder and continue from there.
 
     The folder is the one named in ``spark.checkpoint.dir``; only where that is
-    unset (tests, local runs) a temporary folder is taken.
+    unset and all tasks run on this machine (tests, local runs) a temporary
+    folder is taken. Files go with the data they hold where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set; otherwise the
+    folder is the application's to remove.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftlog-"))
     return df.checkpoint(eager=True)

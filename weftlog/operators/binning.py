@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlog.functions.checkpoints import materialise
+from weftlog.functions.columns import shuffle_partitions
 
 MODEL = "label string, kind string, edges array<double>, num_bins int"
 
@@ -31,10 +32,19 @@ def fit_percentiles(values: DataFrame, low: float = 25.0, high: float = 75.0, la
     """Three bins per label: below the low percentile, below the high one, the rest.
 
     Percentiles are exact with linear interpolation; null values are not seen.
+    Equal values become one with a count, and the values at the ranks around
+    each percentile are found by running counts over range partitions, so no
+    task holds a label's values.
     """
-    grouped = values.where(F.col(label).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(label).alias("label"))
-    fitted = grouped.agg(F.percentile(F.col(value).cast("double"), F.array(F.lit(low / 100), F.lit(high / 100))).alias("edges"))
-    return fitted.select("label", F.lit("bounds").alias("kind"), "edges", F.lit(3).alias("num_bins"))
+    weighed = _weighed(values, label, value, None)
+    n = weighed.groupBy("label").agg(F.sum("w").alias("n"))
+    shares = [F.lit(low / 100), F.lit(high / 100)]
+    places = [(F.col("n") - 1) * s for s in shares]
+    ranks = F.array(*[edge(p) + 1 for p in places for edge in (F.floor, F.ceil)])
+    found = _reached(weighed, F.col("w"), n.select("label", F.transform(ranks, lambda r: r.cast("double")).alias("goals"), F.lit(False).alias("relative"))).join(n, "label")
+    below, above = [[F.get("drawn", F.lit(2 * i + k)) for i in (0, 1)] for k in (0, 1)]
+    edges = F.array(*[b + (a - b) * (p - F.floor(p)) for a, b, p in zip(above, below, places)])
+    return found.select("label", F.lit("bounds").alias("kind"), edges.alias("edges"), F.lit(3).alias("num_bins"))
 
 
 def fit_iqr(values: DataFrame, **names: str) -> DataFrame:
@@ -63,6 +73,13 @@ def greedy_centres(values: np.ndarray, k: int, seed: int | None, trials: int = 1
     return np.sort(np.asarray(centres, dtype=float))
 
 
+def _weighed(values: DataFrame, label: str, value: str, order: str | None) -> DataFrame:
+    """``label, value, o, w, part``: equal rows as one with a weight, in the order of label, ``order`` and value over parts."""
+    rows = values.where(F.col(label).isNotNull() & F.col(value).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(value).cast("double").alias("value"), (F.col(order) if order else F.lit(0)).cast("long").alias("o"))
+    weighed = rows.groupBy("label", "value", "o").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    return materialise(weighed.repartitionByRange(shuffle_partitions(values.sparkSession), "label", "o", "value").withColumn("part", F.spark_partition_id()))
+
+
 def _reached(rows: DataFrame, mass: Column, goals: DataFrame) -> DataFrame:
     """Per label the values at which the running sum of ``mass``, in the order of ``o`` and value, reaches the label's goals.
 
@@ -94,9 +111,7 @@ def fit_kmeans_seeds(values: DataFrame, k: int = 3, seed: int | None = None, lab
     weight, and each of the ``k - 1`` rounds draws and judges its trials by sums
     over all rows, so no task holds a label's values.
     """
-    rows = values.where(F.col(label).isNotNull() & F.col(value).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(value).cast("double").alias("value"), (F.col(order) if order else F.lit(0)).cast("long").alias("o"))
-    weighed = rows.groupBy("label", "value", "o").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    weighed = materialise(weighed.repartitionByRange("label", "o", "value").withColumn("part", F.spark_partition_id()))
+    weighed = _weighed(values, label, value, order)
 
     def draws(n):
         rng = np.random.RandomState(seed)

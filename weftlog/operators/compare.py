@@ -15,7 +15,12 @@ from weftlog.functions.columns import ACTIVITY, LIFECYCLE, START, TIME, col
 from weftlog.operators import binning, distance, extract, prepare, resample, transport
 from weftlog.operators.language import population, variants
 
-EXACT_KS = 10_000  # values per side up to which the exact distribution is used
+# Messages that users of the tests rely on.
+EMPTY_LOG = "Cannot compare with an empty event log"
+INVALID_STYLE = "Invalid bootstrapping style: {}. Must be 'replacement' or 'split'."
+
+DENSE = 2000  # variants of one comparison up to which its matrix travels as one row (32 MB)
+BINNERS = {"kmeans": binning.fit_kmeans_seeds, "iqr": binning.fit_iqr, "outer_percentile": binning.fit_outer_percentiles}
 
 
 def distances(draws: DataFrame, vs: DataFrame, cost: str | Callable) -> DataFrame:
@@ -30,15 +35,25 @@ def distances(draws: DataFrame, vs: DataFrame, cost: str | Callable) -> DataFram
     if cost == "line":
         return transport.solve_line(draws, vs.select("pair_id", "variant_id", F.size("trace").alias("position")))
     if cost == "levenshtein":
-        return transport.solve_exact(draws, distance.cost_matrix(distance.encoded(vs), distance.postnormalised))
+        return _solved(draws, vs, lambda v: distance.cost_matrix(distance.encoded(v), distance.postnormalised))
     if isinstance(cost, str) and cost.startswith("weighted"):
         bins = cost.partition(":")[2]
-        return transport.solve_exact(draws, distance.weighted_matrix(vs, int(bins) if bins else None))
+        return _solved(draws, vs, lambda v: distance.weighted_matrix(v, int(bins) if bins else None))
     if callable(cost):
-        return transport.solve_exact(draws, distance.cost_matrix(vs, cost))
+        return _solved(draws, vs, lambda v: distance.cost_matrix(v, cost, symmetric=False), mirrored=False)
     raise ValueError(f"unknown cost: {cost}")
 
 
+def _solved(draws: DataFrame, vs: DataFrame, matrix: Callable[[DataFrame], DataFrame], mirrored: bool = True) -> DataFrame:
+    """Exact distances; comparisons of more variants than fit one row as a dense matrix travel row by row."""
+    large = vs.where(F.col("variant_id") >= DENSE).select("pair_id").distinct()
+    if not large.take(1):
+        return transport.solve_exact(draws, matrix(vs), mirrored=mirrored)
+    large = materialise(large)
+    small = transport.solve_exact(draws.join(large, "pair_id", "left_anti"), matrix(vs.join(large, "pair_id", "left_anti")), mirrored=mirrored)
+    return small.unionByName(transport.solve_rows(draws.join(large, "pair_id", "left_semi"), matrix(vs.join(large, "pair_id", "left_semi")), mirrored=mirrored))
+
+
 def share_beyond(null: DataFrame, actual: DataFrame, strict: bool) -> DataFrame:
     """p-values: the share of replicates above (``strict``) or at least at the logs' distance."""
     beyond = F.col("emd") > F.col("logs_emd") if strict else F.col("emd") >= F.col("logs_emd")
@@ -51,8 +66,8 @@ def ks_greater(reference: DataFrame, logs: DataFrame) -> DataFrame:
 
     The statistic is the greatest excess of the reference's distribution
     function over the logs', taken where all ties of a value are in. Both
-    sides have the same number of values; up to ``EXACT_KS`` the p-value is
-    exact (a product over lattice paths), beyond that asymptotic.
+    sides have the same number n of values, so the p-value is an exact product
+    over lattice paths with as many factors as the statistic has n-ths.
     """
     both = reference.select("pair_id", "emd", F.lit(1).alias("r"), F.lit(0).alias("l")).unionByName(logs.select("pair_id", "emd", F.lit(0).alias("r"), F.lit(1).alias("l")))
     points = both.groupBy("pair_id", "emd").agg(F.sum("r").alias("r"), F.sum("l").alias("l"))
@@ -61,19 +76,25 @@ def ks_greater(reference: DataFrame, logs: DataFrame) -> DataFrame:
     found = ahead.groupBy("pair_id").agg(F.greatest(F.max("ahead"), F.lit(0)).alias("h"), F.sum("r").alias("n"))
     factors = F.transform(F.sequence(F.lit(0), F.col("h").cast("int") - 1), lambda j: F.log((F.col("n") - j).cast("double")) - F.log((F.col("n") + j + 1).cast("double")))
     exact = F.when(F.col("h") == 0, F.lit(1.0)).otherwise(F.exp(F.aggregate(factors, F.lit(0.0), lambda s, x: s + x)))
-    limit = F.exp(-(F.col("h") * F.col("h")).cast("double") / F.col("n"))
-    return found.select("pair_id", (F.col("h") / F.col("n")).alias("statistic"), F.when(F.col("n") <= EXACT_KS, exact).otherwise(limit).alias("pvalue"))
+    return found.select("pair_id", (F.col("h") / F.col("n")).alias("statistic"), exact.alias("pvalue"))
 
 
-def run_test(pop: DataFrame, test: str = "permutation", cost: str | Callable = "levenshtein", n: int = 10_000, seed: int = 0, resample_size: int | float | None = None) -> tuple[DataFrame, DataFrame]:
+def run_test(pop: DataFrame, test: str = "permutation", cost: str | Callable = "levenshtein", n: int = 10_000, seed: int = 0, resample_size: int | float | None = None, sampler: str = "hash") -> tuple[DataFrame, DataFrame]:
     """Null distribution ``pair_id, rep, emd`` and p-values ``pair_id, logs_emd, pvalue, n_replicates`` of a population's pairs.
 
     Permutation tests count replicates strictly above the logs' distance,
-    bootstrap tests also those at it.
+    bootstrap tests also those at it. ``sampler`` is ``hash`` (inside Spark) or
+    ``numpy`` (the public random streams, for one small pair).
     """
     vs = materialise(variants(pop))
     actual = distances(resample.observed(vs), vs, cost).select("pair_id", F.col("emd").alias("logs_emd"))
-    null = distances(resample.replicates(pop, vs, test, n, seed, resample_size), vs, cost)
+    if sampler == "numpy":
+        draws = resample.numpy_test(pop, vs, test, n, seed, resample_size)
+    elif sampler == "hash":
+        draws = resample.replicates(pop, vs, test, n, seed, resample_size)
+    else:
+        raise ValueError(f"unknown sampler: {sampler}; hash or numpy")
+    null = distances(draws, vs, cost)
     return null, share_beyond(null, actual, strict=test == "permutation")
 
 
@@ -103,7 +124,7 @@ def run_double_test(pop: DataFrame, style: str = "smaller", cost: str | Callable
 def run_ks_test(pop: DataFrame, style: str = "replacement", cost: str | Callable = "levenshtein", n: int = 10_000, seed: int = 0) -> DataFrame:
     """Kolmogorov-Smirnov test of log 1's distances to itself against those between the logs."""
     if style not in ("replacement", "split"):
-        raise ValueError(f"Invalid bootstrapping style: {style}. Must be 'replacement' or 'split'.")
+        raise ValueError(INVALID_STYLE.format(style))
     vs = materialise(variants(pop))
     reference = distances(resample.replicates(pop, vs, "resample" if style == "replacement" else "split", n, seed), vs, cost)
     return ks_greater(reference, distances(resample.replicates(pop, vs, "between", n, seed), vs, cost))
@@ -139,9 +160,14 @@ class LogComparator:
     ``column``). ``test``: ``permutation``, ``replacement``, ``split``,
     ``resample``, ``classic``, ``double_smaller``, ``double_split_variants``,
     ``ks_replacement`` or ``ks_split``. ``cost`` replaces the representation's
-    own distance by a function of two struct columns with ``trace``; ``fit``
-    replaces k-means seeding as the binner (a table ``label, value`` in, a
-    model out). Results can be read after :meth:`compare`.
+    own distance by a function of two struct columns with ``trace``, which need
+    not be symmetric. ``binner`` is ``kmeans`` (with ``k``, 3 unless given),
+    ``outer_percentile`` (with ``outer_percent``), ``iqr`` or a function (a table
+    ``label, value`` in, a model out); ``binner_args`` are its further
+    arguments. Without ``resample_size`` the tests ``replacement`` and
+    ``resample`` draw as many cases as log 1 has, those without a trace
+    counted; a float is a share of that. Results can be read after
+    :meth:`compare`.
     """
 
     log_1: DataFrame
@@ -153,7 +179,9 @@ class LogComparator:
     resample_size: int | float | None = None
     seed: int = 0
     cost: Callable | None = None
-    fit: Callable | None = None
+    binner: str | Callable = "kmeans"
+    binner_args: dict | None = None
+    sampler: str = "hash"
     weighted_time_cost: bool = False
     on_ambiguous: str = "error"
     _result: Comparison | None = field(default=None, repr=False)
@@ -172,19 +200,28 @@ class LogComparator:
         else:
             raise ValueError(f"unknown representation: {self.representation}")
         pooled = values[0].select(col(ACTIVITY).alias("label"), F.col("_number").alias("value")).unionByName(values[1].select(col(ACTIVITY).alias("label"), F.col("_number").alias("value")))
-        fit = self.fit or (lambda v: binning.fit_kmeans_seeds(v, 3, self.seed))
-        model = materialise(fit(pooled))
+        model = materialise(self._fitted(pooled))
         pop = population(*[extract.extract_binned_traces(v, "_number", model) for v in values])
         bins = binning.num_bins(model) if self.weighted_time_cost else None
         return pop, self.cost or (f"weighted:{bins}" if bins is not None else "weighted")
 
+    def _fitted(self, values: DataFrame) -> DataFrame:
+        arguments = dict(self.binner_args or {})
+        if callable(self.binner):
+            return self.binner(values, **arguments)
+        if self.binner not in BINNERS:
+            raise ValueError(f"unknown binner: {self.binner}; one of {', '.join(BINNERS)}")
+        if self.binner == "kmeans":
+            arguments = {"k": 3, "seed": self.seed} | arguments
+        return BINNERS[self.binner](values, **arguments)
+
     def compare(self) -> Comparison:
         """Run the test. Empty logs raise ValueError."""
         began = time.monotonic()
         pop, cost = self.extract()
         pop = materialise(pop)
         if pop.select("side").distinct().count() < 2:
-            raise ValueError("Cannot compare with an empty event log")
+            raise ValueError(EMPTY_LOG)
         null, logs_emd = None, None
         if self.test.startswith("double_"):
             row = run_double_test(pop, self.test.removeprefix("double_"), cost, self.distribution_size, self.seed).first()
@@ -193,9 +230,9 @@ class LogComparator:
             row = run_ks_test(pop, self.test.removeprefix("ks_"), cost, self.distribution_size, self.seed).first()
         else:
             size = self.resample_size
-            if self.test in ("replacement", "resample") and isinstance(size, float):
-                size = math.floor(size * prepare.log_len(self.log_1).first()[0])
-            null, row = run_test(pop, self.test, cost, self.distribution_size, self.seed, size)
+            if self.test in ("replacement", "resample") and (size is None or isinstance(size, float)):
+                size = math.floor((1.0 if size is None else size) * prepare.log_len(self.log_1).first()[0])
+            null, row = run_test(pop, self.test, cost, self.distribution_size, self.seed, size, self.sampler)
             null = materialise(null)
             actual = row.select("logs_emd").distinct().first()["logs_emd"]
             row = share_beyond(null, null.sparkSession.createDataFrame([(0, actual)], "pair_id long, logs_emd double"), self.test == "permutation").first()

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from weftlog.functions.columns import spread
 
-MOST_VARIANTS = 4000  # of one comparison: its dense matrix has 128 MB
 BLOCK = 256
+MOST_SYMBOLS = 0x110000 - 0x4E00 - 0x800  # characters from CJK on, surrogates left out
 
 
 def _symbol(index: Column) -> Column:
-    """One character per index: printable ASCII first, then CJK."""
-    code = F.when(index < 90, index + 33).otherwise(index + 0x4E00)
-    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE")
+    """One character per index: printable ASCII first, then all from CJK on that are no surrogates."""
+    code = F.when(index < 90, index + 33).when(index + 0x4E00 < 0xD800, index + 0x4E00).otherwise(index + 0x4E00 + 0x800)
+    checked = F.when(index < MOST_SYMBOLS, code.cast("long")).otherwise(F.raise_error(F.lit(f"more than {MOST_SYMBOLS} activities in one comparison")).cast("long"))
+    return F.decode(F.unhex(F.lpad(F.hex(checked), 8, "0")), "UTF-32")
 
 
 def encoded(vs: DataFrame) -> DataFrame:
@@ -102,25 +103,27 @@ def postnormalised_weighted(bins: int | Column | None = None) -> Callable[[Colum
 
 def _pairs(vs: DataFrame) -> DataFrame:
     """Pairs of variants a and b of every comparison with a.variant_id <= b.variant_id, spread over blocks of columns."""
-    width = F.max("variant_id").over(Window.partitionBy("pair_id"))
-    checked = F.when(F.col("_top") >= MOST_VARIANTS, F.raise_error(F.lit(f"more than {MOST_VARIANTS} variants in one comparison")).cast("int")).otherwise(F.col("variant_id"))
-    sized = vs.withColumn("_top", width).withColumn("variant_id", checked)
-    packed = sized.select("pair_id", F.struct(*vs.columns).alias("v"), F.floor(F.col("variant_id") / BLOCK).alias("block"), F.floor(F.col("_top") / BLOCK).alias("last_block"))
+    tops = vs.groupBy("pair_id").agg(F.max("variant_id").alias("_top"))
+    packed = vs.join(tops, "pair_id").select("pair_id", F.struct(*[F.col(c) for c in vs.columns]).alias("v"), F.floor(F.col("variant_id") / BLOCK).alias("block"), F.floor(F.col("_top") / BLOCK).alias("last_block"))
     left = packed.select("pair_id", F.col("v").alias("a"), F.explode(F.sequence("block", "last_block")).alias("block"))
     right = packed.select("pair_id", F.col("v").alias("b"), "block")
     joined = spread(left, "pair_id", "block").join(spread(right, "pair_id", "block"), ["pair_id", "block"])
     return joined.where(F.col("a.variant_id") <= F.col("b.variant_id"))
 
 
-def cost_matrix(vs: DataFrame, cost: Callable[[Column, Column], Column]) -> DataFrame:
-    """Distances between the variants of every pair: ``pair_id, i, j, cost`` for i <= j.
+def cost_matrix(vs: DataFrame, cost: Callable[[Column, Column], Column], symmetric: bool = True) -> DataFrame:
+    """Distances between the variants of every pair: ``pair_id, i, j, cost``, for i <= j if ``symmetric``, else for all.
 
-    ``cost`` takes two struct columns with the columns of ``vs`` and is
-    symmetric. The matrix is formed over distinct variants only, at most
-    ``MOST_VARIANTS`` of a comparison (more raise an error when computed), and
-    the rows of a large comparison are spread over blocks of columns.
+    ``cost`` takes two struct columns with the columns of ``vs``. The matrix is
+    formed over distinct variants only, any number of them, and the rows of a
+    large comparison are spread over blocks of columns.
     """
-    return _pairs(vs).select("pair_id", F.col("a.variant_id").alias("i"), F.col("b.variant_id").alias("j"), cost(F.col("a"), F.col("b")).alias("cost"))
+    a, b = F.col("a"), F.col("b")
+    one = F.struct(a["variant_id"].alias("i"), b["variant_id"].alias("j"), cost(a, b).alias("cost"))
+    if symmetric:
+        return _pairs(vs).select("pair_id", one.alias("c")).select("pair_id", "c.*")
+    other = F.struct(b["variant_id"].alias("i"), a["variant_id"].alias("j"), cost(b, a).alias("cost"))
+    return _pairs(vs).select("pair_id", F.inline(F.when(a["variant_id"] == b["variant_id"], F.array(one)).otherwise(F.array(one, other))))
 
 
 def edit_tables(codes_a: np.ndarray, bins_a: np.ndarray, size_a: np.ndarray, codes_b: np.ndarray, bins_b: np.ndarray, size_b: np.ndarray, scale: float) -> np.ndarray:

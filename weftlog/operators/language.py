@@ -53,8 +53,7 @@ def stochastic_language(traces: DataFrame, keys: list[str] | None = None) -> Dat
     """Variants and relative frequencies of a table of traces, per ``keys``: ``..., trace, n, frequency``."""
     keys = keys or []
     counts = traces.groupBy(*keys, "trace").agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(*keys)) if keys else None
-    if total is not None:
-        return counts.withColumn("frequency", F.col("n") / total)
-    sums = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(sums)).withColumn("frequency", F.col("n") / F.col("total")).drop("total")
+    sums = traces.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+    # Without keys the totals are a single row.
+    whole = counts.join(sums, keys) if keys else counts.join(F.broadcast(sums))
+    return whole.withColumn("frequency", F.col("n") / F.col("total")).drop("total")

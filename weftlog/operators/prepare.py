@@ -15,6 +15,10 @@ from weftlog.functions.columns import ACTIVITY, CASE, DAY_US, END_TRANSITIONS, I
 DURATION = "@weft:duration"
 WAITING = "@weft:waiting_time"
 
+# Messages that users of the log format rely on.
+SEVERAL_STARTS = "Multiple starting events found for single complete event of instance id "
+SEVERAL_ENDS = "Multiple complete events found for same activity in case "
+
 
 def log_len(log: DataFrame, case: str = CASE) -> DataFrame:
     """Number of distinct non-null cases, as one row ``n_cases``."""
@@ -124,7 +128,7 @@ def lifecycle_to_interval(log: DataFrame, instance: str | None = INSTANCE, on_am
     if by_instance and on_ambiguous == "error":
         several = starts.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         joined = joined.join(several, names, "left")
-        message = F.concat(F.lit("Multiple starting events found for single complete event of instance id "), F.col("k2").cast("string"))
+        message = F.concat(F.lit(SEVERAL_STARTS), F.col("k2").cast("string"))
         start = F.when(F.col("n") > 1, F.raise_error(message).cast(log.schema[TIME].dataType)).otherwise(start)
     loose = packed.where(F.col("ends") & ~keyed)
     return _unpacked(joined, kept.columns, **{START: start}).unionByName(_unpacked(loose, kept.columns, **{START: F.col("at")}))
@@ -213,8 +217,8 @@ def fold_instances(log: DataFrame, on_ambiguous: str = "error") -> DataFrame:
     if on_ambiguous == "error":
         kind = log.schema[TIME].dataType
         start = (
-            F.when(F.col("n_starts") > 1, F.raise_error(F.concat(F.lit("Multiple starting events found for single complete event of instance id "), F.col("i").cast("string"))).cast(kind))
-            .when(F.col("n_ends") > 1, F.raise_error(F.concat(F.lit("Multiple complete events found for same activity in case "), F.col("c").cast("string"))).cast(kind))
+            F.when(F.col("n_starts") > 1, F.raise_error(F.concat(F.lit(SEVERAL_STARTS), F.col("i").cast("string"))).cast(kind))
+            .when(F.col("n_ends") > 1, F.raise_error(F.concat(F.lit(SEVERAL_ENDS), F.col("c").cast("string"))).cast(kind))
             .otherwise(start)
         )
     return _unpacked(joined, [c for c in log.columns if c != START], **{START: start})

@@ -132,3 +132,40 @@ def numpy_replicates(spark, first: np.ndarray, second: np.ndarray, pair_id: int
         for side, sample in enumerate(sides, 1):
             rows += [(pair_id, rep, side, int(v), int(c)) for v, c in zip(*np.unique(sample, return_counts=True))]
     return spark.createDataFrame(rows, "pair_id long, rep int, side int, variant_id int, cnt long")
+
+
+MOST_NUMBERS = 5_000_000  # that the numpy sampler may draw on the driver
+
+
+def numpy_test(pop: DataFrame, vs: DataFrame, test: str, n: int, seed: int | None, resample_size: int | float | None = None) -> DataFrame:
+    """Replicates of one pair's test from the public ``default_rng`` streams, cases and variants in the order of ``variants``.
+
+    For ``permutation``, ``replacement``, ``resample`` and ``classic``. The
+    draws are made on the driver, at most ``MOST_NUMBERS`` in all; beyond that
+    the hash sampler is the one to take.
+    """
+    counts = vs.select("pair_id", "variant_id", "c1", "c2").orderBy("variant_id").limit(MOST_NUMBERS + 1).toPandas()
+    if counts["pair_id"].nunique() > 1:
+        raise ValueError("the numpy sampler takes one pair of logs")
+    c1, c2 = (counts[c].to_numpy(dtype=np.int64) for c in ("c1", "c2"))
+    n1, n2 = int(c1.sum()), int(c2.sum())
+    size = int(np.floor(n1 * resample_size)) if isinstance(resample_size, float) else resample_size
+    if n * (n1 + n2 + (size or 0)) > MOST_NUMBERS:
+        raise ValueError(f"more than {MOST_NUMBERS} numbers to draw; take the hash sampler")
+    spark = pop.sparkSession
+    if test == "permutation":
+        # In the order of sides and variants, as cases of one variant are alike.
+        pooled = np.repeat(np.r_[np.arange(len(c1)), np.arange(len(c2))], np.r_[c1, c2])
+        samples = pooled[numpy_permutations(n, n1 + n2, seed)]
+        return numpy_replicates(spark, samples[:, :n1], samples[:, n1:], int(counts["pair_id"].iloc[0]))
+    pair = int(counts["pair_id"].iloc[0])
+    if test == "replacement":
+        drawn = numpy_draws(n, size or n1, c1 / n1, seed)
+        return numpy_replicates(spark, drawn, np.broadcast_to(np.repeat(np.arange(len(c1)), c1), (n, n1)), pair)
+    if test == "resample":
+        both = np.random.default_rng(seed).choice(len(c1), (n, 2, size or n1 // 2), p=c1 / n1)
+        return numpy_replicates(spark, both[:, 0], both[:, 1], pair)
+    if test == "classic":
+        drawn = numpy_draws(n, n1 + n2, (c1 + c2) / (n1 + n2), seed)
+        return numpy_replicates(spark, drawn[:, :n1], drawn[:, n1:], pair)
+    raise ValueError(f"the numpy sampler has no test {test}")

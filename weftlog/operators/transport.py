@@ -174,15 +174,22 @@ def _solver(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"pair_id": [p for p, _ in keys], "rep": [r for _, r in keys], "emd": emd_many(problems)})
 
 
-def solve_exact(draws: DataFrame, matrix: DataFrame, block: int = 64) -> DataFrame:
+def _whole(matrix: DataFrame, mirrored: bool) -> DataFrame:
+    if not mirrored:
+        return matrix.select("pair_id", "i", "j", "cost")
+    return matrix.select("pair_id", F.inline(F.when(F.col("i") < F.col("j"), F.array(F.struct("i", "j", "cost"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "cost"))).otherwise(F.array(F.struct("i", "j", "cost")))))
+
+
+def solve_exact(draws: DataFrame, matrix: DataFrame, block: int = 64, mirrored: bool = True) -> DataFrame:
     """Distances of all replicates under a cost matrix: ``pair_id, rep, emd``.
 
     ``draws`` has ``pair_id, rep, side, variant_id, cnt``; ``matrix`` has
-    ``pair_id, i, j, cost`` for i <= j. Replicates travel in blocks, each with
-    one dense matrix, so many replicates of one pair are spread over tasks.
+    ``pair_id, i, j, cost``, for i <= j if ``mirrored``, else for all. Replicates
+    travel in blocks, each with one dense matrix, so many replicates of one
+    pair are spread over tasks. For comparisons of up to some thousand variants;
+    more go through :func:`solve_rows`.
     """
-    both = matrix.select("pair_id", "i", "j", "cost").unionByName(matrix.where("i < j").select("pair_id", F.col("j").alias("i"), F.col("i").alias("j"), "cost"))
-    dense = both.groupBy("pair_id").agg((F.max("i") + 1).alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "cost"))), lambda e: e["cost"]).alias("matrix"))
+    dense = _whole(matrix, mirrored).groupBy("pair_id").agg((F.max("i") + 1).alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "cost"))), lambda e: e["cost"]).alias("matrix"))
 
     def of(side: int, what: str):
         return F.transform(F.filter("cells", lambda e: e["side"] == side), lambda e: e[what])
@@ -194,6 +201,37 @@ def solve_exact(draws: DataFrame, matrix: DataFrame, block: int = 64) -> DataFra
     return whole.select("pair_id", "size", "matrix", "replicates").mapInPandas(_solver, "pair_id long, rep long, emd double")
 
 
+def _row_solver(key: tuple, cells: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """The replicates of one block; rows and columns of the matrix without mass are left out."""
+    firsts, seconds = (np.unique(cells.loc[cells["side"] == s, "variant_id"]) for s in (1, 2))
+    rows = rows.set_index("i").loc[firsts]
+    cost = np.stack([np.asarray(c, dtype=float)[seconds] for c in rows["costs"]])
+    problems, reps = [], []
+    for rep, own in cells.groupby("rep"):
+        masses = []
+        for side, places in ((1, firsts), (2, seconds)):
+            mine, mass = own[own["side"] == side], np.zeros(len(places), np.int64)
+            mass[np.searchsorted(places, mine["variant_id"])] = mine["cnt"]
+            masses.append(mass)
+        problems.append((*masses, cost))
+        reps.append(rep)
+    return pd.DataFrame({"pair_id": key[0], "rep": reps, "emd": emd_many(problems)})
+
+
+def solve_rows(draws: DataFrame, matrix: DataFrame, block: int = 8, mirrored: bool = True) -> DataFrame:
+    """The same as :func:`solve_exact` for comparisons of any number of variants.
+
+    The matrix travels row by row, is never sorted or held whole in one row,
+    and a task keeps only what has mass in its few replicates. What a task
+    needs is the dense matrix of those variants, some six times over.
+    """
+    rows = _whole(matrix, mirrored).groupBy("pair_id", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "cost"))), lambda e: e["cost"]).alias("costs"))
+    cells = draws.select("pair_id", F.floor(F.col("rep") / block).alias("b"), "rep", "side", "variant_id", "cnt")
+    needed = cells.where("side = 1").select("pair_id", "b", F.col("variant_id").alias("i")).distinct()
+    copies = rows.join(needed, ["pair_id", "i"]).select(F.col("pair_id").alias("of_pair"), F.col("b").alias("of_block"), "i", "costs")
+    return cells.groupBy("pair_id", "b").cogroup(copies.groupBy("of_pair", "of_block")).applyInPandas(_row_solver, "pair_id long, rep long, emd double")
+
+
 def _masses(draws: DataFrame, place: str) -> DataFrame:
     """Counts of both sides at every place, and the sides' totals."""
     cells = draws.groupBy("pair_id", "rep", place).agg(F.sum(F.when(F.col("side") == 1, F.col("cnt")).otherwise(0)).alias("c1"), F.sum(F.when(F.col("side") == 2, F.col("cnt")).otherwise(0)).alias("c2"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftlog.functions.checkpoints import materialise
 from weftlog.functions.columns import ACTIVITY, CASE, INSTANCE, LIFECYCLE, ORD, START, TIME, col, micros, table
 from weftlog.operators import binning, compare, distance, extract, prepare, resample
 from weftlog.operators.features import entity_features, feature_cells
@@ -187,7 +188,7 @@ def _weighted_matrix(bins):
 
 def _logs_emd(source, cost):
     def query(spark, d):
-        vs = variants(paired_population(source(spark, d)))
+        vs = materialise(variants(paired_population(source(spark, d))))
         return compare.distances(resample.observed(vs), vs, cost).select("pair_id", F.round("emd", 9).alias("logs_emd"))
 
     return query

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +36,13 @@ def read_xes(spark: SparkSession, path: str, case_attributes: tuple[str, ...] =
 
     Trace attributes become columns with the prefix ``case:``; those named
     times become timestamps in UTC without zone. ``event_ord`` numbers the
-    events by file, trace and place, in the order of Spark's partitions; it is
-    unique, and increases along each trace. Files are split by the XML source
-    at ``trace`` elements. Attributes that an event lacks are null.
+    events of a partition in the order of files, traces and places; it is
+    unique whatever the lengths of traces and the number of partitions, and
+    increases along each trace. Files are split by the XML source at ``trace``
+    elements. Attributes that an event lacks are null.
     """
     traces = spark.read.format("xml").option("rowTag", "trace").schema(_schema()).load(path)
-    numbered = traces.select(_pairs(None).alias("outer"), F.col("event").alias("events"), F.monotonically_increasing_id().alias("trace_no"))
-    events = numbered.select("outer", "trace_no", F.posexplode("events").alias("place", "e"))
+    events = traces.select(_pairs(None).alias("outer"), F.explode("event").alias("e")).withColumn("ord", F.monotonically_increasing_id())
 
     def value(pairs: Column, key: str) -> Column:
         text = F.get(F.filter(pairs, lambda p: p["_key"] == key), F.lit(0))["_value"]
@@ -48,14 +51,26 @@ def read_xes(spark: SparkSession, path: str, case_attributes: tuple[str, ...] =
         return F.timestamp_micros(F.unix_micros(text.try_cast("timestamp"))).cast("timestamp_ntz")
 
     return events.select(
-        (F.col("trace_no") * (1 << 20) + F.col("place")).alias(ORD),
+        F.col("ord").alias(ORD),
         *[value(F.col("outer"), k).alias(f"case:{k}") for k in case_attributes],
         *[value(_pairs(F.col("e")), k).alias(k) for k in event_attributes],
     )
 
 
+def _document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of one part, as a document of its own."""
+    yield pa.RecordBatch.from_pydict({"value": ['<?xml version="1.0" encoding="UTF-8"?>', '<log xes.version="1.0" xes.features="nested-attributes">']})
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string())], names=["value"])
+    yield pa.RecordBatch.from_pydict({"value": ["</log>"]})
+
+
 def write_xes(log: DataFrame, path: str, case: str = "case:concept:name", ordinal: str = ORD) -> None:
-    """Write a log as XES text files, one part per partition, a case never split over parts."""
+    """Write a log as XES files, one document per partition, a case never split over documents.
+
+    The events of a case are ordered by ``ordinal``; rows without a case are
+    left out; nulls are attributes that an event lacks.
+    """
     columns = [c for c in log.columns if c not in (case, ordinal)]
     kinds = {"timestamp": "date", "timestamp_ntz": "date", "bigint": "int", "int": "int", "double": "float", "boolean": "boolean"}
     types = dict(log.dtypes)
@@ -74,4 +89,4 @@ def write_xes(log: DataFrame, path: str, case: str = "case:concept:name", ordina
     rows = log.where(F.col(f"`{case}`").isNotNull()).select(F.col(f"`{case}`").alias("c"), F.struct(F.col(f"`{ordinal}`").alias("o"), event.alias("x")).alias("e"))
     traces = rows.groupBy("c").agg(F.array_sort(F.collect_list("e")).alias("e"))
     text = F.concat(F.lit('<trace><string key="concept:name" value="'), escaped(F.col("c").cast("string")), F.lit('"/>'), F.array_join(F.col("e.x"), ""), F.lit("</trace>"))
-    traces.select(text.alias("value")).write.mode("error").text(path)
+    traces.select(text.alias("value")).mapInArrow(_document, "value string").write.mode("error").text(path)
