@@ -269,7 +269,7 @@ def frequent_subsequences(events: DataFrame, min_share: float = 0.03, min_cases:
     pieces, firsts, heads = None, None, None
     if chunks.where("not whole").take(1):
         pieces, firsts, heads = _in_pieces(chunks.where("not whole"))
-        states = states.unionByName(pieces.join(heads.select("*", *start), ["case_id", "chunk"]).select(states.columns))
+        states = states.unionByName(pieces.join(heads.select("*", *start), ["case_id", "chunk"]).repartition("case_id", "chunk").select(states.columns))
     found = None
     for length in range(1, longest + 1):
         if length == 1:
@@ -294,7 +294,9 @@ def frequent_subsequences(events: DataFrame, min_share: float = 0.03, min_cases:
         if pieces is not None:
             ours = moved.where("not whole")
             stayed = ours.where("size(codes) > 0").select("case_id", "chunk", "codes", "ends")
-            states = states.unionByName(pieces.join(stayed.unionByName(_found_later(ours, firsts)), ["case_id", "chunk"]).select(states.columns))
+            # Gathered anew, so that partitions of a few rows do not add up from level to level.
+            gathered = stayed.unionByName(_found_later(ours, firsts)).repartition("case_id", "chunk")
+            states = states.unionByName(pieces.join(gathered, ["case_id", "chunk"]).select(states.columns))
     if found is None:
         return nothing
     named = F.array(*[F.lit(a) for a in items])
