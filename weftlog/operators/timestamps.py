@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
-from zoneinfo import available_timezones
+import datetime as dt
+import math
+from zoneinfo import ZoneInfo, available_timezones
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlog.functions.checkpoints import materialise
 from weftlog.functions.columns import DAY_US, ORD, START, TIME, col
 
 # English month names and the zone words that always mean UTC.
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 UTC_WORDS = ("Z", "UTC", "GMT")
 
 SECOND_US = 1_000_000
-YEAR_FIRST = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[Tt ]\s*|$)"
-SLASHED = r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})(?:,?\s+|$)"
-DOTTED = r"^(\d{1,2})\.(\d{1,2})\.(\d{4}|\d{2})(?:,?\s+|$)"
-DAY_MONTH = r"^(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})\s+([A-Za-z]{3,9})\.?,?\s+(\d{4})(?:,?\s+|$)"
-MONTH_DAY = r"^([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4})(?:,?\s+|$)"
-COMPACT = r"^(\d{4})(\d{2})(\d{2})[Tt]?(\d{2})(\d{2})(\d{2})((?:\s*(?:[Zz]|[A-Za-z]{2,5}|[+-]\d{2}(?::?\d{2})?))?)$"
-CLOCK = r"^(?:(\d{1,2})(?::(\d{2})(?::(\d{2})(?:[.,](\d+))?)?)?(?:\s*([AaPp][Mm]))?)?\s*([A-Za-z]{1,5}|[+-]\d{2}(?::?\d{2})?)?\s*(?:\[([^\]]+)\])?$"
-
-
-def _part(value: Column, pattern: str, group: int) -> Column:
-    found = F.regexp_extract(value, pattern, group)
-    return F.when(found != "", found)
+HOUR_US = 3600 * SECOND_US
+OFFSET = r"[+-]\d{2}(?::?\d{2})?"
+YEAR_FIRST = r"(?<y1>\d{4})-(?<m1>\d{1,2})-(?<d1>\d{1,2})(?:[Tt ]\s*|$)"
+SLASHED = r"(?<a>\d{1,2})/(?<b>\d{1,2})/(?<y2>\d{4}|\d{2})(?:,?\s+|$)"
+DOTTED = r"(?<d3>\d{1,2})\.(?<m3>\d{1,2})\.(?<y3>\d{4}|\d{2})(?:,?\s+|$)"
+DAY_MONTH = r"(?:[A-Za-z]{3,9},?\s+)?(?<d4>\d{1,2})\s+(?<n4>[A-Za-z]{3,9})\.?,?\s+(?<y4>\d{4})(?:,?\s+|$)"
+MONTH_DAY = r"(?<n5>[A-Za-z]{3,9})\.?\s+(?<d5>\d{1,2}),?\s+(?<y5>\d{4})(?:,?\s+|$)"
+CLOCK = rf"(?:(?<h>\d{{1,2}})(?::(?<i>\d{{2}})(?::(?<s>\d{{2}})(?:[.,](?<f>\d+))?)?)?(?:\s*(?<half>[AaPp][Mm]))?)?\s*(?<z>[A-Za-z]{{1,5}}|{OFFSET})?\s*(?:\[(?<r>[^\]]+)\])?"
+COMPACT = rf"(?<y6>\d{{4}})(?<m6>\d{{2}})(?<d6>\d{{2}})[Tt]?(?<h6>\d{{2}})(?<i6>\d{{2}})(?<s6>\d{{2}})\s*(?<z6>[Zz]|[A-Za-z]{{2,5}}|{OFFSET})?"
+#: All spellings of a date with or without a time, matched once; a value has the groups of one of them.
+SPELLING = f"^(?:(?:{YEAR_FIRST}|{SLASHED}|{DOTTED}|{DAY_MONTH}|{MONTH_DAY}){CLOCK}|{COMPACT})$"
+#: What is read from a value, and the groups that may hold it.
+PARTS = {"year": "y1 y2 y3 y4 y5 y6", "month": "m1 m3 m6", "name": "n4 n5", "day": "d1 d3 d4 d5 d6", "first": "a", "second": "b", "hour": "h h6", "minute": "i i6", "sec": "s s6", "fraction": "f", "half": "half", "zone": "z z6", "region": "r"}
+BREAK = "\x01"
+BIN_US = 300 * SECOND_US  # of distances to neighbours, when zones are estimated
+BINS = 300  # on each side
 
 
 def _number(text: Column) -> Column:
@@ -33,12 +40,20 @@ def _number(text: Column) -> Column:
 
 
 def _month(name: Column) -> Column:
-    short = F.lower(F.substring(name, 1, 3))
-    full = F.lower(name)
-    number = F.lit(None).cast("long")
-    for i, (m, long) in enumerate(zip(MONTHS, ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"))):
-        number = F.when((short == m) & (F.lit(long).startswith(full) | ((full == "sept") & F.lit(m == "sep"))), F.lit(i + 1)).otherwise(number)
-    return number
+    """The number of an English month name or an abbreviation of it."""
+    place = F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), F.lower(F.substring(name, 1, 3)))
+    full = F.get(F.array(*[F.lit(m) for m in MONTHS]), (place - 1).cast("int"))
+    return F.when(full.startswith(F.lower(name)) | ((F.lower(name) == "sept") & (place == 9)), place)
+
+
+def _days(y: Column, m: Column, d: Column) -> Column:
+    """Days from 1970-01-01 to a date of the Gregorian calendar, null for impossible dates."""
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    length = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    # Years and months counted from March, so that a leap day ends the year.
+    year, month = F.when(m <= 2, y - 1).otherwise(y), F.when(m <= 2, m + 9).otherwise(m - 3)
+    days = year * 365 + F.floor(year / 4) - F.floor(year / 100) + F.floor(year / 400) + F.floor((month * 153 + 2) / 5) + d - 719_469
+    return F.when((y >= 1) & m.between(1, 12) & (d >= 1) & (d <= length), days.cast("long"))
 
 
 def instant_at(wall_us: Column, zone: Column) -> Column:
@@ -69,58 +84,41 @@ def parse_wall(df: DataFrame, value: str, date_order: str) -> DataFrame:
     unreadable or no possible date. ``date_order`` names a column with DMY or
     MDY for slashed dates; where that is null a slashed date is unreadable.
     """
-    v = F.trim(F.regexp_replace(col(value), r"[\s ]+", " "))
+    v = F.trim(F.regexp_replace(col(value), r"[\s\u00a0]+", " "))
+    groups = BREAK.join("".join(f"${{{g}}}" for g in names.split()) for names in PARTS.values())
+    # One match writes all parts side by side; an unreadable value stays one piece.
+    step = df.withColumn("_v", v).withColumn("_p", F.split(F.regexp_replace("_v", SPELLING, groups), BREAK))
+
+    def part(name: str) -> Column:
+        return F.nullif(F.when(F.size("_p") == len(PARTS), F.get("_p", F.lit(list(PARTS).index(name)))), F.lit(""))
+
     order = F.upper(col(date_order))
-    day_first, month_first = order == "DMY", order == "MDY"
-
-    def is_(pattern: str) -> Column:
-        return F.coalesce(v.rlike(pattern), F.lit(False))
-
-    kinds = [
-        (YEAR_FIRST, lambda p: (_part(v, p, 1), _number(_part(v, p, 2)), _part(v, p, 3))),
-        (COMPACT, lambda p: (_part(v, p, 1), _number(_part(v, p, 2)), _part(v, p, 3))),
-        (SLASHED, lambda p: (_part(v, p, 3), _number(F.when(day_first, _part(v, p, 2)).when(month_first, _part(v, p, 1))), F.when(day_first, _part(v, p, 1)).when(month_first, _part(v, p, 2)))),
-        (DOTTED, lambda p: (_part(v, p, 3), _number(_part(v, p, 2)), _part(v, p, 1))),
-        (DAY_MONTH, lambda p: (_part(v, p, 3), _month(_part(v, p, 2)), _part(v, p, 1))),
-        (MONTH_DAY, lambda p: (_part(v, p, 3), _month(_part(v, p, 1)), _part(v, p, 2))),
-    ]
-    date = clock = None
-    for pattern, parts in kinds:
-        year, month, day = parts(pattern)
-        made = F.struct(
-            F.when(F.length(year) == 2, _number(year) + 2000).otherwise(_number(year)).alias("y"),
-            month.cast("long").alias("m"),
-            _number(day).alias("d"),
-        )
-        rest = F.concat_ws("", F.concat_ws(":", *[_part(v, COMPACT, i) for i in (4, 5, 6)]), _part(v, COMPACT, 7)) if pattern == COMPACT else F.regexp_replace(v, pattern, "")
-        date = F.when(is_(pattern), made) if date is None else date.when(is_(pattern), made)
-        clock = F.when(is_(pattern), rest) if clock is None else clock.when(is_(pattern), rest)
-    epoch = (
-        F.when(is_(r"^\d{10}$"), _number(v) * SECOND_US)
-        .when(is_(r"^\d{13}$"), _number(v) * 1000)
-        .when(is_(r"^\d{16}$"), _number(v))
-    )
-    step = df.withColumns({"epoch_us": epoch, "_d": date, "_c": clock})
-    c = F.col("_c")
-    bits = [_part(c, CLOCK, i) for i in range(1, 8)]
-    step = step.withColumns({"_h": _number(bits[0]), "_m": F.coalesce(_number(bits[1]), F.lit(0)), "_s": F.coalesce(_number(bits[2]), F.lit(0)), "_f": F.coalesce(_number(F.rpad(F.substring(bits[3], 1, 6), 6, "0")), F.lit(0)), "_half": F.lower(bits[4]), "_zone": bits[5], "region": bits[6], "_ok": c.rlike(CLOCK) & (bits[1].isNotNull() | bits[0].isNull())})
-    hour = (
-        F.when(F.col("_half").isNull(), F.coalesce(F.col("_h"), F.lit(0)))
-        .when(~F.col("_h").between(1, 12), F.lit(99))
-        .otherwise(F.col("_h") % 12 + F.when(F.col("_half") == "pm", 12).otherwise(0))
-    )
-    iso = F.format_string("%04d-%02d-%02d", F.col("_d.y"), F.col("_d.m"), F.col("_d.d"))
-    day = F.when(F.col("_d.y").isNotNull() & F.col("_d.m").between(1, 12) & F.col("_d.d").between(1, 31) & (F.col("_d.y") >= 1), F.unix_date(iso.try_cast("date")).cast("long"))
-    zone = F.col("_zone")
-    signed = zone.rlike(r"^[+-]")
-    minutes = _number(_part(zone, r"^[+-](\d{2})", 1)) * 60 + F.coalesce(_number(_part(zone, r"^[+-]\d{2}:?(\d{2})$", 1)), F.lit(0))
-    offset = F.when(signed & (minutes <= 18 * 60) & (minutes % 60 + 0 < 60) & (F.coalesce(_number(_part(zone, r"^[+-]\d{2}:?(\d{2})$", 1)), F.lit(0)) < 60), F.when(zone.startswith("-"), -minutes).otherwise(minutes) * (60 * SECOND_US)).when(F.upper(zone).isin(*UTC_WORDS), F.lit(0))
-    wall = F.when(
-        F.col("_ok") & (hour < 24) & (F.col("_m") < 60) & (F.col("_s") < 60) & (~signed | offset.isNotNull() | zone.isNull()),
-        day * DAY_US + hour * (3600 * SECOND_US) + F.col("_m") * (60 * SECOND_US) + F.col("_s") * SECOND_US + F.col("_f"),
-    )
-    done = step.withColumns({"wall_us": wall, "offset_us": offset.cast("long"), "abbr": F.when(~signed & ~F.upper(zone).isin(*UTC_WORDS), F.upper(zone))})
-    return done.drop("_d", "_c", "_h", "_m", "_s", "_f", "_half", "_zone", "_ok")
+    first, second, year = _number(part("first")), _number(part("second")), part("year")
+    read = {
+        "_y": F.when(F.length(year) == 2, _number(year) + 2000).otherwise(_number(year)),
+        "_m": F.coalesce(_number(part("month")), _month(part("name")), F.when(order == "DMY", second).when(order == "MDY", first)),
+        "_d": F.coalesce(_number(part("day")), F.when(order == "DMY", first).when(order == "MDY", second)),
+        "_h": _number(part("hour")),
+        "_i": _number(part("minute")),
+        "_s": F.coalesce(_number(part("sec")), F.lit(0)),
+        "_f": F.coalesce(_number(F.rpad(F.substring(part("fraction"), 1, 6), 6, "0")), F.lit(0)),
+        "_half": F.lower(part("half")),
+        "_zone": F.upper(part("zone")),
+        "region": part("region"),
+        "epoch_us": F.when(F.col("_v").rlike(r"^\d{10}(?:\d{3}){0,2}$"), _number(F.rpad("_v", 16, "0"))),
+    }
+    step = step.withColumns(read)
+    h, i, zone = F.col("_h"), F.coalesce("_i", F.lit(0)), F.col("_zone")
+    hour = F.when(F.col("_half").isNull(), F.coalesce(h, F.lit(0))).when(h.between(1, 12), h % 12 + F.when(F.col("_half") == "pm", 12).otherwise(0))
+    signed = F.substring(zone, 1, 1).isin("+", "-")
+    digits = F.regexp_replace(zone, r"\D", "")
+    ahead = _number(F.substring(digits, 1, 2)) * 60 + F.coalesce(_number(F.nullif(F.substring(digits, 3, 2), F.lit(""))), F.lit(0))
+    whole = (ahead <= 18 * 60) & (F.coalesce(_number(F.nullif(F.substring(digits, 3, 2), F.lit(""))), F.lit(0)) < 60)
+    offset = F.when(signed & whole, F.when(zone.startswith("-"), -ahead).otherwise(ahead) * (60 * SECOND_US)).when(zone.isin(*UTC_WORDS), F.lit(0))
+    clock = (h.isNull() | F.col("_i").isNotNull()) & (hour < 24) & (i < 60) & (F.col("_s") < 60)
+    wall = F.when(clock & (zone.isNull() | ~signed | offset.isNotNull()), _days(F.col("_y"), F.col("_m"), F.col("_d")) * DAY_US + hour * HOUR_US + i * (60 * SECOND_US) + F.col("_s") * SECOND_US + F.col("_f"))
+    done = step.withColumns({"wall_us": wall, "offset_us": offset.cast("long"), "abbr": F.when(~signed & ~zone.isin(*UTC_WORDS), zone)})
+    return done.drop("_v", "_p", "_y", "_m", "_d", "_h", "_i", "_s", "_f", "_half", "_zone")
 
 
 def _zone_names() -> list[str]:
@@ -157,35 +155,69 @@ def read_values(log: DataFrame, sites: DataFrame, fields: tuple[str, ...] = (TIM
     return parsed.where(readable).select("event_ord", "field_name", "site_id", "tz_name", fixed.alias("fixed_us"), "wall_us", "region")
 
 
-def estimate_zones(values: DataFrame, sites: DataFrame, field: str = TIME, block: int = 2048) -> DataFrame:
+def _histories(first_us: int, last_us: int, preferred: set[str]) -> list[str]:
+    """One zone of each class of zones whose clocks agree between two times, a preferred one where there is one."""
+    step = max(DAY_US, (last_us - first_us) // 1000)
+    times = [dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(microseconds=t) for t in range(first_us, last_us + step, step)]
+    classes: dict[tuple, str] = {}
+    for name in sorted(_zone_names(), key=lambda n: (n not in preferred, n)):
+        try:
+            zone = ZoneInfo(name)
+        except (OSError, ValueError):
+            continue
+        classes.setdefault(tuple(t.astimezone(zone).utcoffset() for t in times), name)
+    return sorted(classes.values())
+
+
+def estimate_zones(values: DataFrame, sites: DataFrame, block: int = 2048, reach: int = 9) -> DataFrame:
     """The zone history of every site that fits its zoneless values best, from arrival order alone.
 
     Values with a settled instant are anchors: events arrive in ``event_ord``
-    order, so a zoneless value must lie between the anchors that arrived just
-    before and just after it. Every zone of ``sites`` is a candidate offset
-    history; for each, the values that the history puts outside their anchors
-    are counted, and the history with the fewest such violations is chosen
-    (ties: the name that sorts first). Returns ``site_id, tz_name, n_values,
-    n_violations``.
+    order, so a value lies near the middle of the anchors that arrived within
+    ``reach`` ordinals before and after it. How far anchors themselves lie from
+    their neighbours, counted in bins of five minutes over both fields, says
+    how much of a violation a distance is: minus the logarithm of its share, in
+    thousandths. Every history of the public zone list is a candidate (zones
+    whose clocks agree over the anchors' time are one); the one with the least
+    sum of violations is chosen (ties: the name that sorts first). Late rows
+    are far from their neighbours under every history and cancel out. Returns
+    ``site_id, tz_name, n_values, violations``.
 
     Windows run inside blocks of ``block`` consecutive ordinals, so no
-    partition depends on how rows are spread over sites; late rows violate
-    every history alike and cancel out. Sites without zoneless values between
-    two anchors have no row.
+    partition depends on how rows are spread over sites. Sites without
+    zoneless values beside anchors have no row.
     """
-    rows = values.where(F.col("field_name") == field).withColumn("block", F.floor(F.col("event_ord") / block))
-    before = Window.partitionBy("block").orderBy("event_ord").rowsBetween(-16, -1)
-    after = Window.partitionBy("block").orderBy("event_ord").rowsBetween(1, 16)
-    # The middle of the neighbouring anchors, which a few late rows cannot move.
-    near = rows.withColumn("lo", F.percentile(F.col("fixed_us"), F.lit(0.75)).over(before)).withColumn("hi", F.percentile(F.col("fixed_us"), F.lit(0.25)).over(after))
-    open_values = near.where("fixed_us is null and region is null and wall_us is not null and site_id is not null and lo is not null and hi is not null")
-    zones = sites.select("tz_name").where(F.col("tz_name").isin(*_zone_names())).distinct().agg(F.array_sort(F.collect_set("tz_name")).alias("zones"))
+    rows = values.withColumn("block", F.floor(F.col("event_ord") / block))
+    along = Window.partitionBy("field_name", "block").orderBy("event_ord")
+    near = F.array_sort(F.concat(F.collect_list("fixed_us").over(along.rowsBetween(-reach, -1)), F.collect_list("fixed_us").over(along.rowsBetween(1, reach))))
+    middle = (F.get("near", F.floor((F.size("near") - 1) / 2).cast("int")) + F.get("near", F.floor(F.size("near") / 2).cast("int"))) / 2
+    placed = materialise(rows.withColumn("near", near).where("size(near) > 1").select("field_name", "site_id", "fixed_us", "wall_us", "region", F.floor(middle).cast("long").alias("middle")))
+
+    def bin_of(instant: Column) -> Column:
+        return F.greatest(F.least(F.floor((instant - F.col("middle")) / BIN_US), F.lit(BINS)), F.lit(-BINS)).cast("int")
+
+    anchors = placed.where("fixed_us is not null")
+    seen = anchors.groupBy("field_name", bin_of(F.col("fixed_us")).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+    span = anchors.agg(F.expr("percentile_approx(fixed_us, array(0.01, 0.99))").alias("p")).first()["p"]
+    empty = sites.sparkSession.createDataFrame([], "site_id string, tz_name string, n_values long, violations long")
+    if not span:
+        return empty
+    declared = {r["tz_name"] for r in sites.select("tz_name").distinct().collect()}
+    violation = None
+    for field in sorted({r["field_name"] for r in seen}):
+        n = {r["bin"]: r["n"] for r in seen if r["field_name"] == field}
+        whole = sum(n.values()) + (2 * BINS + 1) / 2
+        table = F.array(*[F.lit(round(-1000 * math.log((n.get(b, 0) + 0.5) / whole))) for b in range(-BINS, BINS + 1)])
+        cost = F.get(table, F.col("bin") + BINS)
+        violation = F.when(F.col("field_name") == field, cost) if violation is None else violation.when(F.col("field_name") == field, cost)
     # A fixed list of zones, not a pairing of rows with rows: each value is tried under every candidate history.
-    names = [z for row in zones.collect() for z in row["zones"]]
-    tried = open_values.select("site_id", "wall_us", "lo", "hi", F.explode(F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")).alias("tz_name"))
-    instant = instant_at(F.col("wall_us"), F.col("tz_name"))
-    scored = tried.withColumn("instant", instant).groupBy("site_id", "tz_name").agg(F.count(F.lit(1)).alias("n_values"), F.count_if(~F.coalesce(F.col("instant").between(F.col("lo"), F.col("hi")), F.lit(False))).alias("n_violations"))
-    return scored.groupBy("site_id").agg(F.min_by(F.struct("tz_name", "n_values", "n_violations"), F.struct("n_violations", "tz_name")).alias("best")).select("site_id", "best.*")
+    names = F.array(*[F.lit(n) for n in _histories(int(span[0]), int(span[1]), declared)])
+    open_values = placed.where("fixed_us is null and region is null and wall_us is not null and site_id is not null")
+    tried = open_values.select("field_name", "site_id", "wall_us", "middle", F.explode(names).alias("tz_name"))
+    binned = tried.withColumn("bin", bin_of(F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("wall_us"), F.col("tz_name")))))
+    scored = binned.groupBy("site_id", "tz_name", "field_name", "bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("field_name").isin(sorted({r["field_name"] for r in seen})))
+    summed = scored.groupBy("site_id", "tz_name").agg(F.sum("n").alias("n_values"), F.sum(F.col("n") * violation).cast("long").alias("violations"))
+    return summed.groupBy("site_id").agg(F.min_by(F.struct("tz_name", "n_values", "violations"), F.struct("violations", "tz_name")).alias("best")).select("site_id", "best.*")
 
 
 def normalise_timestamps(log: DataFrame, sites: DataFrame, fields: tuple[str, ...] = (TIME, START)) -> DataFrame:
@@ -212,4 +244,5 @@ def normalise_timestamps(log: DataFrame, sites: DataFrame, fields: tuple[str, ..
     local = F.when(F.col("region").isNull(), zone).otherwise(region)
     placed = values.withColumn("_zone", local)
     instant = F.coalesce(F.col("fixed_us"), F.when(F.col("_zone").isNotNull() & F.col("wall_us").isNotNull(), instant_at(F.col("wall_us"), F.col("_zone"))))
-    return placed.select(F.col("event_ord").cast("long").alias("event_ord"), "field_name", instant.cast("long").alias("utc_us")).where("utc_us is not null")
+    # Exploding what is there computes it once; a filter would be computed anew beneath.
+    return placed.select(F.col("event_ord").cast("long").alias("event_ord"), "field_name", F.explode(F.array_compact(F.array(instant.cast("long")))).alias("utc_us"))
