@@ -36,7 +36,8 @@ BINS = 300  # on each side
 
 
 def _number(text: Column) -> Column:
-    return text.try_cast("long")
+    """The number that a text of digits writes, null for an empty one (a failed cast is an exception each time)."""
+    return F.when(text != "", text.cast("long"))
 
 
 def _month(name: Column) -> Column:
@@ -62,17 +63,15 @@ def instant_at(wall_us: Column, zone: Column) -> Column:
     Null where the zone skips the time or shows it twice. The zone's offsets a
     day before and a day after are the only ones in question.
     """
-    shown = F.timestamp_micros
-
     def guess(shift: int) -> Column:
         moved = wall_us + F.lit(shift)
-        return wall_us - (moved - F.unix_micros(F.to_utc_timestamp(shown(moved), zone)))
+        return wall_us - moved + F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(moved), zone))
 
     def holds(instant: Column) -> Column:
-        return F.unix_micros(F.from_utc_timestamp(shown(instant), zone)) == wall_us
+        return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(instant), zone)) == wall_us
 
-    a, b = guess(-DAY_US), guess(DAY_US)
-    return F.when(a == b, F.when(holds(a), a)).when(holds(a) & ~holds(b), a).when(holds(b) & ~holds(a), b)
+    fitting = F.filter(F.array_distinct(F.array(guess(-DAY_US), guess(DAY_US))), holds)
+    return F.when(F.size(fitting) == 1, F.get(fitting, F.lit(0)))
 
 
 def parse_wall(df: DataFrame, value: str, date_order: str) -> DataFrame:
@@ -87,38 +86,43 @@ def parse_wall(df: DataFrame, value: str, date_order: str) -> DataFrame:
     v = F.trim(F.regexp_replace(col(value), r"[\s\u00a0]+", " "))
     groups = BREAK.join("".join(f"${{{g}}}" for g in names.split()) for names in PARTS.values())
     # One match writes all parts side by side; an unreadable value stays one piece.
-    step = df.withColumn("_v", v).withColumn("_p", F.split(F.regexp_replace("_v", SPELLING, groups), BREAK))
-
-    def part(name: str) -> Column:
-        return F.nullif(F.when(F.size("_p") == len(PARTS), F.get("_p", F.lit(list(PARTS).index(name)))), F.lit(""))
-
-    order = F.upper(col(date_order))
-    first, second, year = _number(part("first")), _number(part("second")), part("year")
-    read = {
-        "_y": F.when(F.length(year) == 2, _number(year) + 2000).otherwise(_number(year)),
-        "_m": F.coalesce(_number(part("month")), _month(part("name")), F.when(order == "DMY", second).when(order == "MDY", first)),
-        "_d": F.coalesce(_number(part("day")), F.when(order == "DMY", first).when(order == "MDY", second)),
-        "_h": _number(part("hour")),
-        "_i": _number(part("minute")),
-        "_s": F.coalesce(_number(part("sec")), F.lit(0)),
-        "_f": F.coalesce(_number(F.rpad(F.substring(part("fraction"), 1, 6), 6, "0")), F.lit(0)),
-        "_half": F.lower(part("half")),
-        "_zone": F.upper(part("zone")),
-        "region": part("region"),
-        "epoch_us": F.when(F.col("_v").rlike(r"^\d{10}(?:\d{3}){0,2}$"), _number(F.rpad("_v", 16, "0"))),
-    }
-    step = step.withColumns(read)
-    h, i, zone = F.col("_h"), F.coalesce("_i", F.lit(0)), F.col("_zone")
-    hour = F.when(F.col("_half").isNull(), F.coalesce(h, F.lit(0))).when(h.between(1, 12), h % 12 + F.when(F.col("_half") == "pm", 12).otherwise(0))
-    signed = F.substring(zone, 1, 1).isin("+", "-")
-    digits = F.regexp_replace(zone, r"\D", "")
-    ahead = _number(F.substring(digits, 1, 2)) * 60 + F.coalesce(_number(F.nullif(F.substring(digits, 3, 2), F.lit(""))), F.lit(0))
-    whole = (ahead <= 18 * 60) & (F.coalesce(_number(F.nullif(F.substring(digits, 3, 2), F.lit(""))), F.lit(0)) < 60)
-    offset = F.when(signed & whole, F.when(zone.startswith("-"), -ahead).otherwise(ahead) * (60 * SECOND_US)).when(zone.isin(*UTC_WORDS), F.lit(0))
-    clock = (h.isNull() | F.col("_i").isNotNull()) & (hour < 24) & (i < 60) & (F.col("_s") < 60)
-    wall = F.when(clock & (zone.isNull() | ~signed | offset.isNotNull()), _days(F.col("_y"), F.col("_m"), F.col("_d")) * DAY_US + hour * HOUR_US + i * (60 * SECOND_US) + F.col("_s") * SECOND_US + F.col("_f"))
-    done = step.withColumns({"wall_us": wall, "offset_us": offset.cast("long"), "abbr": F.when(~signed & ~zone.isin(*UTC_WORDS), zone)})
-    return done.drop("_v", "_p", "_y", "_m", "_d", "_h", "_i", "_s", "_f", "_half", "_zone")
+    parts = df.withColumn("_v", v).withColumn("_p", F.split(F.regexp_replace("_v", SPELLING, groups), BREAK))
+
+    def read(r: Column) -> Column:
+        def part(name: str) -> Column:
+            text = F.get(r["p"], F.lit(list(PARTS).index(name)))
+            return F.when(text != "", text)
+
+        year, first, second, order = part("year"), _number(part("first")), _number(part("second")), F.upper(r["order"])
+        return F.struct(
+            F.when(F.length(year) == 2, _number(year) + 2000).otherwise(_number(year)).alias("y"),
+            F.coalesce(_number(part("month")), _month(part("name")), F.when(order == "DMY", second).when(order == "MDY", first)).alias("m"),
+            F.coalesce(_number(part("day")), F.when(order == "DMY", first).when(order == "MDY", second)).alias("d"),
+            _number(part("hour")).alias("h"),
+            _number(part("minute")).alias("i"),
+            F.coalesce(_number(part("sec")), F.lit(0)).alias("s"),
+            F.coalesce(_number(F.rpad(F.substring(part("fraction"), 1, 6), 6, "0")), F.lit(0)).alias("f"),
+            F.lower(part("half")).alias("half"),
+            F.upper(part("zone")).alias("zone"),
+            F.regexp_replace(part("zone"), r"\D", "").alias("digits"),
+            part("region").alias("region"),
+            F.when(r["v"].rlike(r"^\d{10}(?:\d{3}){0,2}$"), _number(F.rpad(r["v"], 16, "0"))).alias("epoch_us"),
+        )
+
+    def finish(r: Column) -> Column:
+        h, zone = r["h"], r["zone"]
+        hour = F.when(r["half"].isNull(), F.coalesce(h, F.lit(0))).when(h.between(1, 12), h % 12 + F.when(r["half"] == "pm", 12).otherwise(0))
+        minute, signed = F.coalesce(r["i"], F.lit(0)), F.substring(zone, 1, 1).isin("+", "-")
+        past = F.coalesce(_number(F.substring(r["digits"], 3, 2)), F.lit(0))
+        ahead = _number(F.substring(r["digits"], 1, 2)) * 60 + past
+        offset = F.when(signed & (past < 60) & (ahead <= 18 * 60), F.when(zone.startswith("-"), -ahead).otherwise(ahead) * (60 * SECOND_US)).when(zone.isin(*UTC_WORDS), F.lit(0))
+        clock = (h.isNull() | r["i"].isNotNull()) & (hour < 24) & (minute < 60) & (r["s"] < 60)
+        wall = F.when(clock & (zone.isNull() | ~signed | offset.isNotNull()), _days(r["y"], r["m"], r["d"]) * DAY_US + hour * HOUR_US + minute * (60 * SECOND_US) + r["s"] * SECOND_US + r["f"])
+        return F.struct(r["epoch_us"].alias("epoch_us"), wall.alias("wall_us"), offset.cast("long").alias("offset_us"), F.when(~signed & ~zone.isin(*UTC_WORDS), zone).alias("abbr"), r["region"].alias("region"))
+
+    # As functions of one row's parts: computed once, and not one method too large for the JVM to compile.
+    whole = F.struct(F.when(F.size("_p") == len(PARTS), F.col("_p")).alias("p"), F.col("_v").alias("v"), col(date_order).alias("order"))
+    return parts.select(*[col(c) for c in df.columns], F.inline(F.transform(F.transform(F.array(whole), read), finish)))
 
 
 def _zone_names() -> list[str]:

@@ -19,102 +19,137 @@ def transport(cost: np.ndarray, supply: np.ndarray, demand: np.ndarray) -> np.nd
 
     ``cost`` is (R, n, m) or (n, m), ``supply`` (R, n) and ``demand`` (R, m)
     integer masses of equal sums. What fits is first sent along pairs that are
-    tight under row and column minima. Then, round by round and for all open
-    problems at once, shortest paths from all rows with supply left are found
-    in the residual graph, and mass is sent along the paths of their tree.
-    Every pair in use stays tight under the distances as potentials, so the
-    end is optimal. Masses are whole numbers, so rounds end exactly; common
-    mass is not cancelled first, as costs need not be a metric.
+    tight under row and column minima. Then each open problem grows a shortest
+    path tree from a row with supply left, by one row or column in each step,
+    under costs reduced by row and column prices, until it meets a column with
+    demand left; mass is sent along that path and prices change so that every
+    pair in use stays tight. So the end is optimal. Masses are whole numbers,
+    so problems end exactly; common mass is not cancelled first, as costs need
+    not be a metric.
     """
     r, n = supply.shape
     m = demand.shape[1]
     cost = np.broadcast_to(cost, (r, n, m))
     total = np.zeros(r)
     live = np.flatnonzero(supply.sum(axis=1) > 0)
-    c, ex, de = cost[live], supply[live].astype(np.int64), demand[live].astype(np.int64)
-    flow = np.zeros((len(live), n, m), dtype=np.int64)
-    _send_tight(c, ex, de, flow)
-    while len(live):
-        done = ex.sum(axis=1) == 0
-        if done.any():
-            total[live[done]] = (flow[done] * c[done]).sum(axis=(1, 2))
-            keep = ~done
-            live, c, ex, de, flow = live[keep], c[keep], ex[keep], de[keep], flow[keep]
-            continue
-        _send_shortest(c, ex, de, flow, *_shortest_paths(c, ex, flow))
+    if len(live):
+        trees = _Trees(np.ascontiguousarray(cost[live], dtype=float), supply[live].astype(np.int64), demand[live].astype(np.int64))
+        total[live] = trees.solve()
     return total
 
 
-def _send_tight(c: np.ndarray, ex: np.ndarray, de: np.ndarray, flow: np.ndarray) -> None:
-    if not len(c):
-        return
-    used = np.where((ex > 0)[:, :, None] & (de > 0)[:, None, :], c, np.inf)
-    low = used.min(axis=2, keepdims=True)
-    slack = used - np.where(np.isfinite(low), low, 0)
-    low = slack.min(axis=1, keepdims=True)
-    tight = slack - np.where(np.isfinite(low), low, 0) <= EPSILON
-    at = np.arange(len(c))
-    for _ in range(2):
-        for i in range(c.shape[1]):
-            open_ = tight[:, i, :] & (de > 0)
-            j = open_.argmax(axis=1)
-            amount = np.where(open_[at, j], np.minimum(ex[:, i], de[at, j]), 0)
-            ex[:, i] -= amount
-            de[at, j] -= amount
-            flow[at, i, j] += amount
-
-
-def _shortest_paths(c: np.ndarray, ex: np.ndarray, flow: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distances to columns from rows with supply left, and each column's and row's predecessor."""
-    k, n, m = c.shape
-    du = np.where(ex > 0, 0.0, np.inf)
-    dv, pu, pv = np.full((k, m), np.inf), np.full((k, n), -1), np.full((k, m), -1)
-    back = np.where(flow > 0, -c, np.inf)
-    while True:
-        via = du[:, :, None] + c
-        row = via.argmin(axis=1)
-        new = np.take_along_axis(via, row[:, None, :], axis=1)[:, 0, :]
-        better = new < dv - EPSILON
-        if not better.any():
-            return dv, pu, pv
-        dv, pv = np.where(better, new, dv), np.where(better, row, pv)
-        via = dv[:, None, :] + back
-        column = via.argmin(axis=2)
-        new = np.take_along_axis(via, column[:, :, None], axis=2)[:, :, 0]
-        better = new < du - EPSILON
-        if not better.any():
-            return dv, pu, pv
-        du, pu = np.where(better, new, du), np.where(better, column, pu)
-
-
-def _send_shortest(c: np.ndarray, ex: np.ndarray, de: np.ndarray, flow: np.ndarray, dv: np.ndarray, pu: np.ndarray, pv: np.ndarray) -> None:
-    at = np.arange(len(c))
-    order = np.where(de > 0, dv, np.inf).argsort(axis=1)
-    for place in range(int((de > 0).sum(axis=1).max())):
-        target = order[:, place]
-        amount = np.where(np.isfinite(dv[at, target]), de[at, target], 0)
-        path, j, open_ = [], target, amount > 0
-        while open_.any():
-            i = pv[at, j]
-            before = pu[at, i]
-            ends = before < 0
-            left = np.where(ends, ex[at, i], flow[at, i, before])
-            amount = np.where(open_, np.minimum(amount, left), amount)
-            path.append((open_, i, j, ends, before))
-            open_ = open_ & ~ends & (amount > 0)
-            j = np.where(open_, before, j)
-        some = np.flatnonzero(amount > 0)
-        if not len(some):
-            continue
-        sent = amount[some]
-        de[some, target[some]] -= sent
-        for used, i, j, ends, before in path:
-            on = used[some]
-            s, x = some[on], sent[on]
-            flow[s, i[s], j[s]] += x
-            inner = ~ends[s]
-            flow[s[inner], i[s[inner]], before[s[inner]]] -= x[inner]
-            ex[s[~inner], i[s[~inner]]] -= x[~inner]
+class _Trees:
+    """Open problems and the shortest path trees that they grow."""
+
+    def __init__(self, c: np.ndarray, ex: np.ndarray, de: np.ndarray):
+        self.c, self.ex, self.de = c, ex, de
+        self.flow = np.zeros(c.shape, dtype=np.int64)
+        self.closed = de == 0
+        used = np.where((ex > 0)[:, :, None] & (de > 0)[:, None, :], c, np.inf)
+        self.u = _finite(used.min(axis=2))
+        used -= self.u[:, :, None]
+        self.v = _finite(used.min(axis=1))
+        self._send_tight(used - self.v[:, None, :] <= EPSILON)
+        k, n, m = c.shape
+        self.drow, self.dcol = np.full((k, n), np.inf), np.full((k, m), np.inf)
+        self.expanded, self.scanned = np.zeros((k, n), dtype=bool), np.zeros((k, m), dtype=bool)
+        self.pr, self.pc, self.source = np.zeros((k, m), dtype=np.int64), np.zeros((k, n), dtype=np.int64), np.zeros(k, dtype=np.int64)
+        self.left = self.ex.sum(axis=1)
+
+    def _send_tight(self, tight: np.ndarray) -> None:
+        at = np.arange(len(tight))
+        for _ in range(2):
+            for i in range(tight.shape[1]):
+                open_ = tight[:, i, :] & (self.de > 0)
+                j = open_.argmax(axis=1)
+                amount = np.where(open_[at, j], np.minimum(self.ex[:, i], self.de[at, j]), 0)
+                self.ex[:, i] -= amount
+                self.de[at, j] -= amount
+                self.flow[at, i, j] += amount
+
+    def solve(self) -> np.ndarray:
+        total, place = np.zeros(len(self.left)), np.arange(len(self.left))
+        self._plant(place)
+        while True:
+            done = self.left == 0
+            if done.all() or 4 * done.sum() > len(done):
+                total[place[done]] = (self.flow[done] * self.c[done]).sum(axis=(1, 2))
+                if done.all():
+                    return total
+                place = place[~done]
+                for name, value in vars(self).items():
+                    setattr(self, name, value[~done])
+            for _ in range(8):
+                self._grow()
+
+    def _plant(self, at: np.ndarray) -> None:
+        """New trees, each from the row with most supply left; none where no supply is left."""
+        self.drow[at], self.dcol[at], self.expanded[at], self.scanned[at] = np.inf, np.inf, False, False
+        at = at[self.left[at] > 0]
+        self.source[at] = self.ex[at].argmax(axis=1)
+        self.drow[at, self.source[at]] = 0.0
+
+    def _grow(self) -> None:
+        """Expand the nearest row of each tree, or scan the nearest column where that is nearer."""
+        every = np.arange(len(self.left))
+        rows, columns = np.where(self.expanded, np.inf, self.drow), np.where(self.scanned, np.inf, self.dcol)
+        # Of columns equally near, those with demand left come first, and before rows; costs have many ties.
+        i, j = rows.argmin(axis=1), (columns - EPSILON * (self.de > 0)).argmin(axis=1)
+        near, far = rows[every, i], columns[every, j]
+        row_first = near < far + EPSILON * (self.de[every, j] == 0)
+        g = np.flatnonzero(row_first & np.isfinite(near))
+        if len(g):
+            of = i[g]
+            reduced = np.maximum(self.c[g, of] - self.u[g, of][:, None] - self.v[g], 0.0)
+            new = np.where(self.closed[g] | self.scanned[g], np.inf, near[g][:, None] + reduced)
+            better = new < self.dcol[g]
+            self.dcol[g] = np.where(better, new, self.dcol[g])
+            self.pr[g] = np.where(better, of[:, None], self.pr[g])
+            self.expanded[g, of] = True
+        h = np.flatnonzero(~row_first)
+        if len(h):
+            met = self.de[h, j[h]] > 0
+            scan = h[~met]
+            if len(scan):
+                of = j[scan]
+                self.scanned[scan, of] = True
+                new = (self.flow[scan, :, of] > 0) & ~self.expanded[scan] & (far[scan][:, None] < self.drow[scan])
+                self.drow[scan] = np.where(new, far[scan][:, None], self.drow[scan])
+                self.pc[scan] = np.where(new, of[:, None], self.pc[scan])
+            if met.any():
+                self._send(h[met], j[h[met]], far[h[met]])
+
+    def _send(self, at: np.ndarray, target: np.ndarray, distance: np.ndarray) -> None:
+        """Send mass along the paths to the columns that were met; trees that are spent set prices and are planted anew."""
+        source = self.source[at]
+        amount = np.minimum(self.ex[at, source], self.de[at, target])
+        there, back, open_, j = [], [], np.arange(len(at)), target.copy()
+        while len(open_):
+            i = self.pr[at[open_], j[open_]]
+            there.append((open_, i, j[open_]))
+            inner = i != source[open_]
+            open_, i = open_[inner], i[inner]
+            j[open_] = self.pc[at[open_], i]
+            amount[open_] = np.minimum(amount[open_], self.flow[at[open_], i, j[open_]])
+            back.append((open_, i, j[open_]))
+        for of, i, column in there:
+            self.flow[at[of], i, column] += amount[of]
+        self.ex[at, source] -= amount
+        self.de[at, target] -= amount
+        self.left[at] -= amount
+        spent = self.ex[at, source] == 0
+        for of, i, column in back:
+            self.flow[at[of], i, column] -= amount[of]
+            spent[of] |= self.flow[at[of], i, column] == 0
+        # A tree whose source has more to send and whose branches all hold grows on.
+        at, distance = at[spent], distance[spent]
+        self.u[at] += np.where(self.expanded[at], distance[:, None] - _finite(self.drow[at]), 0.0)
+        self.v[at] -= np.where(self.scanned[at], distance[:, None] - _finite(self.dcol[at]), 0.0)
+        self._plant(at)
+
+
+def _finite(x: np.ndarray) -> np.ndarray:
+    return np.where(np.isfinite(x), x, 0.0)
 
 
 def emd(first: np.ndarray, second: np.ndarray, cost: np.ndarray) -> float:
@@ -130,7 +165,7 @@ def emd(first: np.ndarray, second: np.ndarray, cost: np.ndarray) -> float:
     return float(transport(np.asarray(cost, dtype=float), a[None, :], b[None, :])[0] / scale)
 
 
-def emd_many(problems: list[tuple[np.ndarray, np.ndarray, np.ndarray]], most_cells: int = 200_000) -> np.ndarray:
+def emd_many(problems: list[tuple[np.ndarray, np.ndarray, np.ndarray]], most_cells: int = 1_000_000) -> np.ndarray:
     """Distances of many (counts, counts, cost matrix) problems; those of like size are solved together.
 
     Rows and columns without mass are dropped first.

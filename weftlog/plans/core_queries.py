@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from weftlog.operators.timestamps import estimate_zones, normalise_timestamps, r
 
 SEED = 42
 REPLICATES = 100
+TIMED_REPLICATES = 20
 
 
 # -- inputs ------------------------------------------------------------------
@@ -53,14 +56,19 @@ def delivery_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_log(extract.extract_traces(deliveries(spark, sf_dir)), spark, sf_dir)
 
 
-def binned_delivery_traces(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
-    """Delivery traces with days to shipment or quantities in quartile bins of their activity."""
+def binned_delivery_traces(spark: SparkSession, sf_dir: str, value: str, fit: Callable[[DataFrame], DataFrame] = binning.fit_iqr) -> DataFrame:
+    """Delivery traces with days to shipment or quantities in bins of their activity."""
     log = deliveries(spark, sf_dir)
     log = log.withColumn("_number", prepare.seconds_between(log, START, TIME) if value == "duration" else col(value).cast("double"))
-    model = binning.fit_iqr(log.select(col(ACTIVITY).alias("label"), F.col("_number").alias("value")))
+    model = fit(log.select(col(ACTIVITY).alias("label"), F.col("_number").alias("value")))
     return _with_log(extract.extract_binned_traces(log, "_number", model), spark, sf_dir)
 
 
+def timed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delivery traces with days to shipment in the default bins: three by k-means++ seeding."""
+    return binned_delivery_traces(spark, sf_dir, "duration", lambda v: binning.fit_kmeans_seeds(v, 3, SEED))
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "event_log").drop(START)
 
@@ -96,6 +104,10 @@ def q_strict_interval(spark, d):
     return _pairs(prepare.ensure_start(event_log(spark, d).drop(INSTANCE), strict=True))
 
 
+def q_ensure_start(spark, d):
+    return _pairs(prepare.ensure_start(event_log(spark, d), on_ambiguous="first"))
+
+
 def q_atomic_to_lifecycle(spark, d):
     return prepare.atomic_to_lifecycle(table(spark, d, "atomic_log")).select("event_ord", col(LIFECYCLE).alias("lifecycle"), col(INSTANCE).alias("instance"))
 
@@ -215,7 +227,7 @@ def _null(source, test, cost, n=REPLICATES):
     return query
 
 
-def _binned_test(value, bins, n=20):
+def _binned_test(value, bins, n=TIMED_REPLICATES):
     def query(spark, d):
         pop = paired_population(binned_delivery_traces(spark, d, value))
         return _rounded(compare.run_test(pop, "permutation", f"weighted:{bins}" if bins else "weighted", n, SEED)[1])
@@ -223,16 +235,16 @@ def _binned_test(value, bins, n=20):
     return query
 
 
-def _double(style, cost):
+def _double(style, cost, source=small_logs, n=REPLICATES):
     def query(spark, d):
-        return _rounded(compare.run_double_test(paired_population(small_logs(spark, d)), style, cost, REPLICATES, SEED))
+        return _rounded(compare.run_double_test(paired_population(source(spark, d)), style, cost, n, SEED))
 
     return query
 
 
-def _ks(style, cost):
+def _ks(style, cost, source=small_logs, n=REPLICATES):
     def query(spark, d):
-        found = compare.run_ks_test(paired_population(small_logs(spark, d)), style, cost, REPLICATES, SEED)
+        found = compare.run_ks_test(paired_population(source(spark, d)), style, cost, n, SEED)
         return found.select("pair_id", F.round("statistic", 9).alias("statistic"), F.round("pvalue", 9).alias("pvalue"))
 
     return query
@@ -288,6 +300,7 @@ QUERIES = {
     "iqr_bins": _bins(binning.fit_iqr),
     "outer_percentile_bins": _bins(binning.fit_outer_percentiles),
     "kmeanspp_bins": _bins(lambda e: binning.fit_kmeans_seeds(e, 3, SEED, order="event_id")),
+    "ensure_start": q_ensure_start,
     "binned_traces": q_binned_traces,
     "stochastic_language": q_language,
     "stochastic_language_deliveries": q_language_deliveries,
@@ -305,6 +318,13 @@ QUERIES = {
     "permutation_test_control_flow": FLAGSHIP,
     "permutation_test_timed": _binned_test("duration", 3),
     "permutation_test_numeric": _binned_test("quantity", None),
+    "permutation_test_timed_default": _test(timed_traces, "permutation", "weighted", TIMED_REPLICATES),
+    "bootstrap_replacement_timed": _test(timed_traces, "replacement", "weighted", TIMED_REPLICATES),
+    "bootstrap_split_timed": _test(timed_traces, "split", "weighted", TIMED_REPLICATES),
+    "bootstrap_resample_timed": _test(timed_traces, "resample", "weighted", TIMED_REPLICATES),
+    "classic_bootstrap_timed": _test(timed_traces, "classic", "weighted", TIMED_REPLICATES),
+    "double_bootstrap_timed": _double("smaller", "weighted", timed_traces, TIMED_REPLICATES),
+    "ks_test_timed": _ks("replacement", "weighted", timed_traces, TIMED_REPLICATES),
     "bootstrap_replacement_discrete": _test(small_logs, "replacement", "discrete"),
     "bootstrap_split_discrete": _test(small_logs, "split", "discrete"),
     "bootstrap_resample_discrete": _test(small_logs, "resample", "discrete"),

@@ -185,6 +185,19 @@ SELECT a.pair_id, CAST(a.variant_id AS INTEGER) AS i, CAST(b.variant_id AS INTEG
 """
 
 
+CELLS = f"""
+WITH seq AS (
+  SELECT {CASE} AS case_id, {ACTIVITY} AS activity, epoch_us({TIME}) AS ts_us, min(event_ord) AS ord FROM event_log
+  WHERE {LIFECYCLE} = 'complete' AND {CASE} IS NOT NULL AND {ACTIVITY} IS NOT NULL AND {TIME} IS NOT NULL
+  GROUP BY {CASE}, {ACTIVITY}, {LIFECYCLE}, {TIME}, {INSTANCE}, start_timestamp
+), waits AS (
+  SELECT *, coalesce(ts_us - lag(ts_us) OVER (PARTITION BY case_id ORDER BY ts_us, ord), 0) AS wait_us, max(ts_us) OVER (PARTITION BY case_id) AS ends FROM seq
+), cells AS (
+  SELECT case_id, activity AS act_name, count(*) AS n_events, max(ends) - max(ts_us) AS recency_us, CAST(sum(wait_us) AS BIGINT) AS total_us
+  FROM waits GROUP BY case_id, activity
+)"""
+
+
 SQL = {
     "log_len": f"SELECT count(DISTINCT {CASE}) AS n_cases FROM event_log",
     "lifecycle_fifo": ranked_start(f"{CASE}, {ACTIVITY}"),
@@ -249,14 +262,13 @@ WITH rows AS (
 SELECT case_id, 'period' AS span_kind, a AS from_us, b AS to_us FROM periods
 UNION ALL
 SELECT case_id, 'gap', b, next_a FROM (SELECT case_id, b, lead(a) OVER (PARTITION BY case_id ORDER BY k) AS next_a FROM periods) WHERE next_a IS NOT NULL""",
-    "p4_found": f"""
-WITH seq AS (
-  SELECT {CASE} AS case_id, {ACTIVITY} AS activity, epoch_us({TIME}) AS ts_us, min(event_ord) AS ord FROM event_log
-  WHERE {LIFECYCLE} = 'complete' AND {CASE} IS NOT NULL AND {ACTIVITY} IS NOT NULL AND {TIME} IS NOT NULL
-  GROUP BY {CASE}, {ACTIVITY}, {LIFECYCLE}, {TIME}, {INSTANCE}, start_timestamp
-), waits AS (
-  SELECT *, coalesce(ts_us - lag(ts_us) OVER (PARTITION BY case_id ORDER BY ts_us, ord), 0) AS wait_us, max(ts_us) OVER (PARTITION BY case_id) AS ends FROM seq
+    "p4_found": f"{CELLS} SELECT * FROM cells",
+    "p4_wide": f"""
+{CELLS}, used AS (
+  SELECT DISTINCT {ACTIVITY} AS act_name FROM event_log WHERE {LIFECYCLE} = 'complete' AND {CASE} IS NOT NULL AND {ACTIVITY} IS NOT NULL AND {TIME} IS NOT NULL
+), every AS (
+  SELECT c.case_id, u.act_name, coalesce(n_events, 0) AS n_events, recency_us, coalesce(total_us, 0) AS total_us
+  FROM (SELECT DISTINCT case_id FROM cells) c, used u LEFT JOIN cells ON cells.case_id = c.case_id AND cells.act_name = u.act_name
 )
-SELECT case_id, activity AS act_name, count(*) AS n_events, max(ends) - max(ts_us) AS recency_us, CAST(sum(wait_us) AS BIGINT) AS total_us
-FROM waits GROUP BY case_id, activity""",
+SELECT case_id, list(n_events ORDER BY act_name) AS n_events, list(recency_us ORDER BY act_name) AS recency_us, list(total_us ORDER BY act_name) AS total_us FROM every GROUP BY case_id""",
 }
