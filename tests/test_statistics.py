@@ -139,13 +139,13 @@ def test_public_random_streams(spark):
 def test_samplers_keep_sizes(spark):
     pop = language.population(traces(spark, "aabbc"), traces(spark, "abcd"))
     vs = language.variants(pop)
-    sizes = {"permutation": (5, 4), "split": (2, 3), "replacement": (5, 5), "resample": (2, 2), "classic": (5, 4), "between": (2, 2), "smaller": (4, 4), "split_variants": (2, 2)}
+    sizes = {"permutation": (5, 4), "split": (2, 3), "replacement": (5, 5), "resample": (2, 2), "classic": (5, 4), "between": (2, 2), "smaller": (4, 4), "own": (4, 4), "halves": (2, 4), "split_variants": (2, 2)}
     for test, expected in sizes.items():
-        got = resample.replicates(pop, vs, test, 3, 1).groupBy("rep").agg(F.sum(F.when(F.col("side") == 1, F.col("cnt"))).alias("a"), F.sum(F.when(F.col("side") == 2, F.col("cnt"))).alias("b")).collect()
+        got = resample.cells(resample.replicates(pop, vs, test, 3, 1)).groupBy("rep").agg(F.sum(F.when(F.col("side") == 1, F.col("cnt"))).alias("a"), F.sum(F.when(F.col("side") == 2, F.col("cnt"))).alias("b")).collect()
         assert [(r["a"], r["b"]) for r in got] == [expected] * 3, test
     with pytest.raises(ValueError):
         resample.replicates(pop, vs, "other", 3)
-    half = resample.replicates(pop, vs, "resample", 1, 1, 0.8).where("side = 1").agg(F.sum("cnt")).first()[0]
+    half = resample.cells(resample.replicates(pop, vs, "resample", 1, 1, 0.8)).where("side = 1").agg(F.sum("cnt")).first()[0]
     assert half == 4
 
 
@@ -286,3 +286,14 @@ def test_binners_of_the_timed_test(spark, lifecycle_log):
         assert compare.LogComparator(lifecycle_log, lifecycle_log, representation="timed", distribution_size=2, binner=binner, binner_args=arguments).compare().logs_emd == 0
     with pytest.raises(ValueError):
         compare.LogComparator(lifecycle_log, lifecycle_log, representation="timed", binner="other").compare()
+
+
+def test_large_pairs_are_ordered_alike(spark, monkeypatch):
+    pop = language.population(traces(spark, "aabbc"), traces(spark, "abcd")).unionByName(language.population(traces(spark, "ab"), traces(spark, "b"), 1))
+    vs = language.variants(pop).persist()
+    for test in ("permutation", "split"):
+        found = []
+        for most in (100_000, 5, 0):
+            monkeypatch.setattr(resample, "ONE_ROW", most)
+            found.append(sorted(map(tuple, resample.cells(resample.replicates(pop, vs, test, 4, 9)).select("pair_id", "rep", "side", "variant_id", "cnt").collect())))
+        assert found[0] == found[1] == found[2] and found[0]

@@ -110,13 +110,8 @@ def run_double_test(pop: DataFrame, style: str = "smaller", cost: str | Callable
     sizes = pop.groupBy("pair_id").agg((F.count_if(F.col("side") == 1) < F.count_if(F.col("side") == 2)).alias("swap"))
     turned = pop.join(sizes, "pair_id").withColumn("side", F.when(F.col("swap"), 3 - F.col("side")).otherwise(F.col("side"))).drop("swap")
     vs = materialise(variants(turned))
-    if style == "smaller":
-        own = resample._drawn(vs, n, seed, "c1", F.col("n2"), 1, "1").unionByName(resample._drawn(vs, n, seed, "c1", F.col("n2"), 2, "2"))
-        other = resample.replicates(turned, vs, "smaller", n, seed)
-    else:
-        size = F.least(F.floor(F.col("n1") / 2), F.col("n2"))
-        own = resample._split_variants(vs, n, seed, size)
-        other = resample._drawn(vs, n, seed, "c1", size, 1, "1").unionByName(resample._whole(vs, n, "c2", 2))
+    own = resample.replicates(turned, vs, "own" if style == "smaller" else "split_variants", n, seed)
+    other = resample.replicates(turned, vs, "smaller" if style == "smaller" else "halves", n, seed)
     reference, logs = distances(own, vs, cost), distances(other, vs, cost)
     return share_beyond(reference, logs.groupBy("pair_id").agg(F.avg("emd").alias("logs_emd")), strict=False)
 

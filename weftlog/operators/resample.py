@@ -8,44 +8,137 @@ any SQL engine can repeat it. The numpy sampler repeats the public
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlog.functions.columns import spread
+from weftlog.functions.lists import flat, listed
 from weftlog.operators.prepare import hash_key
 
-TESTS = ("permutation", "replacement", "split", "resample", "classic", "between", "smaller", "split_variants")
+TESTS = ("permutation", "replacement", "split", "resample", "classic", "between", "smaller", "own", "halves", "split_variants")
+
+
+ONE_ROW = 100_000  # cases of a pair up to which a replicate is drawn from one row
+PACKED = "pair_id long, rep int, v1 array<int>, c1 array<long>, v2 array<int>, c2 array<long>"
+
+
+def cells(draws: DataFrame) -> DataFrame:
+    """Replicates as one row per variant and side."""
+    if "v1" not in draws.columns:
+        return draws
+
+    def side(k: int) -> Column:
+        return F.transform(F.arrays_zip(F.col(f"v{k}").alias("v"), F.col(f"c{k}").alias("c")), lambda e: F.struct(F.lit(k).alias("side"), e["v"].alias("variant_id"), e["c"].alias("cnt")))
+
+    return draws.select("pair_id", "rep", F.inline(F.concat(side(1), side(2))))
+
+
+def packed(draws: DataFrame) -> DataFrame:
+    """Replicates as one row each, with arrays of variants and counts."""
+    if "v1" in draws.columns:
+        return draws
+
+    def of(side: int, what: str) -> Column:
+        return F.transform(F.filter("cells", lambda e: e["side"] == side), lambda e: e[what])
+
+    one = draws.groupBy("pair_id", "rep").agg(F.collect_list(F.struct("side", "variant_id", "cnt")).alias("cells"))
+    return one.select("pair_id", "rep", of(1, "variant_id").alias("v1"), of(1, "cnt").alias("c1"), of(2, "variant_id").alias("v2"), of(2, "cnt").alias("c2"))
 
 
-def _shuffled(pop: DataFrame, vs: DataFrame, n: int, seed: int, first_size: Column, only_first: bool) -> DataFrame:
-    """Cases in a random order per replicate, cut after ``first_size``."""
+def _digests(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of a column of lists as pairs of 64-bit numbers, and the row each is of."""
+    data = column.flatten().cast(pa.binary(16))
+    raw = np.frombuffer(data.buffers()[1], dtype=">u8", count=2 * len(data), offset=16 * data.offset) if len(data) else np.empty(0, ">u8")
+    rows = np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy(zero_copy_only=False))
+    return raw.reshape(-1, 2).astype(np.uint64), rows
+
+
+def _side(rows: np.ndarray, variants: np.ndarray, n: int, weights: np.ndarray | None = None) -> list[pa.Array]:
+    """How often each row has each variant, as lists of variants and of counts."""
+    span = int(variants.max(initial=0)) + 1
+    if weights is None:
+        keys, counts = np.unique(rows * span + variants, return_counts=True)
+    else:
+        keys, counts = rows * span + variants, weights
+    sizes = np.bincount(keys // span, minlength=n)
+    return [listed((keys % span).astype(np.int32), sizes), listed(counts.astype(np.int64), sizes)]
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Put the cases of each row in the order of their digests and cut after the row's size."""
+    for batch in batches:
+        n = batch.num_rows
+        digests, rows = _digests(batch.column(2))
+        variants, _ = flat(batch.column(3))
+        order = np.lexsort((digests[:, 1], digests[:, 0], rows))
+        begin = np.searchsorted(rows, np.arange(n))
+        first = np.arange(len(rows)) - begin[rows] < batch.column(4).to_numpy(zero_copy_only=False)[rows]
+        sides = [_side(rows[part], variants[order][part], n) for part in (first, ~first)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sides[0], *sides[1]], names=[f.split()[0] for f in PACKED.split(", ")])
+
+
+def _shuffled(pop: DataFrame, vs: DataFrame, n: int, seed: int, first_size: Column, only_first: bool, large: bool = False) -> DataFrame:
+    """Cases in a random order per replicate, cut after ``first_size``.
+
+    The cases of a small pair are one row, and every replicate is ordered
+    where its copy of that row lies; those of a ``large`` pair stay rows.
+    """
     cases = pop.join(vs.select("pair_id", "trace", "variant_id", "n1", "n2"), ["pair_id", "trace"]).select("pair_id", "side", "case_id", "variant_id", "n1", "n2")
     if only_first:
         cases = cases.where("side = 1")
-    reps = cases.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    if not large:
+        pairs = cases.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("side", "case_id", "variant_id"))).alias("cases"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
+        reps = spread(pairs.select("pair_id", every.alias("rep"), "cases", first_size.cast("long").alias("size")), "pair_id", "rep")
+        digests = F.transform("cases", lambda c: F.unhex(hash_key(seed, F.col("rep"), F.col("pair_id"), c["side"], c["case_id"])))
+        return reps.select("pair_id", "rep", digests.alias("digests"), F.col("cases.variant_id").alias("variants"), "size").mapInArrow(_cut, PACKED)
+    reps = cases.withColumn("rep", every)
     ordered = Window.partitionBy("pair_id", "rep").orderBy(hash_key(seed, F.col("rep"), F.col("pair_id"), F.col("side"), F.col("case_id")), "side", "case_id")
     cut = reps.withColumn("side", F.when(F.row_number().over(ordered) <= first_size, 1).otherwise(2))
     return cut.groupBy("pair_id", "rep", "side", "variant_id").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _drawn(vs: DataFrame, n: int, seed: int, weight: str, size: Column, side: int, tag: str) -> DataFrame:
-    """``size`` draws with replacement per replicate, a variant as likely as its count in ``weight``."""
-    along = Window.partitionBy("pair_id").orderBy("variant_id")
-    upper = vs.withColumn("upper", F.sum(weight).over(along))
-    table = upper.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("variant_id", "upper"))).alias("t"), F.max("upper").alias("whole"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
-    table = table.select("pair_id", F.col("t.upper").alias("uppers"), "whole", size.cast("int").alias("size")).where("size > 0 and whole > 0")
-    reps = spread(table.select("pair_id", "uppers", "whole", "size", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep")), "pair_id", "rep")
+def _draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Find the variants of drawn numbers by binary search among running sums of weights."""
+    for batch in batches:
+        n, out = batch.num_rows, []
+        for side in (2, 4):
+            weights, of = flat(batch.column(side))
+            begin = np.searchsorted(of, np.arange(n))
+            upto = np.cumsum(weights)
+            before = np.r_[0, upto][begin]
+            digests, rows = _digests(batch.column(side + 1))
+            if not len(rows):  # the whole language
+                some = np.flatnonzero(weights)
+                out += _side(of[some], (np.arange(len(of)) - begin[of])[some], n, weights[some])
+                continue
+            sums = np.bincount(of, weights, minlength=n).astype(np.uint64)
+            number = (digests[:, 0] >> np.uint64(12)) % sums[rows]  # the first 13 hexadecimal digits
+            out += _side(rows, np.searchsorted(upto, before[rows] + number.astype(np.int64), side="right") - begin[rows], n)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out], names=[f.split()[0] for f in PACKED.split(", ")])
+
+
+def _drawn(vs: DataFrame, n: int, seed: int, *sides: tuple[str, Column | None]) -> DataFrame:
+    """Both sides of every replicate: as many draws with replacement as given, a variant as likely as its count, or the whole language.
+
+    A side is the counts to draw by and the number of draws (None for the whole).
+    """
+    arrays = [F.transform(F.array_sort(F.collect_list(F.struct("variant_id", F.expr(w).alias("w")))), lambda e: e["w"]) for w, _ in sides]
+    pairs = vs.groupBy("pair_id").agg(*[a.alias(f"w{k}") for k, a in enumerate(arrays, 1)], F.first("n1").alias("n1"), F.first("n2").alias("n2"))
+    sizes = [(F.lit(-1) if size is None else size).cast("int").alias(f"s{k}") for k, (_, size) in enumerate(sides, 1)]
+    pairs = pairs.select("pair_id", "w1", "w2", *sizes).where("s1 != 0 and s2 != 0")
+    reps = spread(pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep")), "pair_id", "rep")
 
-    def number(k: Column) -> Column:
-        key = hash_key(seed, F.col("rep"), F.col("pair_id"), F.lit(tag), k)
-        return F.conv(F.substring(key, 1, 13), 16, 10).cast("long") % F.col("whole")
+    def digests(k: int) -> Column:
+        numbers = F.transform(F.sequence(F.lit(0), F.col(f"s{k}") - 1), lambda i: F.unhex(hash_key(seed, F.col("rep"), F.col("pair_id"), F.lit(str(k)), i)))
+        return F.when(F.col(f"s{k}") > 0, numbers).otherwise(F.array().cast("array<binary>"))
 
-    # Drawn case numbers come out of a generator, so that the search below reads them instead of computing them again.
-    draws = reps.select("pair_id", "uppers", "rep", F.explode(F.transform(F.sequence(F.lit(0), F.col("size") - 1), number)).alias("u"))
-    # The variant is the number of upper bounds at or below the drawn case number.
-    found = draws.withColumn("variant_id", F.size(F.filter("uppers", lambda b: b <= F.col("u"))))
-    return found.groupBy("pair_id", "rep", "variant_id").agg(F.count(F.lit(1)).alias("cnt")).select("pair_id", "rep", F.lit(side).alias("side"), "variant_id", "cnt")
+    return reps.select("pair_id", "rep", "w1", digests(1).alias("u1"), "w2", digests(2).alias("u2")).mapInArrow(_draw, PACKED)
 
 
 def _whole(vs: DataFrame, n: int, weight: str, side: int) -> DataFrame:
@@ -76,7 +169,7 @@ def resolve_size(resample_size: int | float | None, default: Column) -> Column:
 
 
 def replicates(pop: DataFrame, vs: DataFrame, test: str, n: int, seed: int = 0, resample_size: int | float | None = None) -> DataFrame:
-    """Replicates of a test: ``pair_id, rep, side, variant_id, cnt``.
+    """Replicates of a test, as :func:`cells` or :func:`packed` gives them.
 
     * ``permutation``: all cases in random order; the first n1 against the rest.
     * ``replacement``: draws from log 1 against log 1's full language.
@@ -85,25 +178,34 @@ def replicates(pop: DataFrame, vs: DataFrame, test: str, n: int, seed: int = 0,
     * ``classic``: draws from both logs pooled; n1 against n2 of them.
     * ``between``: draws from log 1 against draws from log 2, half their sizes.
     * ``smaller``: draws from log 1, as many as log 2 has, against log 2's language.
+    * ``own``: two draws from log 1, as many as log 2 has.
+    * ``halves``: draws from log 1, as many as ``split_variants`` takes, against log 2's language.
     * ``split_variants``: uniform draws from two random halves of log 1's variants.
     """
-    half = F.floor(F.col("n1") / 2)
-    if test == "permutation":
-        return _shuffled(pop, vs, n, seed, F.col("n1"), False)
-    if test == "split":
-        return _shuffled(pop, vs, n, seed, half, True)
+    half, other_half = F.floor(F.col("n1") / 2), F.floor(F.col("n2") / 2)
+    if test in ("permutation", "split"):
+        size, only_first = (F.col("n1"), False) if test == "permutation" else (half, True)
+        # The sizes of pairs decide where their cases are ordered, not how.
+        large = vs.where(F.col("n1") + F.col("n2") > ONE_ROW).select("pair_id").distinct()
+        if not large.take(1):
+            return _shuffled(pop, vs, n, seed, size, only_first)
+        apart = [_shuffled(pop.join(large, "pair_id", how), vs, n, seed, size, only_first, how == "left_semi") for how in ("left_anti", "left_semi")]
+        return cells(apart[0]).unionByName(apart[1])
     if test == "replacement":
-        return _drawn(vs, n, seed, "c1", resolve_size(resample_size, F.col("n1")), 1, "1").unionByName(_whole(vs, n, "c1", 2))
+        return _drawn(vs, n, seed, ("c1", resolve_size(resample_size, F.col("n1"))), ("c1", None))
     if test == "resample":
         size = resolve_size(resample_size, half)
-        return _drawn(vs, n, seed, "c1", size, 1, "1").unionByName(_drawn(vs, n, seed, "c1", size, 2, "2"))
+        return _drawn(vs, n, seed, ("c1", size), ("c1", size))
     if test == "classic":
-        both = vs.withColumn("c", F.col("c1") + F.col("c2"))
-        return _drawn(both, n, seed, "c", F.col("n1"), 1, "1").unionByName(_drawn(both, n, seed, "c", F.col("n2"), 2, "2"))
+        return _drawn(vs, n, seed, ("c1 + c2", F.col("n1")), ("c1 + c2", F.col("n2")))
     if test == "between":
-        return _drawn(vs, n, seed, "c1", half, 1, "1").unionByName(_drawn(vs, n, seed, "c2", F.floor(F.col("n2") / 2), 2, "2"))
+        return _drawn(vs, n, seed, ("c1", half), ("c2", other_half))
     if test == "smaller":
-        return _drawn(vs, n, seed, "c1", resolve_size(resample_size, F.col("n2")), 1, "1").unionByName(_whole(vs, n, "c2", 2))
+        return _drawn(vs, n, seed, ("c1", resolve_size(resample_size, F.col("n2"))), ("c2", None))
+    if test == "own":
+        return _drawn(vs, n, seed, ("c1", F.col("n2")), ("c1", F.col("n2")))
+    if test == "halves":
+        return _drawn(vs, n, seed, ("c1", resolve_size(resample_size, F.least(half, F.col("n2")))), ("c2", None))
     if test == "split_variants":
         return _split_variants(vs, n, seed, resolve_size(resample_size, F.least(half, F.col("n2"))))
     raise ValueError(f"unknown test: {test}; one of {', '.join(TESTS)}")

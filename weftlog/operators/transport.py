@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlog.functions.columns import spread
+from weftlog.operators.resample import cells as cells_of
+from weftlog.operators.resample import packed
 
 EPSILON = 1e-11
 
@@ -218,7 +220,7 @@ def _whole(matrix: DataFrame, mirrored: bool) -> DataFrame:
 def solve_exact(draws: DataFrame, matrix: DataFrame, block: int = 64, mirrored: bool = True) -> DataFrame:
     """Distances of all replicates under a cost matrix: ``pair_id, rep, emd``.
 
-    ``draws`` has ``pair_id, rep, side, variant_id, cnt``; ``matrix`` has
+    ``draws`` are :func:`~weftlog.operators.resample.replicates`; ``matrix`` has
     ``pair_id, i, j, cost``, for i <= j if ``mirrored``, else for all. Replicates
     travel in blocks, each with one dense matrix, so many replicates of one
     pair are spread over tasks. For comparisons of up to some thousand variants;
@@ -226,11 +228,7 @@ def solve_exact(draws: DataFrame, matrix: DataFrame, block: int = 64, mirrored:
     """
     dense = _whole(matrix, mirrored).groupBy("pair_id").agg((F.max("i") + 1).alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "cost"))), lambda e: e["cost"]).alias("matrix"))
 
-    def of(side: int, what: str):
-        return F.transform(F.filter("cells", lambda e: e["side"] == side), lambda e: e[what])
-
-    one = draws.groupBy("pair_id", "rep").agg(F.collect_list(F.struct("side", "variant_id", "cnt")).alias("cells"))
-    one = one.select("pair_id", F.floor(F.col("rep") / block).alias("b"), F.struct("rep", of(1, "variant_id").alias("v1"), of(1, "cnt").alias("c1"), of(2, "variant_id").alias("v2"), of(2, "cnt").alias("c2")).alias("one"))
+    one = packed(draws).select("pair_id", F.floor(F.col("rep") / block).alias("b"), F.struct("rep", "v1", "c1", "v2", "c2").alias("one"))
     blocks = one.groupBy("pair_id", "b").agg(F.collect_list("one").alias("replicates"))
     whole = spread(blocks.join(dense, "pair_id"), "pair_id", "b")
     return whole.select("pair_id", "size", "matrix", "replicates").mapInPandas(_solver, "pair_id long, rep long, emd double")
@@ -261,6 +259,7 @@ def solve_rows(draws: DataFrame, matrix: DataFrame, block: int = 8, mirrored: bo
     needs is the dense matrix of those variants, some six times over.
     """
     rows = _whole(matrix, mirrored).groupBy("pair_id", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "cost"))), lambda e: e["cost"]).alias("costs"))
+    draws = cells_of(draws)
     cells = draws.select("pair_id", F.floor(F.col("rep") / block).alias("b"), "rep", "side", "variant_id", "cnt")
     needed = cells.where("side = 1").select("pair_id", "b", F.col("variant_id").alias("i")).distinct()
     copies = rows.join(needed, ["pair_id", "i"]).select(F.col("pair_id").alias("of_pair"), F.col("b").alias("of_block"), "i", "costs")
@@ -276,7 +275,7 @@ def _masses(draws: DataFrame, place: str) -> DataFrame:
 
 def solve_discrete(draws: DataFrame) -> DataFrame:
     """Closed form for 0/1 cost: half the sum of the differences of frequencies, from whole numbers."""
-    cells = _masses(draws, "variant_id")
+    cells = _masses(cells_of(draws), "variant_id")
     apart = F.sum(F.abs(F.col("c1") * F.col("m2") - F.col("c2") * F.col("m1")))
     return cells.groupBy("pair_id", "rep").agg((apart.cast("double") / (2 * F.first("m1") * F.first("m2")).cast("double")).alias("emd"))
 
@@ -286,7 +285,7 @@ def solve_line(draws: DataFrame, positions: DataFrame) -> DataFrame:
 
     ``positions`` gives ``pair_id, variant_id, position`` (whole numbers).
     """
-    cells = _masses(draws.join(positions, ["pair_id", "variant_id"]), "position")
+    cells = _masses(cells_of(draws).join(positions, ["pair_id", "variant_id"]), "position")
     along = Window.partitionBy("pair_id", "rep").orderBy("position")
     summed = cells.withColumn("gap", F.abs(F.sum(F.col("c1") * F.col("m2") - F.col("c2") * F.col("m1")).over(along))).withColumn("step", F.lead("position").over(along) - F.col("position"))
     return summed.groupBy("pair_id", "rep").agg((F.coalesce(F.sum(F.col("gap") * F.col("step")), F.lit(0)).cast("double") / (F.first("m1") * F.first("m2")).cast("double")).alias("emd"))
