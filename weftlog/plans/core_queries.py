@@ -16,8 +16,8 @@ from weftlog.operators.language import paired_population, stochastic_language, v
 from weftlog.operators.timestamps import estimate_zones, normalise_timestamps, read_values
 
 SEED = 42
-REPLICATES = 100
-TIMED_REPLICATES = 20
+REPLICATES = 1000
+TIMED_REPLICATES = 100
 
 
 # -- inputs ------------------------------------------------------------------
@@ -314,6 +314,7 @@ QUERIES = {
     "logs_emd_small_logs": _logs_emd(small_logs, "levenshtein"),
     "permutation_null_discrete": _null(small_logs, "permutation", "discrete"),
     "permutation_test_discrete": _test(small_logs, "permutation", "discrete"),
+    "permutation_test_discrete_10000": _test(small_logs, "permutation", "discrete", 10_000),
     "permutation_test_line": _test(small_logs, "permutation", "line"),
     "permutation_test_control_flow": FLAGSHIP,
     "permutation_test_timed": _binned_test("duration", 3),

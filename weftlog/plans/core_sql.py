@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 SEED = 42
-REPLICATES = 100
+REPLICATES = 1000
 
 CASE, ACTIVITY, TIME, LIFECYCLE, INSTANCE = '"case:concept:name"', '"concept:name"', '"time:timestamp"', '"lifecycle:transition"', '"concept:instance"'
 ENDS, STARTS = f"{LIFECYCLE} IN ('complete', 'ate_abort')", f"{LIFECYCLE} = 'start'"
@@ -88,13 +88,13 @@ counted AS (
 PAIRED_STEPS, PAIRED_DELIVERIES = f"{STEPS}, {PAIRS}", f"{DELIVERIES}, {PAIRS}"
 
 
-def shuffled(first: str, only: str = "true") -> str:
+def shuffled(first: str, only: str = "true", n: int = REPLICATES) -> str:
     """Replicates of cases in random order, cut after ``first``."""
     return f"""
 draws AS (
   SELECT pair_id, rep, CASE WHEN r <= {first} THEN 1 ELSE 2 END AS side, variant_id, count(*) AS cnt FROM (
     SELECT p.pair_id, rep, variant_id, n1, n2, row_number() OVER (PARTITION BY p.pair_id, rep ORDER BY md5(concat_ws(':', {SEED}, rep, p.pair_id, side, case_id)), side, case_id) AS r
-    FROM pop p JOIN vs ON p.pair_id = vs.pair_id AND p.trace = vs.trace, range({REPLICATES}) t(rep) WHERE {only}
+    FROM pop p JOIN vs ON p.pair_id = vs.pair_id AND p.trace = vs.trace, range({n}) t(rep) WHERE {only}
   ) GROUP BY ALL
 )"""
 
@@ -185,6 +185,41 @@ SELECT a.pair_id, CAST(a.variant_id AS INTEGER) AS i, CAST(b.variant_id AS INTEG
 """
 
 
+def weighted(scale: float, half: int) -> str:
+    """Weighted edit distances between binned variants: the rows of all edit tables, one after the other.
+
+    A cell that is reached from its left neighbour is the least over all cells
+    before it, with the insertions between added.
+    """
+    return f"""
+WITH RECURSIVE {LINES}, q AS (SELECT activity, quantile_cont((epoch_us(ts) - epoch_us(start)) / 1e6::DOUBLE, [0.25, 0.75]) AS e FROM lines GROUP BY activity),
+binned AS (SELECT *, CASE WHEN (epoch_us(ts) - epoch_us(start)) / 1e6::DOUBLE < e[1] THEN 0 WHEN (epoch_us(ts) - epoch_us(start)) / 1e6::DOUBLE < e[2] THEN 1 ELSE 2 END AS bin FROM lines JOIN q USING (activity)),
+traces AS (SELECT log_number, case_id, string_agg(activity || bin, '>' ORDER BY ts, activity, ord, bin) AS trace, count(*) AS size FROM binned GROUP BY log_number, case_id), {PAIRS},
+steps AS (
+  SELECT pair_id, variant_id, unnest(range(1, size + 1)) AS k, unnest(string_split(trace, '>')) AS step FROM vs
+), events AS (
+  SELECT pair_id, variant_id, k, left(step, 2) AS activity, CAST(step[3:] AS DOUBLE) / {scale} AS bin, sum(1 + CAST(step[3:] AS DOUBLE) / {scale}) OVER (PARTITION BY pair_id, variant_id ORDER BY k) AS upto FROM steps
+), pairs AS (
+  SELECT a.pair_id, a.variant_id AS i, b.variant_id AS j, a.size AS rows, b.size AS columns FROM vs a JOIN vs b ON a.pair_id = b.pair_id AND a.variant_id <= b.variant_id
+), cells AS (
+  SELECT pair_id, i, j, rows, columns, 0 AS r, 0 AS k, 0.0::DOUBLE AS cost FROM pairs
+  UNION ALL
+  SELECT p.pair_id, i, j, rows, columns, 0, k, upto FROM pairs p JOIN events e ON e.pair_id = p.pair_id AND e.variant_id = p.j
+), tables AS (
+  SELECT * FROM cells
+  UNION ALL
+  SELECT pair_id, i, j, rows, columns, r, k, min(reached - upto) OVER (PARTITION BY pair_id, i, j ORDER BY k) + upto FROM (
+    SELECT t.pair_id, i, j, rows, columns, r + 1 AS r, t.k, coalesce(b.upto, 0.0::DOUBLE) AS upto, least(
+      cost + 1 + a.bin,
+      lag(cost) OVER (PARTITION BY t.pair_id, i, j ORDER BY t.k) + CASE WHEN a.activity = b.activity THEN 0 ELSE 1 END + abs(a.bin - b.bin)
+    ) AS reached
+    FROM tables t JOIN events a ON a.pair_id = t.pair_id AND a.variant_id = t.i AND a.k = t.r + 1 LEFT JOIN events b ON b.pair_id = t.pair_id AND b.variant_id = t.j AND b.k = t.k
+  )
+)
+SELECT pair_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(cost / greatest(rows, columns) / {half}, 9) AS cost FROM tables WHERE r = rows AND k = columns
+"""
+
+
 CELLS = f"""
 WITH seq AS (
   SELECT {CASE} AS case_id, {ACTIVITY} AS activity, epoch_us({TIME}) AS ts_us, min(event_ord) AS ord FROM event_log
@@ -205,6 +240,7 @@ SQL = {
     "infer_instances": f"WITH {INFERRED} SELECT event_ord, instance FROM inferred",
     "fold_instances": f"WITH {folded('event_log', INSTANCE)}",
     "strict_interval": f"WITH {INFERRED}, {folded('inferred', 'instance')}",
+    "ensure_start": ranked_start(f"{CASE}, {ACTIVITY}, {INSTANCE}"),
     "atomic_to_lifecycle": f"SELECT event_ord, 'complete' AS lifecycle, {CASE} || ':' || row_number() OVER (PARTITION BY {CASE} ORDER BY event_ord) AS instance FROM atomic_log",
     "atomic_to_interval": f"SELECT event_ord, epoch_us({TIME}) AS start_us FROM atomic_log",
     "duration": f"SELECT event_ord, (epoch_us({TIME}) - epoch_us(start_timestamp)) / 1e6::DOUBLE AS duration_s FROM interval_log",
@@ -233,10 +269,13 @@ SELECT CAST(case_id AS BIGINT) AS case_id, string_agg(activity || bin, '>' ORDER
     "stochastic_language_deliveries": f"WITH {DELIVERIES} SELECT trace AS trace_text, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS frequency FROM traces GROUP BY trace",
     "levenshtein_matrix": matrix("CAST(levenshtein(a.word, b.word) AS DOUBLE)"),
     "postnorm_levenshtein_matrix": matrix("round(CAST(levenshtein(a.word, b.word) AS DOUBLE) / greatest(a.size, b.size), 9)"),
+    "weighted_levenshtein_matrix": weighted(1.0, 1),
+    "weighted_time_levenshtein_matrix": weighted(2.0, 2),
     "logs_emd_discrete": f"WITH {PAIRED_DELIVERIES}, {OBSERVED}, {discrete('seen', 'actual')} SELECT pair_id, round(emd, 9) AS logs_emd FROM actual",
     "logs_emd_line": f"WITH {PAIRED_DELIVERIES}, {OBSERVED}, {line('seen', 'actual')} SELECT pair_id, round(emd, 9) AS logs_emd FROM actual",
     "permutation_null_discrete": f"WITH {PAIRED_STEPS}, {PERMUTED}, {discrete('draws', 'nulls')} SELECT pair_id, CAST(rep AS INTEGER) AS rep, round(emd, 9) AS emd FROM nulls",
     "permutation_test_discrete": tested(PAIRED_STEPS, PERMUTED, discrete, True),
+    "permutation_test_discrete_10000": tested(PAIRED_STEPS, shuffled("n1", n=10_000), discrete, True),
     "permutation_test_line": tested(PAIRED_STEPS, PERMUTED, line, True),
     "bootstrap_replacement_discrete": tested(PAIRED_STEPS, REPLACED, discrete, False),
     "bootstrap_split_discrete": tested(PAIRED_STEPS, HALVED, discrete, False),
