@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftlog.functions import columns
 from weftlog.functions.columns import sliced_lag
 from weftlog.functions.ordered import before_parts, in_order
 from weftlog.operators import features
@@ -41,8 +42,9 @@ def spans_of(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("width", [10, 30 * 86_400_000_000])
-def test_busy_spans(spark, width):
+@pytest.mark.parametrize(("width", "large"), [(10, 1_000_000), (30 * 86_400_000_000, 1_000_000), (30 * 86_400_000_000, 3)])
+def test_busy_spans(spark, monkeypatch, width, large):
+    monkeypatch.setattr(columns, "LARGE", large)
     rng = random.Random(width)
     rows = [(rng.choice(["a", "b", "c", None, ""]), rng.choice([None, *range(60)]), rng.choice([None, *range(60)])) for _ in range(60)]
     rows += [("hot", x, x + rng.choice([0, 1, 2, 30])) for x in rng.sample(range(400), 60)] + [("touch", 0, 5), ("touch", 5, 7), ("touch", 8, 8), ("touch", 8, 8)]
@@ -207,9 +209,20 @@ def test_one_case_with_all_rows_is_cut_by_rows(spark):
     assert n_cases == 401 and before[0] == (0, None, None) and before[3] == (401, "hot", 5)
 
 
-def test_sliced_lag_numbers_every_event_once(spark):
+@pytest.mark.parametrize("large", [1_000_000, 5])
+def test_sliced_lag_numbers_every_event_once(spark, monkeypatch, large):
+    monkeypatch.setattr(columns, "LARGE", large)
     rows = [("a", i * 7 % 50, i, f"v{i}") for i in range(80)] + [("b", 3, 100, "w")]
     events = spark.createDataFrame(rows, "case_id string, ts_us long, ord long, v string")
-    got = {(r["case_id"], r["pos"]): (r["v"], r["prev_v"]) for r in sliced_lag(events, ["v"], width_us=9).collect()}
+    got = {(r["case_id"], r["pos"]): (r["v"], r["prev_v"]) for r in sliced_lag(events, ["v"], width_us=9 if large > 5 else 1000).collect()}
     ordered = [v for _, t, o, v in sorted(rows[:80], key=lambda r: (r[1], r[2]))]
     assert got == {("a", i): (v, ordered[i - 1] if i else None) for i, v in enumerate(ordered)} | {("b", 0): ("w", None)}
+
+
+def test_dense_slices_are_cut_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(columns, "LARGE", 100)
+    rows = spark.range(6400).select(F.lit("hot").alias("case_id"), (F.col("id") % 640).alias("ts_us"), F.col("id").alias("ord")).unionByName(spark.range(50).select(F.lit("cold").alias("case_id"), F.col("id").alias("ts_us"), F.col("id").alias("ord")))
+    sizes = columns.time_slices(rows, ["case_id"], "ts_us", 10_000).groupBy("case_id", "slice").count().collect()
+    hot = [r["count"] for r in sizes if r["case_id"] == "hot"]
+    assert len(hot) == 64 and max(hot) <= 2 * min(hot) and sum(hot) == 6400
+    assert [r["count"] for r in sizes if r["case_id"] == "cold"] == [50]

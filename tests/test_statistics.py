@@ -282,8 +282,13 @@ def test_default_size_counts_cases_without_a_trace(spark, lifecycle_log):
 
 
 def test_binners_of_the_timed_test(spark, lifecycle_log):
-    for binner, arguments in (("kmeans", None), ("kmeans", {"k": 2}), ("outer_percentile", {"outer_percent": 30.0}), ("iqr", None), (binning.fit_iqr, {})):
-        assert compare.LogComparator(lifecycle_log, lifecycle_log, representation="timed", distribution_size=2, binner=binner, binner_args=arguments).compare().logs_emd == 0
+    values = spark.createDataFrame([("a", float(x * x % 17)) for x in range(12)], "label string, value double")
+    direct = {("kmeans", 3): binning.fit_kmeans_seeds(values, 3, 0), ("kmeans", 2): binning.fit_kmeans_seeds(values, 2, 0), ("outer_percentile", 30.0): binning.fit_percentiles(values, 30, 70), ("iqr", None): binning.fit_percentiles(values, 25, 75)}
+    names = {"kmeans": "k", "outer_percentile": "outer_percent"}
+    for (binner, argument), model in direct.items():
+        comparator = compare.LogComparator(lifecycle_log, lifecycle_log, representation="timed", binner=binner, binner_args={names[binner]: argument} if argument else None)
+        assert comparator._fitted(values).first() == model.first()
+    assert compare.LogComparator(lifecycle_log, lifecycle_log, representation="timed", distribution_size=2, binner=binning.fit_percentiles, binner_args={"low": 10.0, "high": 50.0}).compare().logs_emd == 0
     with pytest.raises(ValueError):
         compare.LogComparator(lifecycle_log, lifecycle_log, representation="timed", binner="other").compare()
 

@@ -24,6 +24,10 @@ START_TRANSITIONS = ("start",)
 
 DAY_US = 86_400_000_000
 
+LARGE = 1_000_000  # rows of an entity's time slice beyond which it may be cut
+MOST_HOT = 1000
+PARTS = 64
+
 
 def col(name: str) -> Column:
     """A top-level column whatever characters its name has."""
@@ -52,11 +56,29 @@ def first_of_repeats(df: DataFrame, ordinal: str = ORD) -> DataFrame:
     return df.groupBy(*[col(c) for c in others]).agg(F.min(col(ordinal)).alias(ordinal))
 
 
+def time_slices(rows: DataFrame, keys: list[str], time: str, width_us: int) -> DataFrame:
+    """``rows`` with ``slice``, which grows with time: slices of ``width_us``, cut finer where one entity has very many rows in one.
+
+    The ``MOST_HOT`` largest slices of more than ``LARGE`` rows are cut into up
+    to ``PARTS`` of like size at approximate percentiles of their times; all
+    others hold less than one in ``MOST_HOT`` of the rows. Only those cuts are
+    broadcast, and no row is shuffled for them.
+    """
+    cut = rows.withColumn("slice", (F.floor(F.col(time) / F.lit(width_us)) * PARTS).cast("long"))
+    counted = cut.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > LARGE)
+    hot = counted.orderBy(F.desc("_rows"), *keys, "slice").limit(MOST_HOT).select(*keys, "slice")
+    if not counted.take(1):
+        return cut
+    places = cut.join(F.broadcast(hot), [*keys, "slice"], "left_semi").groupBy(*keys, "slice").agg(F.percentile_approx(time, [i / PARTS for i in range(1, PARTS)]).alias("_cuts"))
+    finer = cut.join(F.broadcast(places), [*keys, "slice"], "left")
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(time))), F.lit(0))
+    return finer.select(*[F.col(c) for c in rows.columns], (F.col("slice") + F.greatest(part, F.lit(0))).alias("slice"))
+
+
 def sliced_lag(events: DataFrame, values: list[str], order: tuple[str, str] = ("ts_us", "ord"), entity: str | list[str] = "case_id", width_us: int = 30 * DAY_US) -> DataFrame:
     """Position and previous values of every event in its entity's order, without one task ever holding a whole entity.
 
-    An entity is cut into time slices of ``width_us``. Windows run inside a
-    slice; what a slice needs from the ones before it (its offset, the values
+    An entity is cut into :func:`time_slices`. Windows run inside a slice; what a slice needs from the ones before it (its offset, the values
     of the last event) is carried over by a window over slice summaries, one
     row per entity and slice. Adds ``slice``, ``pos`` (from 0) and
     ``prev_<value>`` (null for the entity's first event).
@@ -65,7 +87,7 @@ def sliced_lag(events: DataFrame, values: list[str], order: tuple[str, str] = ("
     ``order[1]``, which is unique. An empty input gives an empty result.
     """
     keys = [entity] if isinstance(entity, str) else entity
-    cut = events.withColumn("slice", F.floor(F.col(order[0]) / F.lit(width_us)).cast("long"))
+    cut = time_slices(events, keys, order[0], width_us)
     inside = Window.partitionBy(*keys, "slice").orderBy(*order)
     rows = cut.withColumn("_n", F.row_number().over(inside)).withColumns({f"_lag_{v}": F.lag(v).over(inside) for v in values})
     tails = cut.groupBy(*keys, "slice").agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_tail"), F.count(F.lit(1)).alias("_rows"))

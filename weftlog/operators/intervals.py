@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlog.functions.columns import CASE, DAY_US, START, TIME, col, micros
+from weftlog.functions.columns import CASE, DAY_US, START, TIME, col, micros, time_slices
 
 
 def busy_spans(log: DataFrame, entity: str = CASE, start: str = START, end: str = TIME, width_us: int = 30 * DAY_US) -> DataFrame:
@@ -19,7 +19,7 @@ def busy_spans(log: DataFrame, entity: str = CASE, start: str = START, end: str
     touching intervals overlap, and intervals one microsecond apart do not.
 
     Sessions are formed per entity and time slice of the start (a third of all
-    rows may belong to one entity), then stitched: a window over one summary
+    rows may belong to one entity, and most of them to one month), then stitched: a window over one summary
     row per slice carries the latest end so far; a session opens a period when
     it starts after that end; a period ends where the gap before the next
     opening begins (``lead``).
@@ -29,9 +29,9 @@ def busy_spans(log: DataFrame, entity: str = CASE, start: str = START, end: str
     nothing; an empty log gives no rows; other columns are not read.
     """
     rows = log.select(col(entity).cast("string").alias("case_id"), micros(log, start).alias("a"), micros(log, end).alias("b")).where("case_id is not null and a is not null and b is not null and a <= b")
-    doubled = rows.select(
+    doubled = time_slices(rows, ["case_id"], "a", width_us).select(
         "case_id",
-        F.floor(F.col("a") / F.lit(width_us)).cast("long").alias("slice"),
+        "slice",
         F.timestamp_micros(F.col("a") * 2).alias("opens"),
         ((F.col("b") - F.col("a")) * 2 + 1).alias("lasts"),
     )
