@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftlog.functions.checkpoints import materialise
 from weftlog.functions.columns import ACTIVITY, col
 
 
@@ -22,13 +23,14 @@ def field_values(trace_steps: DataFrame, languages: DataFrame) -> DataFrame:
 def top_items(values: DataFrame, k: int = 199) -> DataFrame:
     """The ``k`` most frequent values of every field with exact counts: ``field_name, item_key, n, n_field``.
 
-    One aggregation with map-side combining; hash partitions spill to disk, so
-    memory does not grow with the number of distinct values. ``limit`` after an
+    One aggregation with map-side combining, the only pass over the values;
+    hash partitions spill to disk, so memory does not grow with the number of
+    distinct values. Counts are written once; ``limit`` after an
     order takes the top k of every partition before the final k. Ties: the
     value that sorts first. ``n_field`` is the number of non-null values.
     """
-    counts = values.groupBy("field_name", "item_key").agg(F.count(F.lit(1)).alias("n"))
-    totals = values.groupBy("field_name").agg(F.count(F.lit(1)).alias("n_field"))
+    counts = materialise(values.groupBy("field_name", "item_key").agg(F.count(F.lit(1)).alias("n")))
+    totals = counts.groupBy("field_name").agg(F.sum("n").alias("n_field"))
     fields = [r["field_name"] for r in totals.select("field_name").collect()]
     best = None
     for name in fields:
