@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftlog.functions import columns
 from weftlog.functions.columns import sliced_lag
-from weftlog.functions.ordered import before_parts, in_order
+from weftlog.functions.ordered import before_parts, in_order, numbered
 from weftlog.operators import features
 from weftlog.operators.features import SlicedCounters, bitmap, both, either, entity_features, feature_cells, places_of
 from weftlog.operators.intervals import busy_spans
@@ -226,3 +226,11 @@ def test_dense_slices_are_cut_by_rows(spark, monkeypatch):
     hot = [r["count"] for r in sizes if r["case_id"] == "hot"]
     assert len(hot) == 64 and max(hot) <= 2 * min(hot) and sum(hot) == 6400
     assert [r["count"] for r in sizes if r["case_id"] == "cold"] == [50]
+
+
+def test_numbers_inside_keys(spark):
+    rows = spark.createDataFrame([("hot", i * 7 % 3000) for i in range(3000)] + [(f"k{i % 50}", i) for i in range(300)], "key string, o long")
+    got = [(r["key"], r["number"], r["o"]) for r in numbered(rows, "key", "o").collect()]
+    expected = {k: sorted(o for key, o in map(tuple, rows.collect()) if key == k) for k in {g[0] for g in got}}
+    assert len(got) == 3300 and all(expected[k][n] == o for k, n, o in got)
+    assert numbered(rows.limit(0), "key", "o").count() == 0

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlog.functions.checkpoints import materialise
@@ -29,6 +29,15 @@ def in_order(events: DataFrame, *order: str) -> DataFrame:
     return materialise(events.repartitionByRange(n, *order).sortWithinPartitions(*order)).withColumn("row_no", F.monotonically_increasing_id())
 
 
+def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """``rows`` with ``number``, from 0 inside each key in ``order``, which is unique there; no task holds a whole key."""
+    ordered = in_order(rows, key, *order).withColumn("_part", F.shiftright("row_no", 33))
+    along = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("row_no").alias("_first"))
+    parts = parts.select(key, "_part", (F.coalesce(F.sum("_n").over(along), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return ordered.join(parts, [key, "_part"]).select(*[F.col(c) for c in rows.columns], (F.col("row_no") + F.col("_shift")).cast("int").alias("number"))
+
+
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cases, first, last, last_us = 0, None, None, None
     for batch in batches:

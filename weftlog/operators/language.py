@@ -8,9 +8,11 @@ by. Comparing two logs is the case of a single pair.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftlog.functions.ordered import numbered
+
 
 def population(first: DataFrame, second: DataFrame, pair_id: int = 0) -> DataFrame:
     """The population of one comparison from the extracted traces of two logs."""
@@ -37,16 +39,8 @@ def variants(pop: DataFrame) -> DataFrame:
     those of side 1 first.
     """
     counted = pop.groupBy("pair_id", "trace").agg(F.count_if(F.col("side") == 1).alias("c1"), F.count_if(F.col("side") == 2).alias("c2"), F.min(F.struct("side", "case_id")).alias("first"))
-    pair = Window.partitionBy("pair_id")
-    return counted.select(
-        "pair_id",
-        (F.row_number().over(pair.orderBy("first")) - 1).alias("variant_id"),
-        "trace",
-        "c1",
-        "c2",
-        F.sum("c1").over(pair).alias("n1"),
-        F.sum("c2").over(pair).alias("n2"),
-    )
+    sizes = pop.groupBy("pair_id").agg(F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 2).alias("n2"))
+    return numbered(counted, "pair_id", "first").join(sizes, "pair_id").select("pair_id", F.col("number").alias("variant_id"), "trace", "c1", "c2", "n1", "n2")
 
 
 def stochastic_language(traces: DataFrame, keys: list[str] | None = None) -> DataFrame:
