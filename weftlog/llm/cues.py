@@ -45,14 +45,25 @@ def _bytes(run: str, encoding: str) -> bytes:
     return bytes(out)
 
 
-def _undo(text: str, encoding: str) -> str:
-    def fix(m: re.Match) -> str:
+_READ: dict[tuple[str, str], str] = {}  # runs read again so far, by encoding
+MOST_READ = 200_000
+
+
+def _read_again(run: str, encoding: str) -> str:
+    """A run of non-ASCII characters as the UTF-8 that ``encoding`` was taken for; itself if it is none."""
+    key = encoding, run
+    if key not in _READ:
+        if len(_READ) >= MOST_READ:
+            _READ.clear()
         try:
-            return _bytes(m.group(), encoding).decode("utf-8")
+            _READ[key] = _bytes(run, encoding).decode("utf-8")
         except (UnicodeEncodeError, UnicodeDecodeError):
-            return m.group()
+            _READ[key] = run
+    return _READ[key]
+
 
-    return (FOREIGN_DOS if encoding in ("cp437", "cp850") else FOREIGN).sub(fix, text)
+def _runs(encoding: str) -> re.Pattern:
+    return FOREIGN_DOS if encoding in ("cp437", "cp850") else FOREIGN
 
 
 def repair_encoding(text: str) -> str:
@@ -66,10 +77,12 @@ def repair_encoding(text: str) -> str:
     for _ in range(3):
         if not MISREAD.search(text):
             break
-        best = min((_undo(text, e) for e in MISREAD_AS), key=lambda t: (len(t), t != text))
-        if len(best) == len(text):
+        runs = {p: p.findall(text) for p in (FOREIGN, FOREIGN_DOS)}
+        shorter = [sum(len(r) - len(_read_again(r, e)) for r in runs[_runs(e)]) for e in MISREAD_AS]
+        if max(shorter) <= 0:
             break
-        text = best
+        best = MISREAD_AS[shorter.index(max(shorter))]
+        text = _runs(best).sub(lambda m: _read_again(m.group(), best), text)
     return _read_cyrillic(text) if WORDS_8BIT.search(text) else text
 
 
