@@ -126,6 +126,20 @@ def cost_matrix(vs: DataFrame, cost: Callable[[Column, Column], Column], symmetr
     return _pairs(vs).select("pair_id", F.inline(F.when(a["variant_id"] == b["variant_id"], F.array(one)).otherwise(F.array(one, other))))
 
 
+def cross_matrix(vs: DataFrame, cost: Callable[[Column, Column], Column]) -> DataFrame:
+    """Distances from the variants of each pair's first log to those of its second: ``pair_id, i, j, cost``.
+
+    ``cost`` need not be symmetric; ``i`` is a variant of side 1, ``j`` one of side 2.
+    """
+    a, b = F.col("a"), F.col("b")
+
+    def arc(x: Column, y: Column) -> Column:
+        return F.when((x["c1"] > 0) & (y["c2"] > 0), F.struct(x["variant_id"].alias("i"), y["variant_id"].alias("j"), cost(x, y).alias("cost")))
+
+    arcs = F.array_compact(F.array(arc(a, b), F.when(a["variant_id"] != b["variant_id"], arc(b, a))))
+    return _pairs(vs).select("pair_id", F.inline(arcs))
+
+
 def edit_tables(codes_a: np.ndarray, bins_a: np.ndarray, size_a: np.ndarray, codes_b: np.ndarray, bins_b: np.ndarray, size_b: np.ndarray, scale: float) -> np.ndarray:
     """Weighted edit distances of many pairs of padded sequences, cell by cell of the edit table for all pairs at once."""
     rows = np.arange(len(size_a))

@@ -161,10 +161,17 @@ def _bins(fit):
     return query
 
 
-def q_binned_traces(spark, d):
-    traces = binned_delivery_traces(spark, d, "duration")
-    text = F.transform("trace", lambda e: F.concat(e["activity"], e["bin"].cast("string")))
-    return traces.select("case_id", F.array_join(text, ">").alias("trace_text"))
+def _binned_traces(value):
+    def query(spark, d):
+        text = F.transform("trace", lambda e: F.concat(e["activity"], e["bin"].cast("string")))
+        return binned_delivery_traces(spark, d, value).select("case_id", F.array_join(text, ">").alias("trace_text"))
+
+    return query
+
+
+def _halves(values: list[float]) -> list[float]:
+    """A user's binner: bounds at the least value and in the middle of the range."""
+    return [min(values), (min(values) + max(values)) / 2]
 
 
 def q_language(spark, d):
@@ -190,6 +197,10 @@ def _matrix(cost):
     return query
 
 
+def q_cross_matrix(spark, d):
+    return distance.cross_matrix(distance.encoded(_delivery_variants(spark, d)), distance.postnormalised).withColumn("cost", F.round("cost", 9))
+
+
 def _weighted_matrix(bins):
     def query(spark, d):
         vs = variants(paired_population(binned_delivery_traces(spark, d, "duration")))
@@ -301,21 +312,29 @@ QUERIES = {
     "outer_percentile_bins": _bins(binning.fit_outer_percentiles),
     "kmeanspp_bins": _bins(lambda e: binning.fit_kmeans_seeds(e, 3, SEED, order="event_id")),
     "ensure_start": q_ensure_start,
-    "binned_traces": q_binned_traces,
+    "custom_bins": _bins(lambda e: binning.fit_custom(e, _halves)),
+    "binned_traces": _binned_traces("duration"),
+    "binned_numeric_traces": _binned_traces("quantity"),
     "stochastic_language": q_language,
     "stochastic_language_deliveries": q_language_deliveries,
     "levenshtein_matrix": _matrix(distance.levenshtein),
     "postnorm_levenshtein_matrix": _matrix(distance.postnormalised),
+    "cross_levenshtein_matrix": q_cross_matrix,
     "weighted_levenshtein_matrix": _weighted_matrix(None),
     "weighted_time_levenshtein_matrix": _weighted_matrix(3),
     "logs_emd_discrete": _logs_emd(delivery_traces, "discrete"),
     "logs_emd_line": _logs_emd(delivery_traces, "line"),
+    "logs_emd_user_cost": _logs_emd(delivery_traces, distance.line),
     "logs_emd_levenshtein": _logs_emd(delivery_traces, "levenshtein"),
     "logs_emd_small_logs": _logs_emd(small_logs, "levenshtein"),
     "permutation_null_discrete": _null(small_logs, "permutation", "discrete"),
     "permutation_test_discrete": _test(small_logs, "permutation", "discrete"),
     "permutation_test_discrete_10000": _test(small_logs, "permutation", "discrete", 10_000),
     "permutation_test_line": _test(small_logs, "permutation", "line"),
+    "permutation_test_user_cost": _test(small_logs, "permutation", distance.line),
+    "bootstrap_replacement_user_cost": _test(small_logs, "replacement", distance.line),
+    "bootstrap_resample_user_cost": _test(small_logs, "resample", distance.line),
+    "classic_bootstrap_user_cost": _test(small_logs, "classic", distance.line),
     "permutation_test_control_flow": FLAGSHIP,
     "permutation_test_timed": _binned_test("duration", 3),
     "permutation_test_numeric": _binned_test("quantity", None),

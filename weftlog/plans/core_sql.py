@@ -174,17 +174,24 @@ SELECT pair_id, round(h / n, 9) AS statistic, round(CASE WHEN h = 0 THEN 1.0::DO
 
 
 
-def matrix(cost: str) -> str:
+def matrix(cost: str, pairs: str = "a.variant_id <= b.variant_id") -> str:
     """Costs between the variants of every pair, their activities written as single letters."""
     word = "trace"
     for letter, activity in zip("abcdef", ("AF", "AO", "NF", "NO", "RF", "RO")):
         word = f"replace({word}, '{activity}', '{letter}')"
     return f"""
 WITH {PAIRED_DELIVERIES}, words AS (SELECT *, replace({word}, '>', '') AS word FROM vs)
-SELECT a.pair_id, CAST(a.variant_id AS INTEGER) AS i, CAST(b.variant_id AS INTEGER) AS j, {cost} AS cost FROM words a JOIN words b ON a.pair_id = b.pair_id AND a.variant_id <= b.variant_id
+SELECT a.pair_id, CAST(a.variant_id AS INTEGER) AS i, CAST(b.variant_id AS INTEGER) AS j, {cost} AS cost FROM words a JOIN words b ON a.pair_id = b.pair_id AND {pairs}
 """
 
 
+def binned_traces(value: str) -> str:
+    return f"""
+WITH {LINES}, q AS (SELECT activity, quantile_cont({value}, [0.25, 0.75]) AS e FROM lines GROUP BY activity),
+binned AS (SELECT *, CASE WHEN {value} < e[1] THEN 0 WHEN {value} < e[2] THEN 1 ELSE 2 END AS bin FROM lines JOIN q USING (activity))
+SELECT CAST(case_id AS BIGINT) AS case_id, string_agg(activity || bin, '>' ORDER BY ts, activity, ord, bin) AS trace_text FROM binned GROUP BY case_id"""
+
+
 def weighted(scale: float, half: int) -> str:
     """Weighted edit distances between binned variants: the rows of all edit tables, one after the other.
 
@@ -261,18 +268,25 @@ SELECT {CASE} AS case_id, string_agg(coalesce({ACTIVITY}, '?') || '=' || (epoch_
 FROM interval_log WHERE start_timestamp IS NOT NULL AND {CASE} IS NOT NULL AND {TIME} IS NOT NULL GROUP BY {CASE}""",
     "iqr_bins": bins(0.25, 0.75),
     "outer_percentile_bins": bins(0.1, 0.9),
-    "binned_traces": f"""
-WITH {LINES}, q AS (SELECT activity, quantile_cont((epoch_us(ts) - epoch_us(start)) / 1e6::DOUBLE, [0.25, 0.75]) AS e FROM lines GROUP BY activity),
-binned AS (SELECT *, CASE WHEN (epoch_us(ts) - epoch_us(start)) / 1e6::DOUBLE < e[1] THEN 0 WHEN (epoch_us(ts) - epoch_us(start)) / 1e6::DOUBLE < e[2] THEN 1 ELSE 2 END AS bin FROM lines JOIN q USING (activity))
-SELECT CAST(case_id AS BIGINT) AS case_id, string_agg(activity || bin, '>' ORDER BY ts, activity, ord, bin) AS trace_text FROM binned GROUP BY case_id""",
+    "custom_bins": """
+WITH q AS (SELECT event_type, (min(value) + max(value)) / 2 AS middle FROM events GROUP BY event_type)
+SELECT event_id, CASE WHEN value IS NULL OR event_type IS NULL THEN 0 WHEN value < middle THEN 1 ELSE 2 END AS bin FROM events LEFT JOIN q USING (event_type)""",
+    "binned_traces": binned_traces("(epoch_us(ts) - epoch_us(start)) / 1e6::DOUBLE"),
+    "binned_numeric_traces": binned_traces("CAST(quantity AS DOUBLE)"),
     "stochastic_language": f"WITH {STEPS} SELECT log_number, trace AS trace_text, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY log_number), 9) AS frequency FROM traces WHERE log_number IS NOT NULL GROUP BY log_number, trace",
     "stochastic_language_deliveries": f"WITH {DELIVERIES} SELECT trace AS trace_text, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS frequency FROM traces GROUP BY trace",
     "levenshtein_matrix": matrix("CAST(levenshtein(a.word, b.word) AS DOUBLE)"),
     "postnorm_levenshtein_matrix": matrix("round(CAST(levenshtein(a.word, b.word) AS DOUBLE) / greatest(a.size, b.size), 9)"),
+    "cross_levenshtein_matrix": matrix("round(CAST(levenshtein(a.word, b.word) AS DOUBLE) / greatest(a.size, b.size), 9)", "a.c1 > 0 AND b.c2 > 0"),
     "weighted_levenshtein_matrix": weighted(1.0, 1),
     "weighted_time_levenshtein_matrix": weighted(2.0, 2),
     "logs_emd_discrete": f"WITH {PAIRED_DELIVERIES}, {OBSERVED}, {discrete('seen', 'actual')} SELECT pair_id, round(emd, 9) AS logs_emd FROM actual",
     "logs_emd_line": f"WITH {PAIRED_DELIVERIES}, {OBSERVED}, {line('seen', 'actual')} SELECT pair_id, round(emd, 9) AS logs_emd FROM actual",
+    "logs_emd_user_cost": f"WITH {PAIRED_DELIVERIES}, {OBSERVED}, {line('seen', 'actual')} SELECT pair_id, round(emd, 9) AS logs_emd FROM actual",
+    "permutation_test_user_cost": tested(PAIRED_STEPS, PERMUTED, line, True),
+    "bootstrap_replacement_user_cost": tested(PAIRED_STEPS, REPLACED, line, False),
+    "bootstrap_resample_user_cost": tested(PAIRED_STEPS, RESAMPLED, line, False),
+    "classic_bootstrap_user_cost": tested(PAIRED_STEPS, POOLED, line, False),
     "permutation_null_discrete": f"WITH {PAIRED_STEPS}, {PERMUTED}, {discrete('draws', 'nulls')} SELECT pair_id, CAST(rep AS INTEGER) AS rep, round(emd, 9) AS emd FROM nulls",
     "permutation_test_discrete": tested(PAIRED_STEPS, PERMUTED, discrete, True),
     "permutation_test_discrete_10000": tested(PAIRED_STEPS, shuffled("n1", n=10_000), discrete, True),
