@@ -333,6 +333,9 @@ QUERIES = {
     "permutation_test_line": _test(small_logs, "permutation", "line"),
     "permutation_test_user_cost": _test(small_logs, "permutation", distance.line),
     "bootstrap_replacement_user_cost": _test(small_logs, "replacement", distance.line),
+    "bootstrap_split_user_cost": _test(small_logs, "split", distance.line),
+    "double_bootstrap_user_cost": _double("smaller", distance.line),
+    "ks_test_user_cost": _ks("replacement", distance.line),
     "bootstrap_resample_user_cost": _test(small_logs, "resample", distance.line),
     "classic_bootstrap_user_cost": _test(small_logs, "classic", distance.line),
     "permutation_test_control_flow": FLAGSHIP,

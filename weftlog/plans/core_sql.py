@@ -156,16 +156,22 @@ POOLED = both(drawn("draws_1", "(c1 + c2)", "n1", 1, "1"), drawn("draws_2", "(c1
 
 # The larger log of a pair becomes side 1.
 TURNED = PAIRED_STEPS.replace("pop AS (SELECT * FROM sided", "sizes AS (SELECT pair_id, count(*) FILTER (side = 1) < count(*) FILTER (side = 2) AS swap FROM sided GROUP BY pair_id),\npop AS (SELECT sided.* REPLACE (CASE WHEN swap THEN 3 - side ELSE side END AS side) FROM sided JOIN sizes USING (pair_id)").replace("HAVING count", "HAVING count").replace("WHERE pair_id IN", "WHERE sided.pair_id IN")
-DOUBLE = f"""
+def double(solve) -> str:
+    """The double bootstrap under a closed form."""
+    return f"""
 WITH {TURNED}, {drawn('own_1', 'c1', 'n2', 1, '1')}, {drawn('own_2', 'c1', 'n2', 2, '2')}, own AS (SELECT * FROM own_1 UNION ALL SELECT * FROM own_2),
-{whole('other_2', 'c2', 2)}, other AS (SELECT * FROM own_1 UNION ALL SELECT * FROM other_2), {discrete('own', 'nulls')}, {discrete('other', 'logs')},
+{whole('other_2', 'c2', 2)}, other AS (SELECT * FROM own_1 UNION ALL SELECT * FROM other_2), {solve('own', 'nulls')}, {solve('other', 'logs')},
 mean AS (SELECT pair_id, avg(emd) AS emd FROM logs GROUP BY pair_id)
 SELECT pair_id, round(any_value(a.emd), 9) AS logs_emd, round(avg(CASE WHEN n.emd >= a.emd THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS pvalue, count(*) AS n_replicates
 FROM nulls n JOIN mean a USING (pair_id) GROUP BY pair_id
 """
-KS = f"""
+
+
+def ks(solve) -> str:
+    """The Kolmogorov-Smirnov test under a closed form."""
+    return f"""
 WITH {PAIRED_STEPS}, {RESAMPLED}, {drawn('between_1', 'c1', 'n1 // 2', 1, '1')}, {drawn('between_2', 'c2', 'n2 // 2', 2, '2')},
-between_draws AS (SELECT * FROM between_1 UNION ALL SELECT * FROM between_2), {discrete('draws', 'reference')}, {discrete('between_draws', 'logs')},
+between_draws AS (SELECT * FROM between_1 UNION ALL SELECT * FROM between_2), {solve('draws', 'reference')}, {solve('between_draws', 'logs')},
 points AS (SELECT pair_id, emd, sum(r) AS r, sum(l) AS l FROM (SELECT pair_id, emd, 1 AS r, 0 AS l FROM reference UNION ALL SELECT pair_id, emd, 0, 1 FROM logs) GROUP BY pair_id, emd),
 ahead AS (SELECT pair_id, r, sum(r - l) OVER (PARTITION BY pair_id ORDER BY emd) AS d FROM points),
 found AS (SELECT pair_id, CAST(greatest(max(d), 0) AS BIGINT) AS h, CAST(sum(r) AS BIGINT) AS n FROM ahead GROUP BY pair_id)
@@ -173,7 +179,6 @@ SELECT pair_id, round(h / n, 9) AS statistic, round(CASE WHEN h = 0 THEN 1.0::DO
 """
 
 
-
 def matrix(cost: str, pairs: str = "a.variant_id <= b.variant_id") -> str:
     """Costs between the variants of every pair, their activities written as single letters."""
     word = "trace"
@@ -285,6 +290,7 @@ SELECT event_id, CASE WHEN value IS NULL OR event_type IS NULL THEN 0 WHEN value
     "logs_emd_user_cost": f"WITH {PAIRED_DELIVERIES}, {OBSERVED}, {line('seen', 'actual')} SELECT pair_id, round(emd, 9) AS logs_emd FROM actual",
     "permutation_test_user_cost": tested(PAIRED_STEPS, PERMUTED, line, True),
     "bootstrap_replacement_user_cost": tested(PAIRED_STEPS, REPLACED, line, False),
+    "bootstrap_split_user_cost": tested(PAIRED_STEPS, HALVED, line, False),
     "bootstrap_resample_user_cost": tested(PAIRED_STEPS, RESAMPLED, line, False),
     "classic_bootstrap_user_cost": tested(PAIRED_STEPS, POOLED, line, False),
     "permutation_null_discrete": f"WITH {PAIRED_STEPS}, {PERMUTED}, {discrete('draws', 'nulls')} SELECT pair_id, CAST(rep AS INTEGER) AS rep, round(emd, 9) AS emd FROM nulls",
@@ -295,8 +301,10 @@ SELECT event_id, CASE WHEN value IS NULL OR event_type IS NULL THEN 0 WHEN value
     "bootstrap_split_discrete": tested(PAIRED_STEPS, HALVED, discrete, False),
     "bootstrap_resample_discrete": tested(PAIRED_STEPS, RESAMPLED, discrete, False),
     "classic_bootstrap_discrete": tested(PAIRED_STEPS, POOLED, discrete, False),
-    "double_bootstrap_discrete": DOUBLE,
-    "ks_test_discrete": KS,
+    "double_bootstrap_discrete": double(discrete),
+    "double_bootstrap_user_cost": double(line),
+    "ks_test_discrete": ks(discrete),
+    "ks_test_user_cost": ks(line),
     "null_histogram": f"""
 WITH {PAIRED_STEPS}, {PERMUTED}, {line('draws', 'nulls')}, spans AS (SELECT *, min(emd) OVER (PARTITION BY pair_id) AS lo, max(emd) OVER (PARTITION BY pair_id) AS hi FROM nulls)
 SELECT pair_id, CAST(CASE WHEN hi > lo THEN least(floor((emd - lo) * 10 / (hi - lo)), 9) ELSE 0 END AS INTEGER) AS bin, count(*) AS n FROM spans GROUP BY ALL""",
