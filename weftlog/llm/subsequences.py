@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlog.functions.checkpoints import materialise
+from weftlog.functions.lists import flat, listed
 from weftlog.functions.ordered import before_parts, in_order
 
 BITS = 13  # of a position in a chunk
@@ -28,16 +29,6 @@ def _record(schema: str, columns: list[pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in schema.split(", ")])
 
 
-def _listed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """Array columns from all their elements in a row."""
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
-
-
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All elements of an array column, and the row each came from."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy(zero_copy_only=False))
-
-
 def _chunker(before: dict[int, tuple[int, str | None, int | None]], names: list[str], size: int):
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The frequent items of cases, whose events come in order, in chunks of at most ``size``.
@@ -53,7 +44,7 @@ def _chunker(before: dict[int, tuple[int, str | None, int | None]], names: list[
             nonlocal number
             number += len(cases)
             at = np.arange(number - len(cases), number)
-            return _record(CHUNK, [pa.array(cases, pa.string()), pa.array(at), pa.array(whole, pa.bool_()), _listed(items.astype(np.int32), sizes)])
+            return _record(CHUNK, [pa.array(cases, pa.string()), pa.array(at), pa.array(whole, pa.bool_()), listed(items.astype(np.int32), sizes)])
 
         def cut(items: np.ndarray, case: str, whole: bool) -> Iterator[pa.RecordBatch]:
             sizes = np.diff(np.r_[np.arange(0, len(items), size), len(items)])
@@ -103,10 +94,10 @@ class _Sequences:
 
     def __init__(self, batch: pa.RecordBatch, n_items: int):
         self.n_items = n_items
-        items, rows = _flat(batch.column(3))
+        items, rows = flat(batch.column(3))
         sizes = np.bincount(rows, minlength=batch.num_rows)
         place = np.arange(len(items)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        again, again_rows = _flat(batch.column(4))
+        again, again_rows = flat(batch.column(4))
         key = np.concatenate([rows * n_items + items, again_rows * n_items + again])
         self.events = np.sort(key[: len(items)] << BITS | place)
         # The last position of each item in the case, sorted by row and position.
@@ -156,9 +147,9 @@ def _counter(n_items: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            codes, rows = _flat(batch.column(5))
+            codes, rows = flat(batch.column(5))
             different, code_at = np.unique(codes, return_inverse=True)
-            for state, item in _Sequences(batch, n_items).extensions(codes, rows, _flat(batch.column(6))[0]):
+            for state, item in _Sequences(batch, n_items).extensions(codes, rows, flat(batch.column(6))[0]):
                 pair, n = np.unique(code_at[state] * n_items + item, return_counts=True)
                 held.append((different[pair // n_items] * (n_items + 1) + pair % n_items + 1, n))
                 size += len(n)
@@ -185,8 +176,8 @@ def _mover(n_items: int, frequent):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            codes, rows = _flat(batch.column(5))
-            ends, out = _flat(batch.column(6))[0], []
+            codes, rows = flat(batch.column(5))
+            ends, out = flat(batch.column(6))[0], []
             sequences = _Sequences(batch, n_items)
             for state, item in sequences.extensions(codes, rows, ends):
                 code = codes[state] * (n_items + 1) + item + 1
@@ -196,7 +187,7 @@ def _mover(n_items: int, frequent):
             row, code, end, item = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 4
             here = end >= 0
             found, sought = (np.bincount(row[x], minlength=batch.num_rows) for x in (here, ~here))
-            lists = [_listed(code[here], found), _listed(end[here].astype(np.int32), found), _listed(code[~here], sought), _listed(item[~here].astype(np.int32), sought)]
+            lists = [listed(code[here], found), listed(end[here].astype(np.int32), found), listed(code[~here], sought), listed(item[~here].astype(np.int32), sought)]
             moved = _record(MOVED, [*batch.columns[:5], *lists])
             yield moved.filter(pa.array(found + sought > 0))
 
