@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlog.functions.checkpoints import materialise
-from weftlog.functions.columns import ACTIVITY, LIFECYCLE, START, TIME, col
+from weftlog.functions.columns import ACTIVITY, START, TIME, col
 from weftlog.operators import binning, distance, extract, prepare, resample, transport
 from weftlog.operators.language import population, variants
 
