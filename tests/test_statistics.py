@@ -302,3 +302,8 @@ def test_large_pairs_are_ordered_alike(spark, monkeypatch):
             monkeypatch.setattr(resample, "ONE_ROW", most)
             found.append(sorted(map(tuple, resample.cells(resample.replicates(pop, vs, test, 4, 9)).select("pair_id", "rep", "side", "variant_id", "cnt").collect())))
         assert found[0] == found[1] == found[2] and found[0]
+    monkeypatch.setattr(resample, "ONE_ROW", 100_000)
+    for test in ("permutation", "classic", "replacement"):
+        draws = resample.replicates(pop, vs, test, 6, 3)
+        both = [sorted((r["pair_id"], r["rep"], r["emd"]) for r in transport.solve_discrete(d).collect()) for d in (draws, resample.cells(draws))]
+        assert both[0] == both[1] and len(both[0]) == 12
