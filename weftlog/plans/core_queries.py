@@ -339,6 +339,7 @@ QUERIES = {
     "bootstrap_resample_user_cost": _test(small_logs, "resample", distance.line),
     "classic_bootstrap_user_cost": _test(small_logs, "classic", distance.line),
     "permutation_test_control_flow": FLAGSHIP,
+    "permutation_test_control_flow_10000": _test(small_logs, "permutation", "levenshtein", 10_000),
     "permutation_test_timed": _binned_test("duration", 3),
     "permutation_test_numeric": _binned_test("quantity", None),
     "permutation_test_timed_default": _test(timed_traces, "permutation", "weighted", TIMED_REPLICATES),
