@@ -245,7 +245,70 @@ WITH seq AS (
 )"""
 
 
+ZONE = r"[A-Za-z]{1,5}|[+-]\d{2}(?::?\d{2})?"
+CLOCK = rf"^(?:(\d{{1,2}})(?::(\d{{2}})(?::(\d{{2}})(?:[.,](\d+))?)?)?(?:\s*([AaPp][Mm]))?)?\s*({ZONE})?\s*(?:\[([^\]]+)\])?$"
+DATES = {
+    "ymd": r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[Tt ]\s*|$)(.*)$",
+    "abY": r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})(?:,?\s+|$)(.*)$",
+    "dmY": r"^(\d{1,2})\.(\d{1,2})\.(\d{4}|\d{2})(?:,?\s+|$)(.*)$",
+    "dny": r"^(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})\s+([A-Za-z]{3,9})\.?,?\s+(\d{4})(?:,?\s+|$)(.*)$",
+    "ndy": r"^([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4})(?:,?\s+|$)(.*)$",
+    "compact": rf"^(\d{{4}})(\d{{2}})(\d{{2}})[Tt]?(\d{{2}}\d{{2}}\d{{2}}\s*(?:{ZONE})?)$",
+}
+KNOWN = "(SELECT name FROM pg_timezone_names() WHERE contains(name, '/') OR name IN ('UTC', 'GMT'))"
+P1_FOUND = f"""
+WITH vals AS (
+  SELECT event_ord, site_id, 'time:timestamp' AS field_name, {TIME} AS value FROM raw_log WHERE {TIME} IS NOT NULL
+  UNION ALL SELECT event_ord, site_id, 'start_timestamp', start_timestamp FROM raw_log WHERE start_timestamp IS NOT NULL
+), placed AS (
+  SELECT event_ord, field_name, trim(regexp_replace(value, '[\\s\\x{{00a0}}]+', ' ', 'g')) AS v, tz_name, upper(date_order) AS o FROM vals LEFT JOIN sites USING (site_id)
+), shaped AS (
+  SELECT *, CASE {" ".join(f"WHEN regexp_matches(v, '{r}') THEN '{k}'" for k, r in DATES.items())} END AS kind,
+    CASE {" ".join(f"WHEN regexp_matches(v, '{r}') THEN regexp_extract(v, '{r}', ['p', 'q', 'r', 'rest'])" for k, r in DATES.items())} END AS x FROM placed
+), named AS (
+  SELECT *, CASE kind WHEN 'dny' THEN lower(x.q) WHEN 'ndy' THEN lower(x.p) END AS word,
+    CASE WHEN kind = 'compact' THEN regexp_replace(x.rest, '^(..)(..)(..)', '\\1:\\2:\\3') ELSE x.rest END AS rest FROM shaped
+), dated AS (
+  SELECT *, CASE WHEN kind IN ('ymd', 'compact') THEN x.p ELSE x.r END AS y,
+    CASE WHEN kind IN ('ymd', 'compact', 'dmY') THEN x.q WHEN kind = 'abY' THEN CASE o WHEN 'DMY' THEN x.q WHEN 'MDY' THEN x.p END
+      ELSE (SELECT min(m) FROM (SELECT unnest(range(1, 13)) AS m) WHERE starts_with(lower(strftime(make_date(2023, m, 1), '%B')), word) OR (word = 'sept' AND m = 9))::VARCHAR END AS m,
+    CASE WHEN kind IN ('ymd', 'compact') THEN x.r WHEN kind IN ('dmY', 'dny') THEN x.p WHEN kind = 'ndy' THEN x.q WHEN kind = 'abY' THEN CASE o WHEN 'DMY' THEN x.p WHEN 'MDY' THEN x.q END END AS d,
+    CASE WHEN regexp_matches(rest, '{CLOCK}') THEN regexp_extract(rest, '{CLOCK}', ['h', 'i', 's', 'f', 'half', 'zone', 'region']) END AS c FROM named
+), read AS (
+  SELECT event_ord, field_name, v, tz_name, upper(nullif(c.zone, '')) AS zone, nullif(c.region, '') AS region,
+    TRY_CAST(printf('%04d-%02d-%02d', CASE WHEN length(y) = 2 THEN 2000 ELSE 0 END + y::INTEGER, m::INTEGER, d::INTEGER) AS DATE) AS day,
+    CASE WHEN c.half = '' THEN coalesce(TRY_CAST(c.h AS INTEGER), 0) WHEN TRY_CAST(c.h AS INTEGER) BETWEEN 1 AND 12 THEN c.h::INTEGER % 12 + CASE WHEN lower(c.half) = 'pm' THEN 12 ELSE 0 END END AS hour,
+    coalesce(TRY_CAST(c.i AS INTEGER), 0) AS minute, coalesce(TRY_CAST(c.s AS INTEGER), 0) AS second, coalesce(TRY_CAST(rpad(left(nullif(c.f, ''), 6), 6, '0') AS BIGINT), 0) AS fraction, c.h = '' OR c.i <> '' AS complete FROM dated
+), walled AS (
+  SELECT *, regexp_replace(zone, '[^0-9]', '', 'g') AS digits,
+    CASE WHEN complete AND hour < 24 AND minute < 60 AND second < 60 AND year(day) >= 1 THEN epoch_us(day::TIMESTAMP) + ((hour * 60 + minute) * 60 + second) * 1000000::BIGINT + fraction END AS wall FROM read
+), zoned AS (
+  SELECT *, CASE WHEN left(zone, 1) IN ('+', '-') THEN (left(digits, 2)::INTEGER * 60 + coalesce(TRY_CAST(substr(digits, 3, 2) AS INTEGER), 0)) * CASE WHEN left(zone, 1) = '-' THEN -1 ELSE 1 END WHEN zone IN ('Z', 'UTC', 'GMT') THEN 0 END AS ahead,
+    CASE WHEN left(zone, 1) IN ('+', '-') THEN coalesce(TRY_CAST(substr(digits, 3, 2) AS INTEGER), 0) < 60 ELSE true END AS sound FROM walled
+), seasons AS (
+  SELECT upper(unnest([abbr_std, abbr_dst])) AS zone, unnest([least(a, b), greatest(a, b)]) AS ahead_us FROM (
+    SELECT abbr_std, abbr_dst, epoch_us(timezone(tz_name, make_timestamptz(1672531200000000))) - 1672531200000000 AS a, epoch_us(timezone(tz_name, make_timestamptz(1688169600000000))) - 1688169600000000 AS b
+    FROM sites WHERE tz_name IN {KNOWN}
+  )
+), abbreviations AS (
+  SELECT zone, min(ahead_us) AS ahead_us FROM seasons WHERE zone IS NOT NULL GROUP BY zone HAVING min(ahead_us) = max(ahead_us)
+), settled AS (
+  SELECT event_ord, field_name, wall, CASE WHEN regexp_matches(v, '^(\\d{{10}}|\\d{{13}}|\\d{{16}})$') THEN rpad(v, 16, '0')::BIGINT
+      WHEN z.zone IS NULL THEN NULL WHEN NOT sound OR abs(ahead) > 1080 THEN NULL WHEN ahead IS NOT NULL THEN wall - ahead * 60000000::BIGINT ELSE wall - b.ahead_us END AS fixed,
+    CASE WHEN z.zone IS NULL THEN CASE WHEN region IS NULL THEN tz_name WHEN region IN {KNOWN} THEN region END END AS place
+  FROM zoned z LEFT JOIN abbreviations b ON z.zone = b.zone
+), tried AS (
+  SELECT event_ord, field_name, wall, place, unnest(list_distinct([epoch_us(timezone(place, make_timestamp(wall - shift))) + shift for shift in [86400000000, -86400000000]])) AS instant
+  FROM settled WHERE fixed IS NULL AND place IN {KNOWN} AND wall IS NOT NULL
+)
+SELECT event_ord, field_name, fixed AS utc_us FROM settled WHERE fixed IS NOT NULL
+UNION ALL
+SELECT event_ord, field_name, min(instant) FROM tried WHERE epoch_us(timezone(place, make_timestamptz(instant))) = wall GROUP BY event_ord, field_name, wall, place HAVING count(*) = 1
+"""
+
+
 SQL = {
+    "p1_found": P1_FOUND,
     "log_len": f"SELECT count(DISTINCT {CASE}) AS n_cases FROM event_log",
     "lifecycle_fifo": ranked_start(f"{CASE}, {ACTIVITY}"),
     "lifecycle_instance": ranked_start(f"{CASE}, {ACTIVITY}, {INSTANCE}"),
