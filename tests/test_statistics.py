@@ -296,9 +296,9 @@ def test_binners_of_the_timed_test(spark, lifecycle_log):
 def test_large_pairs_are_ordered_alike(spark, monkeypatch):
     pop = language.population(traces(spark, "aabbc"), traces(spark, "abcd")).unionByName(language.population(traces(spark, "ab"), traces(spark, "b"), 1))
     vs = language.variants(pop).persist()
-    for test in ("permutation", "split"):
+    for test in ("permutation", "split", "replacement", "classic", "smaller"):
         found = []
-        for most in (100_000, 5, 0):
+        for most in (100_000, 5, 1):
             monkeypatch.setattr(resample, "ONE_ROW", most)
             found.append(sorted(map(tuple, resample.cells(resample.replicates(pop, vs, test, 4, 9)).select("pair_id", "rep", "side", "variant_id", "cnt").collect())))
         assert found[0] == found[1] == found[2] and found[0]

@@ -103,42 +103,59 @@ def _shuffled(pop: DataFrame, vs: DataFrame, n: int, seed: int, first_size: Colu
     return cut.groupBy("pair_id", "rep", "side", "variant_id").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Find the variants of drawn numbers by binary search among running sums of weights."""
-    for batch in batches:
-        n, out = batch.num_rows, []
-        for side in (2, 4):
-            weights, of = flat(batch.column(side))
-            begin = np.searchsorted(of, np.arange(n))
-            upto = np.cumsum(weights)
-            before = np.r_[0, upto][begin]
-            digests, rows = _digests(batch.column(side + 1))
-            if not len(rows):  # the whole language
-                some = np.flatnonzero(weights)
-                out += _side(of[some], (np.arange(len(of)) - begin[of])[some], n, weights[some])
-                continue
-            sums = np.bincount(of, weights, minlength=n).astype(np.uint64)
-            number = (digests[:, 0] >> np.uint64(12)) % sums[rows]  # the first 13 hexadecimal digits
-            out += _side(rows, np.searchsorted(upto, before[rows] + number.astype(np.int64), side="right") - begin[rows], n)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out], names=[f.split()[0] for f in PACKED.split(", ")])
+def _drawer(whole: tuple[bool, bool]):
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Find the variants of drawn numbers by binary search among running sums of weights."""
+        for batch in batches:
+            n, out = batch.num_rows, []
+            for side, all_of_it in zip((2, 4), whole):
+                weights, of = flat(batch.column(side))
+                begin = np.searchsorted(of, np.arange(n))
+                if all_of_it:
+                    some = np.flatnonzero(weights)
+                    out += _side(of[some], (np.arange(len(of)) - begin[of])[some], n, weights[some])
+                    continue
+                upto = np.cumsum(weights)
+                before = np.r_[0, upto][begin]
+                digests, rows = _digests(batch.column(side + 1))
+                sums = np.bincount(of, weights, minlength=n).astype(np.uint64)
+                number = (digests[:, 0] >> np.uint64(12)) % sums[rows]  # the first 13 hexadecimal digits
+                out += _side(rows, np.searchsorted(upto, before[rows] + number.astype(np.int64), side="right") - begin[rows], n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out], names=[f.split()[0] for f in PACKED.split(", ")])
+
+    return draw
 
 
 def _drawn(vs: DataFrame, n: int, seed: int, *sides: tuple[str, Column | None]) -> DataFrame:
     """Both sides of every replicate: as many draws with replacement as given, a variant as likely as its count, or the whole language.
 
-    A side is the counts to draw by and the number of draws (None for the whole).
+    A side is the counts to draw by and the number of draws (None for the
+    whole). A row holds at most ``ONE_ROW`` draws of a side; where a pair takes
+    more, the shares of its rows are summed.
     """
     arrays = [F.transform(F.array_sort(F.collect_list(F.struct("variant_id", F.expr(w).alias("w")))), lambda e: e["w"]) for w, _ in sides]
     pairs = vs.groupBy("pair_id").agg(*[a.alias(f"w{k}") for k, a in enumerate(arrays, 1)], F.first("n1").alias("n1"), F.first("n2").alias("n2"))
     sizes = [(F.lit(-1) if size is None else size).cast("int").alias(f"s{k}") for k, (_, size) in enumerate(sides, 1)]
     pairs = pairs.select("pair_id", "w1", "w2", *sizes).where("s1 != 0 and s2 != 0")
-    reps = spread(pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep")), "pair_id", "rep")
+    several = bool(pairs.where(F.greatest("s1", "s2") > ONE_ROW).take(1))
+    last = F.floor((F.greatest("s1", "s2", F.lit(1)) - 1) / ONE_ROW).cast("int") if several else F.lit(0)
+    shares = pairs.select("*", F.explode(F.sequence(F.lit(0), last)).alias("share"))
+    reps = spread(shares.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep")), "pair_id", "rep", "share")
 
     def digests(k: int) -> Column:
-        numbers = F.transform(F.sequence(F.lit(0), F.col(f"s{k}") - 1), lambda i: F.unhex(hash_key(seed, F.col("rep"), F.col("pair_id"), F.lit(str(k)), i)))
-        return F.when(F.col(f"s{k}") > 0, numbers).otherwise(F.array().cast("array<binary>"))
-
-    return reps.select("pair_id", "rep", "w1", digests(1).alias("u1"), "w2", digests(2).alias("u2")).mapInArrow(_draw, PACKED)
+        first, end = F.col("share") * ONE_ROW, F.least(F.col(f"s{k}"), (F.col("share") + 1) * ONE_ROW)
+        numbers = F.transform(F.sequence(first, end - 1), lambda i: F.unhex(hash_key(seed, F.col("rep"), F.col("pair_id"), F.lit(str(k)), i)))
+        return F.when(end > first, numbers).otherwise(F.array().cast("array<binary>"))
+
+    def weights(k: int) -> Column:
+        # The whole language comes with the first share alone.
+        return F.when(F.col("share") == 0, F.col(f"w{k}")).otherwise(F.array().cast("array<bigint>")) if sides[k - 1][1] is None else F.col(f"w{k}")
+
+    whole = tuple(size is None for _, size in sides)
+    drawn = reps.select("pair_id", "rep", weights(1).alias("w1"), digests(1).alias("u1"), weights(2).alias("w2"), digests(2).alias("u2")).mapInArrow(_drawer(whole), PACKED)
+    if not several:
+        return drawn
+    return cells(drawn).groupBy("pair_id", "rep", "side", "variant_id").agg(F.sum("cnt").alias("cnt"))
 
 
 def _whole(vs: DataFrame, n: int, weight: str, side: int) -> DataFrame:
