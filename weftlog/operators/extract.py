@@ -12,7 +12,7 @@ from weftlog.operators.prepare import DURATION, seconds_between
 def _traces(rows: DataFrame, payload: Column, tiebreak: str | None, time: str, case: str, ordinal: str) -> DataFrame:
     order = [micros(rows, time).alias("t"), (col(tiebreak) if tiebreak else F.lit(0)).alias("b"), col(ordinal).alias("o")]
     kept = rows.where(col(case).isNotNull() & col(time).isNotNull()).select(col(case).alias("case_id"), F.struct(*order).alias("k"), payload.alias("v"))
-    return kept.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda e: e["v"]).alias("trace"), F.min("k").alias("case_order"))
+    return kept.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("k", "v")))["v"].alias("trace"), F.min("k").alias("case_order"))
 
 
 def extract_traces(log: DataFrame, complete_only: bool = True, tiebreak: str | None = ACTIVITY, activity: str = ACTIVITY, time: str = TIME, case: str = CASE, ordinal: str = ORD) -> DataFrame:
